@@ -1,17 +1,19 @@
 """Windowed metrics per entity in one pass over the attached events.
 
-A bundle is a list of ``Metric``s. It is computed in two phases: first per
-(entity, actor) - partial counts and one flag per distinct-actor metric - then
-per entity. Distinct counts are exact and rows are never copied per metric, as
-several COUNT(DISTINCT ..) would do; a busy entity is spread over its actors,
-and a busy (entity, actor) pair is combined before the shuffle.
+A bundle is a list of ``Metric``s. Every event falls into one *cell*: a kind of
+event (type, and action where some metric asks for it) within one of the day
+bands that the metric windows cut. The events are first combined per (entity,
+actor, cell) into a count and a size sum - narrow rows, combined before the
+shuffle, so that neither a busy entity nor a busy (entity, actor) pair ends up in
+one task. From these the entity row is built: counts from the cells, distinct
+actors from one bit set per (entity, actor). Distinct counts are exact and no row
+is copied per metric, as several COUNT(DISTINCT ..) would do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,20 +41,15 @@ class Metric:
     action: str | None = None
     window: tuple[int | None, int | None] | None = None
 
-    def condition(self) -> Column | None:
-        tests = []
-        if self.types is not None:
-            kind = F.col("event_type")
-            tests.append(kind == self.types[0] if len(self.types) == 1 else kind.isin(*self.types))
-        if self.action is not None:
-            tests.append(F.col("action") == self.action)
-        if self.window is not None:
-            lo, hi = self.window
-            if lo is not None:
-                tests.append(F.col("day") >= lo)
-            if hi is not None:
-                tests.append(F.col("day") <= hi)
-        return reduce(lambda a, b: a & b, tests) if tests else None
+    def covers_kind(self, kind: tuple[str | None, str | None]) -> bool:
+        event_type, action = kind
+        return (self.types is None or event_type in self.types) and self.action in (None, action)
+
+    def covers_band(self, band: tuple[int | None, int | None]) -> bool:
+        lo, hi = self.window or (None, None)
+        return (lo is None or (band[0] is not None and band[0] >= lo)) and (
+            hi is None or (band[1] is not None and band[1] <= hi)
+        )
 
 
 def count_of(name, *types, action=None, window=None):
@@ -183,32 +180,104 @@ def with_measures(events: DataFrame, metrics: Sequence[Metric], strict: bool = F
     return events.drop("payload")
 
 
+class Cells:
+    """The cells cut by a bundle of metrics, numbered band by band."""
+
+    def __init__(self, metrics: Sequence[Metric]):
+        actions: dict[str, set[str]] = {}
+        cuts = set()
+        for m in metrics:
+            for event_type in m.types or ():
+                actions.setdefault(event_type, set()).update({m.action} - {None})
+            if m.window is not None:
+                lo, hi = m.window
+                cuts.update({lo} - {None})
+                cuts.update({hi + 1} if hi is not None else ())
+        # a kind is (type, action); None is "any other"
+        self.kinds = [(t, a) for t in sorted(actions) for a in [*sorted(actions[t]), None]]
+        self.kinds.append((None, None))
+        # band i holds the days from starts[i] on, up to the next start
+        starts = [None, *sorted(cuts)]
+        ends = [cut - 1 for cut in sorted(cuts)] + [None]
+        self.bands = list(zip(starts, ends))
+
+    def column(self) -> Column:
+        """Cell number of an event."""
+        kinds = []
+        for i, (event_type, action) in enumerate(self.kinds[:-1]):
+            action_test = f" AND action = '{action}'" if action is not None else ""
+            kinds.append(f"WHEN event_type = '{event_type}'{action_test} THEN {i}")
+        bands = [f"WHEN day <= {end} THEN {i}" for i, (_, end) in enumerate(self.bands[:-1])]
+        kind, band = _case(kinds, len(self.kinds) - 1), _case(bands, len(self.bands) - 1)
+        return F.expr(f"{band} * {len(self.kinds)} + {kind}")
+
+    def decoded(self, df: DataFrame) -> DataFrame:
+        """Replace ``cell`` by the numbers of its kind and band."""
+        n = len(self.kinds)
+        kind, band = F.expr(f"cell % {n}"), F.expr(f"CAST(cell DIV {n} AS INT)")
+        return df.withColumns({"kind": kind, "band": band}).drop("cell")
+
+    def test(self, metric: Metric) -> str:
+        """SQL test of a metric on kind and band."""
+        tests = []
+        kinds = [i for i, kind in enumerate(self.kinds) if metric.covers_kind(kind)]
+        if len(kinds) < len(self.kinds):
+            tests.append(f"kind IN ({', '.join(map(str, kinds))})")
+        bands = [i for i, band in enumerate(self.bands) if metric.covers_band(band)]
+        if bands[0] > 0:
+            tests.append(f"band >= {bands[0]}")
+        if bands[-1] < len(self.bands) - 1:
+            tests.append(f"band <= {bands[-1]}")
+        return " AND ".join(tests or ["kind IS NOT NULL"])
+
+
+def _case(branches: Sequence[str], otherwise: int) -> str:
+    return f"CASE {' '.join(branches)} ELSE {otherwise} END" if branches else str(otherwise)
+
+
 def entity_metrics(
     attached: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], null_size: str = "zero"
 ) -> DataFrame:
-    """Aggregate attached events per ``keys`` (two phases, see module text)."""
-    per_actor, per_entity = [], []
-    known_actor = F.col("actor_id").isNotNull()
+    """Aggregate attached events per ``keys`` (see the module text)."""
+    cells = Cells(metrics)
+    actor_metrics = [m for m in metrics if m.kind == "actors"]
+
+    tallies = {"events": "count(1)"}
+    if any(m.kind == "size" for m in metrics):
+        size = "coalesce(size, 0)" if null_size == "zero" else "size"
+        tallies["sizes"] = f"sum(CAST({size} AS BIGINT))"
+    by_cell = (
+        attached.withColumn("cell", cells.column())
+        .groupBy(*keys, "actor_id", "cell")
+        .agg(*[F.expr(tally).alias(name) for name, tally in tallies.items()])
+    )
+    by_cell = cells.decoded(by_cell)
+
+    bits = [f"CASE WHEN {cells.test(m)} THEN {1 << i} ELSE 0 END" for i, m in enumerate(actor_metrics)]
+    # A NULL actor has events but is no actor. The tests on the tallies hold for
+    # every row; they keep the columns, and so the shuffle, of both branches equal.
+    tallied = " OR ".join(f"{name} > 0" for name in tallies)
+    counted = f"actor_id IS NOT NULL AND ({tallied})"
+    by_actor = by_cell.groupBy(*keys, "actor_id").agg(
+        F.expr(f"bit_or(CASE WHEN {counted} THEN {' + '.join(bits or ['0'])} ELSE 0 END)").alias("actor_bits")
+    )
+    rows = by_cell.select(*keys, "kind", "band", *tallies, F.lit(0).alias("actor_bits")).unionByName(
+        by_actor.select(*keys, "actor_bits"), allowMissingColumns=True
+    )
+
+    results = []
     for m in metrics:
-        condition = m.condition()
+        # rows of by_actor have no kind: they count nowhere and add no 0 to a NULL sum
         if m.kind == "count":
-            counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-            per_actor.append(counted.alias(m.name))
-            per_entity.append(F.sum(m.name).alias(m.name))
+            total = f"sum(CASE WHEN {cells.test(m)} THEN events ELSE 0 END)"
         elif m.kind == "size":
-            size = F.col("size")
-            if null_size == "zero":
-                size = F.coalesce(size, F.lit(0))
-            summed = F.when(condition, size).otherwise(F.lit(0)) if condition is not None else size
-            per_actor.append(F.sum(summed.cast("bigint")).alias(m.name))
-            per_entity.append(F.sum(m.name).alias(m.name))
+            total = f"sum(CASE WHEN {cells.test(m)} THEN sizes WHEN kind IS NOT NULL THEN 0 END)"
         elif m.kind == "actors":
-            flag = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-            per_actor.append(F.bool_or(flag).alias(m.name))
-            per_entity.append(F.count_if(F.col(m.name) & known_actor).alias(m.name))
+            total = f"count_if((actor_bits & {1 << actor_metrics.index(m)}) > 0)"
         else:
             raise ValueError(f"kind: {m.kind!r}")
-    return attached.groupBy(*keys, "actor_id").agg(*per_actor).groupBy(*keys).agg(*per_entity)
+        results.append(F.expr(total).alias(m.name))
+    return rows.groupBy(*keys).agg(*results)
 
 
 def early_metrics(events: DataFrame, cohort_rows: DataFrame, cfg: CohortConfig, strategy: str = "auto") -> DataFrame:

@@ -57,6 +57,7 @@ def combined_dataset(
     cfg: CohortConfig,
     creations: DataFrame | None = None,
     strategy: str = "auto",
+    ordered: bool = True,
 ) -> DataFrame:
     """Cohort, early features, outcomes and labels for entities above the floor.
 
@@ -76,4 +77,5 @@ def combined_dataset(
     )
     per_entity = entity_metrics(attached, ["entity_id"], metrics, cfg.null_size)
     rows = min_activity(combine(cohort_rows, per_entity), cfg.min_events)
-    return order_by_stars(rows.withColumns(label_columns(cfg)))
+    labelled = rows.withColumns(label_columns(cfg))
+    return order_by_stars(labelled) if ordered else labelled
