@@ -14,12 +14,16 @@ from cohortlens.storage import stage
 THRESHOLDS = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
 
-def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """tn, fp, fn, tp when scores from ``threshold`` on are called positive."""
-    cells = {"tn": (0, "<"), "fp": (0, ">="), "fn": (1, "<"), "tp": (1, ">=")}
-    return scored.agg(
-        *[F.expr(f"count_if(y = {y} AND score {side} {threshold}D)").alias(n) for n, (y, side) in cells.items()]
-    )
+def confusion(scored: DataFrame, threshold: float = 0.5, predicted: str | None = None) -> DataFrame:
+    """tn, fp, fn, tp of column ``predicted``, or of scores from ``threshold`` on."""
+    positive = f"{predicted} = 1" if predicted else f"score >= {threshold}D"
+    cells = {
+        "tn": f"y = 0 AND NOT ({positive})",
+        "fp": f"y = 0 AND ({positive})",
+        "fn": f"y = 1 AND NOT ({positive})",
+        "tp": f"y = 1 AND ({positive})",
+    }
+    return scored.agg(*[F.expr(f"count_if({test})").alias(name) for name, test in cells.items()])
 
 
 def _safe(numerator: str, denominator: str) -> str:

@@ -16,24 +16,33 @@ BUCKETS = 64
 
 
 def running_totals(
-    counts: DataFrame, order: str, sums: Sequence[str], parts: Sequence[str] = (), buckets: int = BUCKETS
+    counts: DataFrame,
+    order: str,
+    sums: Sequence[str],
+    parts: Sequence[str] = (),
+    buckets: int = BUCKETS,
+    bucket_sql: str | None = None,
 ) -> DataFrame:
     """Add ``<sum>_to`` (ascending prefix sum up to and including the row) and ``<sum>_all``.
 
     ``counts`` has one row per (parts, order) - aggregate first - and should be a
     staged table, since it is read three times. ``parts`` takes few values.
+    ``bucket_sql`` gives ready-made ordered buckets, such as the head of a hash.
     """
     if not parts:
         counts, parts = counts.withColumn("part_all", F.lit(0)), ["part_all"]
-    # cut points balance the distinct values; any cut points give the same sums
-    shares = ", ".join(str(i / buckets) for i in range(1, buckets))
-    cuts = counts.groupBy(*parts).agg(
-        F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("cuts")
-    )
-    # cuts and offsets: at most `buckets` values per part
-    cut = counts.join(F.broadcast(cuts), list(parts)).withColumn(
-        "bucket", F.expr(f"size(filter(cuts, c -> c < {order}))")
-    ).drop("cuts")
+    if bucket_sql is not None:
+        cut = counts.withColumn("bucket", F.expr(bucket_sql))
+    else:
+        # cut points balance the distinct values; any cut points give the same sums
+        shares = ", ".join(str(i / buckets) for i in range(1, buckets))
+        cuts = counts.groupBy(*parts).agg(
+            F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("cuts")
+        )
+        # at most `buckets` values per part
+        cut = counts.join(F.broadcast(cuts), list(parts)).withColumn(
+            "bucket", F.expr(f"size(filter(cuts, c -> c < {order}))")
+        ).drop("cuts")
     totals = cut.groupBy(*parts, "bucket").agg(*[F.sum(s).alias(s) for s in sums])
     before = Window.partitionBy(*parts).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
@@ -46,6 +55,7 @@ def running_totals(
     inside = (
         Window.partitionBy(*parts, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
+    # one row per bucket
     return (
         cut.join(F.broadcast(offsets), [*parts, "bucket"])
         .withColumns({f"{s}_to": F.sum(s).over(inside) + F.col(f"{s}_before") for s in sums})
