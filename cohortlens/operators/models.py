@@ -139,7 +139,9 @@ def make_models(cfg: TrainConfig, n_train: int) -> dict[str, Estimator]:
     return {name: models[name] for name in cfg.models}
 
 
-AUC = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="score", numBins=0)
+def exact_auc(scored: DataFrame) -> float:
+    """ROC-AUC over all distinct scores (numBins=0: no down-sampled curve)."""
+    return BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="score", numBins=0).evaluate(scored)
 
 
 def scored_by(model: Model, df: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: Trai
         held_out = folded.filter(F.col("fold") == fold)
         for name, estimator in estimators.items():
             model = estimator.fit(part)
-            scores[name].append(AUC.evaluate(scored_by(model, held_out)))
+            scores[name].append(exact_auc(scored_by(model, held_out)))
         part.unpersist()
     return {name: (statistics.fmean(s), statistics.pstdev(s)) for name, s in scores.items()}
 
@@ -225,7 +227,7 @@ def train_models(train: DataFrame, test: DataFrame, cfg: TrainConfig) -> Trained
     for name, estimator in estimators.items():
         models[name] = model = estimator.fit(rows)
         scored = stage(scored_by(model, test), "scored")
-        auc = AUC.evaluate(scored)
+        auc = exact_auc(scored)
         m = V.metrics_of(V.confusion(scored, predicted="predicted")).first()
         results.append(
             (name, *folds[name], auc, m.accuracy, m.precision, m.recall, m.f1)

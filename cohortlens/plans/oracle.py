@@ -499,6 +499,8 @@ ORACLE: dict[str, str] = {
     "split": SPLIT,
     "folds": f"{SHUFFLED} SELECT repo_id, {TARGET}, CAST((rn - 1) % 5 AS INT) AS fold FROM rk",
     "sample": f"{DS} SELECT repo_id FROM ds ORDER BY md5('42|' || repo_id), repo_id LIMIT 100",
+    "class_weights": f"""{DS} SELECT {TARGET} AS class, count(*) AS n,
+        round(sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE), 6) AS weight FROM ds GROUP BY {TARGET}""",
     "confusion": f"{CELLS} SELECT * FROM cm",
     "binary_metrics": f"""{CELLS} SELECT {r6(safe('tp + tn', 'tp + tn + fp + fn'), 'accuracy')},
         {r6(safe('tp', 'tp + fp'), 'precision')}, {r6(safe('tp', 'tp + fn'), 'recall')},

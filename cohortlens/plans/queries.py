@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortlens.config import TrainConfig
+from cohortlens.functions import activity_level, json_scalar
 from cohortlens.operators import cohort as C
 from cohortlens.operators import evaluate as V
+from cohortlens.operators import explain as X
 from cohortlens.operators import features as E
 from cohortlens.operators import metrics as M
+from cohortlens.operators import models as D
 from cohortlens.operators import profile as P
 from cohortlens.operators import sampling as S
-from cohortlens.functions import activity_level, json_scalar
+from cohortlens.operators.smote import smote as oversample
 from cohortlens.plans.dataset import combined_dataset
 from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS, profile_schema
 from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_events, user_events
-from cohortlens.storage import stage
+from cohortlens.plans.training_run import Run, shapley_table, train_and_evaluate
+from cohortlens.storage import scratch_dir, stage
 
 # At sf0.01 about half of the languages have fewer entities than this.
 RARE_BELOW = 78
@@ -365,3 +371,58 @@ def score_histogram(spark, sf_dir):
 @query
 def threshold_table(spark, sf_dir):
     return V.threshold_table(scored(part_dataset(spark, sf_dir)))
+
+
+# training, scoring and explanation; few trees, so that the whole set runs quickly
+
+
+@query
+def class_weights(spark, sf_dir):
+    return D.class_weights(staged_dataset(spark, sf_dir), TARGET)
+
+
+FAST = TrainConfig(rare_below=RARE_BELOW, trees=5, max_iter=50, folds=2)
+
+
+def _run(spark, sf_dir, models) -> Run:
+    return train_and_evaluate(part_dataset(spark, sf_dir), FAST.but(models=models))
+
+
+@query
+def smote(spark, sf_dir):
+    dataset = staged_dataset(spark, sf_dir)
+    prepared = D.fit_preparation(D.fit_categories(dataset, FAST), dataset)
+    rows = stage(D.assemble(dataset, prepared, FAST), "train")
+    return oversample(rows).groupBy("y").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("key").startswith("made-")).alias("made")
+    )
+
+
+@query
+def model_comparison(spark, sf_dir):
+    return _run(spark, sf_dir, FAST.models).trained.results
+
+
+@query
+def score_new(spark, sf_dir):
+    run = _run(spark, sf_dir, ("Gradient Boosting",))
+    folder = f"{scratch_dir(spark)}/saved-{uuid.uuid4().hex}"
+    D.save_model(run.fitted, folder)
+    rows = D.load_model(folder).score(part_dataset(spark, sf_dir), 0.5)
+    return rows.select("repo_id", "probability_of_success", "is_predicted")
+
+
+@query
+def feature_importance(spark, sf_dir):
+    fitted = _run(spark, sf_dir, ("Gradient Boosting",)).fitted
+    return X.feature_importance(spark, fitted.model, fitted.features)
+
+
+@query
+def shapley_summary(spark, sf_dir):
+    return X.shapley_summary(shapley_table(_run(spark, sf_dir, ("Gradient Boosting",)))[0])
+
+
+@query
+def run_summary(spark, sf_dir):
+    return _run(spark, sf_dir, ("Logistic Regression", "Random Forest")).summary
