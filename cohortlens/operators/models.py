@@ -176,7 +176,8 @@ def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: Trai
     if cfg.leaky_folds or not rows_to_add(class_sizes(train, "y"), cfg.resample_ratio, cfg.resample_gate)[1]:
         if not cfg.leaky_folds:
             folded = with_weights(folded, class_sizes(folded, "y"), positive_weight)
-        evaluator = BinaryClassificationEvaluator(labelCol="y", numBins=0)
+        # the raw prediction of a single tree is a row count, so rank by probability
+        evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="probability", numBins=0)
         summary = {}
         for name, estimator in estimators.items():
             validator = CrossValidator(
