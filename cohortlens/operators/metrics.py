@@ -276,8 +276,10 @@ def entity_metrics(
             total = f"count_if((actor_bits & {1 << actor_metrics.index(m)}) > 0)"
         else:
             raise ValueError(f"kind: {m.kind!r}")
-        results.append(F.expr(total).alias(m.name))
-    return rows.groupBy(*keys).agg(*results)
+        results.append(f"'{m.name}', {total}")
+    # one struct, flattened at once: a single expression to hand over instead of dozens
+    metrics_row = F.expr(f"named_struct({', '.join(results)})").alias("metrics")
+    return rows.groupBy(*keys).agg(metrics_row).select(*keys, "metrics.*")
 
 
 def early_metrics(events: DataFrame, cohort_rows: DataFrame, cfg: CohortConfig, strategy: str = "auto") -> DataFrame:

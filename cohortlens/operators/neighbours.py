@@ -27,7 +27,7 @@ register_pickle_by_value(sys.modules[__name__])
 MAX_PIVOTS = 256
 CHUNK_ROWS = 2_048
 BLOCK_ROWS = 256
-# distances are compared to bounds with this slack, so that rounding excludes nothing
+# bounds are compared with this relative slack, so that rounding excludes nothing
 SLACK = 1e-9
 
 
@@ -44,6 +44,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by matrix product, and how far off they may be.
+
+    Fast, but inexact for near points; used to rule points in or out, never as a result.
+    """
+    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    return size - 2.0 * (a @ b.T), size * SLACK
+
+
 def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
     """(pid, other, distance) of the k nearest other points; ties by ``other``.
 
@@ -84,7 +93,8 @@ def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
         for start in range(0, len(rows), BLOCK_ROWS):
             at = rows[start : start + BLOCK_ROWS]
             to_pivots = distances(x[at], pivots)
-            own = distances(x[at], x)
+            squares, error = rough_squares(x[at], x)
+            own = squares + error
             own[np.arange(len(at)), at] = np.inf
             far = to_pivots + outer[None, :]
             order = far.argsort(axis=1)
@@ -94,7 +104,7 @@ def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
                 enough = min(int(np.searchsorted(held, k + 1)), n_pivots - 1)
                 bound = far[i, order[i, enough]] if held[-1] > k else np.inf
                 if len(x) > k:
-                    bound = min(bound, np.partition(own[i], k - 1)[k - 1])
+                    bound = min(bound, math.sqrt(np.partition(own[i], k - 1)[k - 1]))
                 least = np.maximum(to_pivots[i] - outer, inner - to_pivots[i])
                 least = np.maximum(least, (to_pivots[i] - to_pivots[i].min()) / 2)
                 within = (size > 0) & (least <= bound * (1 + SLACK) + SLACK)
@@ -103,8 +113,10 @@ def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
         found = group.loc[rows, ["pid", "x"]]
         return found.assign(bound=bounds, cells=cells)
 
+    # the work is in the tasks, not in the bytes: keep them from being merged
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = stage(
-        chunked.groupBy("cell", "chunk").applyInPandas(
+        chunked.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInPandas(
             plan_search, "pid string, x array<double>, bound double, cells array<int>"
         ),
         "searches",
@@ -134,13 +146,15 @@ def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
             x, others = _matrix(left["x"]), _matrix(right["x"])
             names = right["pid"].to_numpy()
             pids, bounds = left["pid"].to_numpy(), left["bound"].to_numpy()
+            limits = (bounds * (1 + SLACK) + SLACK) ** 2
             for start in range(0, len(x), BLOCK_ROWS):
-                block = distances(x[start : start + BLOCK_ROWS], others)
-                for i, row in enumerate(block, start):
-                    near = np.flatnonzero((row <= bounds[i] * (1 + SLACK) + SLACK) & (names != pids[i]))
+                squares, error = rough_squares(x[start : start + BLOCK_ROWS], others)
+                for i, row in enumerate(squares - error, start):
+                    near = np.flatnonzero((row <= limits[i]) & (names != pids[i]))
+                    exact = np.sqrt(((others[near] - x[i]) ** 2).sum(axis=1))
                     # stable: equal distances keep the pid order
-                    near = near[np.argsort(row[near], kind="stable")[:k]]
-                    found += zip([pids[i]] * len(near), names[near], row[near])
+                    best = np.argsort(exact, kind="stable")[:k]
+                    found += zip([pids[i]] * len(best), names[near[best]], exact[best])
         return pd.DataFrame(found, columns=["pid", "other", "distance"])
 
     keys = ["cell", "chunk", "split"]

@@ -19,31 +19,28 @@ from cohortlens.storage import stage
 
 def label_columns(cfg: CohortConfig) -> dict[str, Column]:
     """The four success labels from the outcome metrics."""
-    stars, people = F.col("total_stars_6m"), F.col("total_contributors_6m")
-    late_pushes = F.col("pushes_months_4_to_6")
     tests = {
-        "is_starred_project": stars >= cfg.starred_min,
-        "has_community": people >= cfg.community_min,
-        "is_actively_maintained": late_pushes > 0,
-        "is_successful_project": (stars >= cfg.success_stars)
-        | ((people >= cfg.success_contributors) & (late_pushes > 0)),
+        "is_starred_project": f"total_stars_6m >= {cfg.starred_min}",
+        "has_community": f"total_contributors_6m >= {cfg.community_min}",
+        "is_actively_maintained": "pushes_months_4_to_6 > 0",
+        "is_successful_project": f"total_stars_6m >= {cfg.success_stars} OR "
+        f"(total_contributors_6m >= {cfg.success_contributors} AND pushes_months_4_to_6 > 0)",
     }
-    return {name: F.when(test, 1).otherwise(0) for name, test in tests.items()}
+    return {name: F.expr(f"CASE WHEN {test} THEN 1 ELSE 0 END") for name, test in tests.items()}
 
 
 def combine(cohort_rows: DataFrame, metrics: DataFrame) -> DataFrame:
     """Cohort rows with their metrics, missing metrics as 0."""
     joined = cohort_rows.join(metrics, "entity_id", "left")
-    numbers = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in EARLY_COLUMNS + OUTCOME_COLUMNS]
-    return joined.select(
-        F.col("entity_id").alias("repo_id"),
-        F.col("entity_name").alias("repo_name"),
-        F.col("language").alias("primary_language"),
-        F.col("description"),
-        F.col("created_at").alias("repo_created_at"),
-        F.col("actor_id").alias("creator_id"),
-        F.col("actor_login").alias("creator_login"),
-        *numbers,
+    return joined.selectExpr(
+        "entity_id AS repo_id",
+        "entity_name AS repo_name",
+        "language AS primary_language",
+        "description",
+        "created_at AS repo_created_at",
+        "actor_id AS creator_id",
+        "actor_login AS creator_login",
+        *[f"coalesce({c}, 0L) AS {c}" for c in EARLY_COLUMNS + OUTCOME_COLUMNS],
     )
 
 
@@ -55,17 +52,19 @@ def order_by_stars(df: DataFrame) -> DataFrame:
 def combined_dataset(
     events: DataFrame,
     cfg: CohortConfig,
-    creations: DataFrame | None = None,
+    cohort_rows: DataFrame | None = None,
     strategy: str = "auto",
     ordered: bool = True,
 ) -> DataFrame:
     """Cohort, early features, outcomes and labels for entities above the floor.
 
     Features and outcomes come from one aggregation over one scan of the events.
-    ``creations`` is the relation the cohort is taken from, default the events.
-    The cohort is staged: it is used twice and its size decides the join.
+    ``cohort_rows`` (entity_id, the attributes, created_at) is by default taken
+    from the events. It is staged: it is used twice and its size decides the join.
     """
-    cohort_rows = stage(cohort(creations if creations is not None else events, cfg, FULL_ATTRIBUTES), "cohort")
+    if cohort_rows is None:
+        cohort_rows = cohort(events, cfg, FULL_ATTRIBUTES)
+    cohort_rows = stage(cohort_rows, "cohort")
     metrics = early_features(cfg) + outcomes(cfg)
     attached = attach_events(
         with_measures(events, metrics),

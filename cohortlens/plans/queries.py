@@ -20,7 +20,7 @@ from cohortlens.operators import sampling as S
 from cohortlens.operators.smote import smote as oversample
 from cohortlens.plans.dataset import combined_dataset
 from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS, profile_schema
-from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_events, user_events
+from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_cohort, part_events, user_events
 from cohortlens.plans.training_run import Run, shapley_table, train_and_evaluate
 from cohortlens.storage import scratch_dir, stage
 
@@ -48,7 +48,7 @@ def query(function: Query) -> Query:
 
 def part_dataset(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
     events = part_events(spark, sf_dir)
-    return combined_dataset(events, PART_CONFIG, part_events(spark, sf_dir, True), ordered=ordered)
+    return combined_dataset(events, PART_CONFIG, part_cohort(spark, sf_dir), ordered=ordered)
 
 
 def staged_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def cohort_attrs(spark, sf_dir):
 
 @query
 def cohort_first_event(spark, sf_dir):
-    rows = C.cohort(part_events(spark, sf_dir, True), PART_CONFIG, C.FULL_ATTRIBUTES)
+    rows = part_cohort(spark, sf_dir)
     return rows.withColumnsRenamed({"entity_id": "repo_id", "entity_name": "repo_name"})
 
 

@@ -3,7 +3,8 @@
 * ``user_archive``: the ``events`` table as raw archive events with a JSON payload
   (entity = user, sub-day times).
 * ``part_events``: ``lineitem`` joined to ``orders`` (entity = part, actor =
-  customer, many entities), already in canonical columns.
+  customer, many entities), already in canonical columns; ``part_cohort`` adds
+  the attributes of ``part``.
 
 The data spans differ from six months, so each view has its own windows.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.config import CohortConfig
-from cohortlens.functions import map_values
+from cohortlens.operators.cohort import cohort
 from cohortlens.sources.events import canonical_events
 
 # Windows and thresholds scaled to the 30 days of ``events``.
@@ -62,36 +63,54 @@ PART_TYPES = {
 PART_ACTIONS = {"A": "opened", "R": "closed", "N": "other"}
 
 
+# Column types of the tables, so that reading starts no schema job.
+TABLE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _case(column: str, mapping: dict) -> str:
+    branches = " ".join(f"WHEN {key!r} THEN {value!r}" for key, value in mapping.items())
+    return f"CASE {column} {branches} END"
 
 
 def user_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as raw archive events; the payload carries the fields as JSON."""
-    rows = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = rows.select("ts", "user_id", "event_type", k.alias("k"))
-    k = F.col("k")
-    fork = F.when(k % 10 == 0, True).when(k % 10 != 1, False)
-    license_node = F.when(k % 4 > 0, F.struct(F.concat(F.lit("lic-"), k % 4).alias("key")))
-    payload = F.struct(
-        F.when(F.col("event_type") == "signup", "repository").alias("ref_type"),
-        k.alias("size"),
-        F.when(k % 2 == 0, "opened").otherwise("closed").alias("action"),
-        F.struct(
-            F.when(k % 7 > 0, F.concat(F.lit("lang-"), k % 5)).alias("language"),
-            F.when(k % 3 > 0, F.concat(F.lit('[say] "'), k % 6, F.lit('"'))).alias("description"),
-            license_node.alias("license"),
-            fork.alias("fork"),
-        ).alias("repository"),
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "ts", "user_id", "event_type", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k"
     )
-    name = F.concat(F.lit("user-"), F.col("user_id"), F.when(k < 50, "").otherwise("-renamed"))
-    return rows.select(
-        F.struct(F.col("user_id").alias("id"), name.alias("name")).alias("repo"),
-        F.struct(k.alias("id"), F.concat(F.lit("actor-"), k).alias("login")).alias("actor"),
-        map_values(F.col("event_type"), USER_TYPES).alias("type"),
-        F.col("ts").cast("timestamp").alias("created_at"),
-        F.to_json(payload).alias("payload"),
+    payload = """named_struct(
+        'ref_type', CASE WHEN event_type = 'signup' THEN 'repository' END,
+        'size', k,
+        'action', CASE WHEN k % 2 = 0 THEN 'opened' ELSE 'closed' END,
+        'repository', named_struct(
+            'language', CASE WHEN k % 7 > 0 THEN concat('lang-', k % 5) END,
+            'description', CASE WHEN k % 3 > 0 THEN concat('[say] "', k % 6, '"') END,
+            'license', CASE WHEN k % 4 > 0 THEN named_struct('key', concat('lic-', k % 4)) END,
+            'fork', CASE WHEN k % 10 = 0 THEN TRUE WHEN k % 10 != 1 THEN FALSE END))"""
+    name = "concat('user-', user_id, CASE WHEN k < 50 THEN '' ELSE '-renamed' END)"
+    return rows.selectExpr(
+        f"named_struct('id', user_id, 'name', {name}) AS repo",
+        "named_struct('id', k, 'login', concat('actor-', k)) AS actor",
+        f"{_case('event_type', USER_TYPES)} AS type",
+        "CAST(ts AS TIMESTAMP) AS created_at",
+        f"to_json({payload}) AS payload",
     )
 
 
@@ -99,29 +118,35 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_events(user_archive(spark, sf_dir))
 
 
-def part_events(spark: SparkSession, sf_dir: str, attributes: bool = False) -> DataFrame:
-    """``lineitem`` joined to ``orders`` as canonical events.
+def part_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` joined to ``orders`` as canonical events."""
+    lines = table(spark, sf_dir, "lineitem")
+    joined = lines.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    return joined.selectExpr(
+        "l_partkey AS entity_id",
+        "concat('part-', l_partkey) AS entity_name",
+        f"{_case('l_linenumber', PART_TYPES)} AS event_type",
+        "o_custkey AS actor_id",
+        "concat('customer-', o_custkey) AS actor_login",
+        "CAST(l_shipdate AS TIMESTAMP) AS event_time",
+        f"{_case('l_returnflag', PART_ACTIONS)} AS action",
+        "CAST(l_quantity AS BIGINT) AS size",
+    )
+
+
+def part_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part from its first event on, with the attributes of ``part``.
 
-    ``attributes`` adds name, language and description of the entity from ``part``.
+    The events are reduced to one row per part before the attributes are joined.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
+    first = cohort(part_events(spark, sf_dir), PART_CONFIG, ["actor_id"])
+    joined = first.join(table(spark, sf_dir, "part"), F.expr("entity_id = p_partkey"))
+    return joined.selectExpr(
+        "entity_id",
+        "concat('part-', entity_id) AS entity_name",
+        "p_brand AS language",
+        "CASE WHEN p_type != 'ECONOMY' THEN p_name END AS description",
+        "actor_id",
+        "concat('customer-', actor_id) AS actor_login",
+        "created_at",
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    mapping = {
-        "entity_id": "l_partkey",
-        "event_type": map_values(F.col("l_linenumber"), PART_TYPES),
-        "actor_id": "o_custkey",
-        "actor_login": F.concat(F.lit("customer-"), F.col("o_custkey")),
-        "event_time": "l_shipdate",
-        "action": map_values(F.col("l_returnflag"), PART_ACTIONS),
-        "size": F.col("l_quantity").cast("bigint"),
-    }
-    mapping["entity_name"] = F.concat(F.lit("part-"), F.col("l_partkey"))
-    if attributes:
-        parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-        joined = joined.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        mapping["language"] = "p_brand"
-        mapping["description"] = F.when(F.col("p_type") != "ECONOMY", F.col("p_name"))
-    return canonical_events(joined, mapping)
