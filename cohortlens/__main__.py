@@ -1,6 +1,7 @@
-"""Command line: ``spark-submit``-able training run.
+"""Command line, also for ``spark-submit``.
 
-    python -m cohortlens --input data/dataset.csv --output runs/first
+    python -m cohortlens dataset --events archive/ --output dataset.parquet
+    python -m cohortlens train --input dataset.parquet --output runs/first
 """
 
 from __future__ import annotations
@@ -10,20 +11,38 @@ import argparse
 from pyspark.sql import SparkSession
 
 from cohortlens.config import TrainConfig
+from cohortlens.plans.archive import combined_dataset
 from cohortlens.plans.training_run import run_training
-
-
-def main() -> None:
-    parser = argparse.ArgumentParser(description="Train success classifiers on a wide dataset.")
-    parser.add_argument("--input", "-i", required=True, help="dataset: CSV file or folder, or *.parquet")
-    parser.add_argument("--output", "-o", help="folder for model and reports, default beside the input")
-    parser.add_argument("--trees", type=int, default=TrainConfig.trees, help="trees per ensemble")
-    arguments = parser.parse_args()
-    spark = SparkSession.builder.appName("cohortlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    cfg = TrainConfig(trees=arguments.trees)
-    run = run_training(spark, arguments.input, arguments.output, cfg)
-    run.trained.results.show(truncate=False)
-    run.summary.show(truncate=False)
+from cohortlens.sources import canonical_events, read_events, write_dataset
+
+
+def arguments(argv: list[str] | None = None) -> argparse.Namespace:
+    parser = argparse.ArgumentParser(prog="cohortlens", description="Event cohorts to success scores.")
+    commands = parser.add_subparsers(dest="command", required=True)
+    dataset = commands.add_parser("dataset", help="build the wide dataset from an event archive")
+    dataset.add_argument("--events", required=True, help="folder of event_date=YYYY-MM-DD folders")
+    dataset.add_argument("--events-format", choices=("json", "parquet"), default="json")
+    dataset.add_argument("--output", "-o", required=True)
+    dataset.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    train = commands.add_parser("train", help="train, compare and save classifiers")
+    train.add_argument("--input", "-i", required=True, help="CSV file or folder, or *.parquet")
+    train.add_argument("--output", "-o", help="folder for model and reports, default beside the input")
+    train.add_argument("--trees", type=int, default=TrainConfig.trees, help="trees per ensemble")
+    return parser.parse_args(argv)
+
+
+def main(argv: list[str] | None = None) -> None:
+    args = arguments(argv)
+    spark = (
+        SparkSession.builder.appName("cohortlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    )
+    if args.command == "dataset":
+        events = canonical_events(read_events(spark, args.events, fmt=args.events_format))
+        write_dataset(combined_dataset(events), args.output, args.format)
+    else:
+        run = run_training(spark, args.input, args.output, TrainConfig(trees=args.trees))
+        run.trained.results.show(truncate=False)
+        run.summary.show(truncate=False)
 
 
 if __name__ == "__main__":

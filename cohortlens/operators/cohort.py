@@ -121,9 +121,8 @@ def attach_events(
     """
     events = between_dates(events, *(cfg.event_dates or (None, None)), time="event_time")
     if strategy == "auto":
-        # limit: the count stops at the bound
-        n = cohort_times.limit(cfg.broadcast_rows + 1).count()
-        strategy = "broadcast" if n <= cfg.broadcast_rows else "shuffle"
+        # of a staged table this reads file footers only
+        strategy = "broadcast" if cohort_times.count() <= cfg.broadcast_rows else "shuffle"
     if strategy == "broadcast":
         joined = events.join(F.broadcast(cohort_times), "entity_id")
     elif strategy == "shuffle":

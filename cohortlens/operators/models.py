@@ -122,7 +122,8 @@ def make_models(cfg: TrainConfig, n_train: int) -> dict[str, Estimator]:
     """The compared estimators. The two named after other libraries are boosted
     trees with those libraries' depth, rate and class weighting."""
     common = dict(labelCol="y", featuresCol="features")
-    trees = dict(common, seed=cfg.seed, maxBins=64)
+    # more memory per pass: deep forests need fewer passes over the rows
+    trees = dict(common, seed=cfg.seed, maxBins=64, maxMemoryInMB=512)
     boosted = dict(trees, maxIter=cfg.trees)
     models = {
         "Logistic Regression": LogisticRegression(

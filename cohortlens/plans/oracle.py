@@ -156,6 +156,10 @@ USER_WINDOWS = dict(
     early=7, late=15, horizon=28, floor=12, bins=((0, 1), (2, 3), (4, 5), (6, 7)),
     starred=20, community=40, stars=15, people=44,
 )
+ARCHIVE_WINDOWS = dict(
+    early=30, late=91, horizon=180, floor=3, bins=((0, 7), (8, 14), (15, 21), (22, 30)),
+    starred=100, community=5, stars=50, people=3,
+)
 DS = "WITH " + dataset(PARTS, PART_COHORT, PART_WINDOWS)
 SCORED = DS + f""", sc AS (
   SELECT repo_id, {TARGET} AS y, round(1 / (1 + exp(-(0.55::DOUBLE * stars_30d + 0.12::DOUBLE * total_events_30d
@@ -208,12 +212,16 @@ EARLY_REPORT = ", ".join(
         actors("typ = 'PushEvent'", "unique_committers_30d"),
         actors("typ IN ('IssuesEvent', 'IssueCommentEvent')", "unique_issue_participants_30d"),
         "count(*) AS total_events_30d",
-        cnt("d <= 1", "events_first_week"),
-        cnt("d BETWEEN 2 AND 3", "events_second_week"),
-        cnt("d BETWEEN 4 AND 5", "events_third_week"),
-        cnt("d BETWEEN 6 AND 7", "events_fourth_week"),
     ]
 )
+
+
+def early_report(bins) -> str:
+    names = ("events_first_week", "events_second_week", "events_third_week", "events_fourth_week")
+    return ", ".join([EARLY_REPORT, *[cnt(f"d BETWEEN {lo} AND {hi}", n) for (lo, hi), n in zip(bins, names)]])
+
+
+
 SUSTAINED_REPORT = ", ".join(
     [
         cnt("typ = 'WatchEvent'", "stars_months_4_to_6"),
@@ -229,13 +237,14 @@ SUSTAINED_REPORT = ", ".join(
         cnt("typ = 'ReleaseEvent'", "releases_months_4_to_6"),
     ]
 )
-CUMULATIVE = f"""WITH {USERS}, {USER_PAIR_COHORT}
+def cumulative(horizon: int) -> str:
+    return f"""WITH {USERS}, {USER_PAIR_COHORT}
 SELECT c.id AS repo_id, c.name AS repo_name, c.t0 AS repo_created_at,
        count(*) FILTER (WHERE e.typ = 'WatchEvent') AS total_stars_6_months,
        count(*) FILTER (WHERE e.typ = 'ForkEvent') AS total_forks_6_months,
        count(DISTINCT CASE WHEN e.typ = 'PushEvent' THEN e.actor END) AS total_unique_committers_6_months,
        count(DISTINCT e.actor) AS total_unique_contributors_6_months
-FROM coh c LEFT JOIN ev e ON e.id = c.id AND date_sub('day', c.t0, e.t) BETWEEN 0 AND 28
+FROM coh c LEFT JOIN ev e ON e.id = c.id AND date_sub('day', c.t0, e.t) BETWEEN 0 AND {horizon}
 GROUP BY c.id, c.name, c.t0"""
 
 
@@ -409,15 +418,23 @@ ORACLE: dict[str, str] = {
         descr AS description, actor AS actor_id, login AS actor_login, t0 AS created_at FROM coh""",
     "first_seen": f"""WITH {USERS}, {USER_PAIR_COHORT}
         SELECT id AS repo_id, name AS repo_name, t0 AS created_at FROM coh""",
-    "early_metrics": user_report(0, 7, EARLY_REPORT, 12),
+    "early_metrics": user_report(0, 7, early_report(USER_WINDOWS["bins"]), 12),
     "sustained_metrics": user_report(14, 28, SUSTAINED_REPORT),
-    "cumulative_totals": CUMULATIVE,
-    "cumulative_totals_shuffled": CUMULATIVE,
+    "cumulative_totals": cumulative(28),
+    "cumulative_totals_shuffled": cumulative(28),
     "early_metrics_q5": part_metrics(EARLY_COLUMNS),
     "outcome_metrics": part_metrics(OUTCOME_COLUMNS),
     "combined_dataset_parts": dataset_columns(DS),
     "combined_dataset_users": dataset_columns("WITH " + dataset(USERS, USER_COHORT_FIRST, USER_WINDOWS)),
     "combined_fanout": dataset_columns("WITH " + dataset(USERS, USER_COHORT_ALL, USER_WINDOWS)),
+    "archive_new_entities": f"""WITH {USERS} SELECT DISTINCT id AS repo_id, name AS repo_name,
+        lang AS primary_language, descr AS description, lic AS license, fork AS is_fork, t AS repo_created_at,
+        actor AS creator_id, login AS creator_login FROM ev WHERE typ = 'CreateEvent' AND NOT coalesce(fork, FALSE)
+        AND CAST(t AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-03-31'""",
+    "archive_early_metrics": user_report(0, 30, early_report(ARCHIVE_WINDOWS["bins"]), 5),
+    "archive_cumulative_totals": cumulative(180),
+    "archive_combined_dataset": dataset_columns("WITH " + dataset(USERS, USER_COHORT_FIRST, ARCHIVE_WINDOWS)),
+    "archive_combined_faithful": dataset_columns("WITH " + dataset(USERS, USER_COHORT_ALL, ARCHIVE_WINDOWS)),
     "first_rows": dataset_columns(DS) + " ORDER BY total_stars_6m DESC NULLS LAST, repo_id LIMIT 100",
     "dataset_schema": schema_rows(),
     "value_counts": f"""{DS} SELECT {TARGET} AS value, count(*) AS n,

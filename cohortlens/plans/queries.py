@@ -18,6 +18,7 @@ from cohortlens.operators import models as D
 from cohortlens.operators import profile as P
 from cohortlens.operators import sampling as S
 from cohortlens.operators.smote import smote as oversample
+from cohortlens.plans import archive
 from cohortlens.plans.dataset import combined_dataset
 from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS, profile_schema
 from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_cohort, part_events, user_events
@@ -173,6 +174,34 @@ def first_rows(spark, sf_dir):
     return part_dataset(spark, sf_dir, ordered=True).limit(100)
 
 
+# the published reports with their own dates, windows and floors
+
+
+@query
+def archive_new_entities(spark, sf_dir):
+    return archive.new_repositories(user_events(spark, sf_dir))
+
+
+@query
+def archive_early_metrics(spark, sf_dir):
+    return archive.early_activity(user_events(spark, sf_dir))
+
+
+@query
+def archive_cumulative_totals(spark, sf_dir):
+    return archive.cumulative_totals(user_events(spark, sf_dir))
+
+
+@query
+def archive_combined_dataset(spark, sf_dir):
+    return archive.combined_dataset(user_events(spark, sf_dir))
+
+
+@query
+def archive_combined_faithful(spark, sf_dir):
+    return archive.combined_dataset(user_events(spark, sf_dir), faithful=True)
+
+
 # profile
 
 

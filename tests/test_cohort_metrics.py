@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cohortlens.config import ARCHIVE, CohortConfig
 from cohortlens.operators import cohort as C
 from cohortlens.operators import metrics as M
+from cohortlens.plans import archive
 from cohortlens.plans.dataset import combined_dataset
+from cohortlens.sources.events import RAW_EVENT_SCHEMA
 from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS
 
 CFG = CohortConfig(min_events=0)
@@ -248,3 +250,32 @@ def test_heavy_entity_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) >= 4 and joined.count() == 6000
+
+
+def test_published_reports(spark):
+    """Their scans have fixed ends, which cut windows that reach beyond them."""
+    end_of_march = timedelta(days=81)  # 2024-03-31
+    rows = [creation(1), creation(2, at=end_of_march, fork=True)]
+    rows += [event(1, "PushEvent", d * DAY, size=1) for d in (1, 2, 3, 4, 89, 90, 180)]
+    rows += [event(2, "PushEvent", end_of_march + d * DAY, size=1) for d in (1, 2, 3, 29)]
+    # day 30 of the second entity, but already on the first of May
+    rows += [event(2, "PushEvent", end_of_march + 30 * DAY + 13 * HOUR, size=1) for _ in range(2)]
+    events = canonical(spark, rows)
+    assert set(rows_by(archive.new_repositories(events), "repo_id")) == {1}
+    early = rows_by(archive.early_activity(events), "repo_id")
+    assert early[1].push_events_30d == 4 and early[2].total_events_30d == 5  # May is not scanned
+    assert rows_by(archive.sustained_activity(events), "repo_id")[1].push_events_months_4_to_6 == 2
+    assert set(rows_by(archive.cumulative_totals(events), "repo_id")) == {1, 2}
+    combined = rows_by(archive.combined_dataset(events), "repo_id")
+    assert combined[1].pushes_months_4_to_6 == 1 and combined[2].total_events_30d == 7
+    assert archive.combined_dataset(events, faithful=True).count() == 2
+
+
+def test_command_line_builds_the_dataset(spark, tmp_path):
+    from cohortlens.__main__ import main
+
+    raw = spark.createDataFrame([creation(1), *[event(1, "WatchEvent", d * DAY, actor=d) for d in (1, 2, 40)]], RAW_EVENT_SCHEMA)
+    raw.write.partitionBy("event_date").parquet(str(tmp_path / "archive"))
+    main(["dataset", "--events", str(tmp_path / "archive"), "--events-format", "parquet", "-o", str(tmp_path / "out")])
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.repo_id, row.stars_30d, row.total_stars_6m, row.total_events_30d) == (1, 2, 3, 3)
