@@ -156,6 +156,11 @@ def finite_sql(sql: str) -> str:
     )
 
 
+def _filled(column: str) -> str:
+    """A missing number counts as 0."""
+    return f"coalesce(CAST(`{column}` AS DOUBLE), 0D)"
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Means and population deviations per column; a constant column is divided by 1."""
@@ -164,7 +169,7 @@ class Scaler:
     deviations: dict[str, float]
 
     def sql(self, column: str) -> str:
-        return f"(CAST(`{column}` AS DOUBLE) - {self.means[column]!r}D) / {self.deviations[column]!r}D"
+        return f"({_filled(column)} - {self.means[column]!r}D) / {self.deviations[column]!r}D"
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.expr(self.sql(c)) for c in self.means})
@@ -173,7 +178,7 @@ class Scaler:
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
     """Learn means and population deviations in one aggregation."""
     aggregates = [
-        F.expr(f"{f}(CAST(`{c}` AS DOUBLE))") for c in columns for f in ("avg", "stddev_pop")
+        F.expr(f"{f}({_filled(c)})") for c in columns for f in ("avg", "stddev_pop")
     ]
     row = train.agg(*aggregates).first()
     means, deviations = {}, {}

@@ -50,7 +50,8 @@ class Preparation:
         ]
         return PipelineModel(
             stages=[
-                SQLTransformer(statement=_select(_initial_sql(self.categories))),
+                SQLTransformer(statement=_select(_metadata_sql(self.categories))),
+                SQLTransformer(statement=_select(E.one_hot_sql(GROUPED, self.categories))),
                 SQLTransformer(statement=_select({n: E.finite_sql(s) for n, s in E.ENGINEERED.items()})),
                 SQLTransformer(statement=f"SELECT *, {', '.join(x)} FROM __THIS__"),
                 VectorAssembler(
@@ -64,12 +65,14 @@ def _select(columns: dict[str, str]) -> str:
     return "SELECT *, " + ", ".join(f"{sql} AS `{name}`" for name, sql in columns.items()) + " FROM __THIS__"
 
 
-def _initial_sql(categories) -> dict[str, str]:
-    language = f"coalesce(primary_language, '{E.UNKNOWN}')"
-    grouped = f"({E.grouped_sql(language, categories)})"
+# the grouped language, on its way to the one-hot columns
+GROUPED = "language_for_model"
+
+
+def _metadata_sql(categories) -> dict[str, str]:
     return {
         "has_description": "CASE WHEN description IS NOT NULL THEN 1 ELSE 0 END",
-        **E.one_hot_sql(grouped, categories),
+        GROUPED: E.grouped_sql(f"coalesce(primary_language, '{E.UNKNOWN}')", categories),
     }
 
 
@@ -81,12 +84,10 @@ def fit_categories(dataset: DataFrame, cfg: TrainConfig) -> tuple[str, ...]:
 
 def fit_preparation(categories, train: DataFrame) -> Preparation:
     """Scaling, learned from the training rows only."""
-    columns = [f"lang_{c}" for c in categories]
-    lists = E.feature_lists(columns)
-    engineered = E.engineer_features(train.selectExpr("*", *[
-        f"{sql} AS `{name}`" for name, sql in _initial_sql(categories).items()
-    ]))
-    return Preparation(tuple(categories), E.fit_scaler(engineered, lists.scaled), lists)
+    lists = E.feature_lists([f"lang_{c}" for c in categories])
+    # only numbers are scaled, so cleaning and one-hots are not needed here
+    scaler = E.fit_scaler(E.engineer_features(train), lists.scaled)
+    return Preparation(tuple(categories), scaler, lists)
 
 
 def assemble(df: DataFrame, preparation: Preparation, cfg: TrainConfig) -> DataFrame:
