@@ -1,6 +1,7 @@
 """Command line, also for ``spark-submit``.
 
     python -m cohortlens dataset --events archive/ --output dataset.parquet
+    python -m cohortlens profile --input dataset.parquet --output tables/
     python -m cohortlens train --input dataset.parquet --output runs/first
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from cohortlens.config import TrainConfig
 from cohortlens.plans.archive import combined_dataset
+from cohortlens.plans.profile_run import run_profile
 from cohortlens.plans.training_run import run_training
 from cohortlens.sources import canonical_events, read_events, write_dataset
 
@@ -24,6 +26,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     dataset.add_argument("--events-format", choices=("json", "parquet"), default="json")
     dataset.add_argument("--output", "-o", required=True)
     dataset.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    profile = commands.add_parser("profile", help="write the exploration tables of a dataset")
+    profile.add_argument("--input", "-i", required=True, help="CSV file or folder, or *.parquet")
+    profile.add_argument("--output", "-o", required=True)
     train = commands.add_parser("train", help="train, compare and save classifiers")
     train.add_argument("--input", "-i", required=True, help="CSV file or folder, or *.parquet")
     train.add_argument("--output", "-o", help="folder for model and reports, default beside the input")
@@ -39,6 +44,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "dataset":
         events = canonical_events(read_events(spark, args.events, fmt=args.events_format))
         write_dataset(combined_dataset(events), args.output, args.format)
+    elif args.command == "profile":
+        print("\n".join(run_profile(spark, args.input, args.output)))
     else:
         run = run_training(spark, args.input, args.output, TrainConfig(trees=args.trees))
         run.trained.results.show(truncate=False)

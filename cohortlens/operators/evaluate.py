@@ -85,17 +85,21 @@ def score_totals(scored: DataFrame) -> DataFrame:
     return running_totals(stage(counts, "scores"), "score", ["pos", "neg"])
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Exact area under the ROC curve; ties count half; NULL without both classes."""
+def roc_auc(scored: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Exact area under the ROC curve; ties count half; NULL without both classes.
+
+    This and the curves take ready ``score_totals`` so that several share them.
+    """
     below = "(neg_to - neg + neg / 2D)"
-    return score_totals(scored).agg(
+    totals = score_totals(scored) if totals is None else totals
+    return totals.agg(
         F.expr(f"sum(pos * {below}) / nullif(CAST(max(pos_all) AS DOUBLE) * max(neg_all), 0D)").alias("roc_auc")
     )
 
 
-def roc_curve(scored: DataFrame) -> DataFrame:
+def roc_curve(scored: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """False and true positive rate per threshold, and the start point (threshold NULL)."""
-    totals = score_totals(scored)
+    totals = score_totals(scored) if totals is None else totals
     points = totals.select(
         F.col("score").alias("threshold"),
         F.expr("(neg_all - neg_to + neg) / CAST(nullif(neg_all, 0) AS DOUBLE)").alias("fpr"),
@@ -107,10 +111,11 @@ def roc_curve(scored: DataFrame) -> DataFrame:
     return points.unionByName(start)
 
 
-def pr_curve(scored: DataFrame) -> DataFrame:
+def pr_curve(scored: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Precision and recall per threshold, and the end point (threshold NULL)."""
     flagged = "(pos_all - pos_to + pos + neg_all - neg_to + neg)"
-    points = score_totals(scored).select(
+    totals = score_totals(scored) if totals is None else totals
+    points = totals.select(
         F.col("score").alias("threshold"),
         F.expr(f"(pos_all - pos_to + pos) / CAST({flagged} AS DOUBLE)").alias("precision"),
         F.expr("(pos_all - pos_to + pos) / CAST(nullif(pos_all, 0) AS DOUBLE)").alias("recall"),
@@ -121,12 +126,13 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     return points.unionByName(end)
 
 
-def average_precision(scored: DataFrame) -> DataFrame:
+def average_precision(scored: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Average precision (recall-weighted, no interpolation) and prevalence."""
     precision = (
         "(pos_all - pos_to + pos) / CAST(pos_all - pos_to + pos + neg_all - neg_to + neg AS DOUBLE)"
     )
-    return score_totals(scored).agg(
+    totals = score_totals(scored) if totals is None else totals
+    return totals.agg(
         F.expr(f"sum(pos * {precision}) / nullif(CAST(max(pos_all) AS DOUBLE), 0D)").alias("average_precision"),
         F.expr("max(pos_all) / CAST(nullif(max(pos_all) + max(neg_all), 0) AS DOUBLE)").alias("prevalence"),
     )

@@ -96,10 +96,14 @@ def run_training(spark: SparkSession, input_path: str, output: str | None = None
     dataset = stage(load_dataset(spark, input_path), "input")
     run = train_and_evaluate(dataset, cfg)
     D.save_model(run.fitted, f"{output}/model")
-    cleaned = clean_metadata(dataset)
-    processed = group_rare(cleaned, "primary_language", run.prepared.categories)
+    processed = group_rare(clean_metadata(dataset), "primary_language", run.prepared.categories)
     write_dataset(processed, f"{output}/processed")
+    totals = V.score_totals(run.scored)
     reports = {
+        "roc_curve": V.roc_curve(run.scored, totals),
+        "pr_curve": V.pr_curve(run.scored, totals),
+        "average_precision": V.average_precision(run.scored, totals),
+        "score_histogram": V.score_histogram(run.scored),
         "summary": run.summary,
         "model_comparison": run.trained.results,
         "classification_report": V.report_of(V.confusion(run.scored, predicted="predicted")),
