@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import decontaminate
+from cohortlens.llm import decontaminate, mixing, quality
 from cohortlens.llm.common import table
 
 
+def op1_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_mix": op2_mix,
     "op6_decontaminate": op6_decontaminate,
 }
