@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
-from cohortlens.llm.tokens import ALPHANUMERIC, LOWER, gram_hashes, slices, text_buffer, word_hashes, words
+from cohortlens.llm.tokens import ALPHANUMERIC, LOWER, gram_hashes, joined, slices, text_buffer, word_hashes, words
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -71,19 +71,6 @@ def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return data, starts, ends, at, word_hashes(data, starts, ends)
 
 
-def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words with one space after each, and where they now start and end."""
-    lengths = ends - starts + 1
-    new_ends = np.cumsum(lengths)
-    new_starts = new_ends - lengths
-    out = np.full(int(new_ends[-1]) if len(new_ends) else 0, 32, dtype=np.uint8)
-    source = np.repeat(starts - new_starts, lengths) + np.arange(len(out))
-    inside = np.ones(len(out), dtype=bool)
-    inside[new_ends - 1] = False
-    out[inside] = data[source[inside]]
-    return out, new_starts, new_ends - 1
-
-
 def build(items: list[tuple[str, str]], n: int = WINDOW) -> Benchmark:
     """The window tables of (item id, text) pairs."""
     data, off = text_buffer(pa.array([t for _, t in items], type=pa.large_string()))

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import decontaminate, mixing, quality
+from cohortlens.llm import (
+    decontaminate,
+    fingerprint,
+    jaccard,
+    licences,
+    line_dedup,
+    mixing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    surrogates,
+)
 from cohortlens.llm.common import table
 
 
@@ -14,12 +25,47 @@ def op2_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprint(spark, sf_dir):
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_surrogates(spark, sf_dir):
+    return surrogates.report(table(spark, sf_dir, "documents"))
+
+
+def op8_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix": op2_mix,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_fingerprint": op5_fingerprint,
     "op6_decontaminate": op6_decontaminate,
+    "op7_surrogates": op7_surrogates,
+    "op8_licences": op8_licences,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard": op10_jaccard,
 }

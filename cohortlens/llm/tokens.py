@@ -95,20 +95,24 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, off)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; see ``span_hash``."""
-    out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE_CODES[data] * _power(_BASE, len(data)), out=out[1:])
+def byte_codes(data: np.ndarray) -> np.ndarray:
+    return _BYTE_CODES[data]
+
+
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial hash of 64-bit codes; see ``span_hash``."""
+    out = np.zeros(len(codes) + 1, dtype=U64)
+    np.cumsum(codes * _power(_BASE, len(codes)), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The same number for the same bytes, wherever they stand."""
+    """The same number for the same run of codes, wherever it stands."""
     return mix((prefix[ends] - prefix[starts]) * _power(_BASE_INVERSE, len(prefix))[starts] + (ends - starts).astype(U64))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(data), starts, ends)
+    return span_hash(prefix_sums(_BYTE_CODES[data]), starts, ends)
 
 
 def gram_hashes(items: np.ndarray, k: int) -> np.ndarray:
@@ -138,3 +142,16 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         best = np.where(take, right, left)
         span += step
     return at
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where they now start and end."""
+    lengths = ends - starts + 1
+    new_ends = np.cumsum(lengths)
+    new_starts = new_ends - lengths
+    out = np.full(int(new_ends[-1]) if len(new_ends) else 0, 32, dtype=np.uint8)
+    source = np.repeat(starts - new_starts, lengths) + np.arange(len(out))
+    inside = np.ones(len(out), dtype=bool)
+    inside[new_ends - 1] = False
+    out[inside] = data[source[inside]]
+    return out, new_starts, new_ends - 1
