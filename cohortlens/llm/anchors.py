@@ -25,17 +25,22 @@ Hashes of 64 bits of anchor and context, 128 together, stand for equality.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 from cohortlens.llm.tokens import NOT_SPACE, U64, byte_codes, prefix_sums, slices, sliding_argmin, span_hash, text_buffer, word_hashes, words
 
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
+
 FIRST_ID = -(1 << 63)
 GROUP = 4096
 _POS_BITS = 31
@@ -214,7 +219,7 @@ def _fetched(docs: DataFrame, wanted: DataFrame, unit: Unit, single: bool) -> Da
     return docs.select("doc", "text").join(lists, "doc").select("doc", "text", "wanted").mapInArrow(run, ddl)
 
 
-#: (contexts, unit) -> (doc, pos, mask); the mask has one byte per window of the run, 1 to keep it
+#: (contexts, unit) -> (doc, pos, mask); the mask has one byte per window of the run, odd ("1" too) to keep it
 Resolve = Callable[[DataFrame, Unit], DataFrame]
 
 
@@ -227,7 +232,11 @@ def kept_windows(docs: DataFrame, unit: Unit, resolve: Resolve, first_stays: boo
     doc_of, pos_of = places.doc(F.col("place")), places.pos(F.col("place"))
     rows = _rows(docs, unit).select("key", "context", places.pack(F.col("doc"), F.col("pos")).alias("place"))
     contexts = rows.groupBy("key", "context").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    # all columns of contexts are used on both sides, so that one scan and shuffle serves both
+    several = contexts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.min("place").alias("least")
+    )
+    several = several.where("contexts > 1 AND most > 0 AND least IS NOT NULL").select("key", "contexts")
     found = contexts.join(several, "key", "left").select("place", "n", "contexts")
     if not first_stays:
         found = found.where("contexts IS NOT NULL OR n = 1")
@@ -259,7 +268,7 @@ def _window_by_window(windows: DataFrame, places: Places, first_stays: bool) ->
         F.sequence(F.lit(0), F.array_max("bits")),
         lambda b: F.when(F.array_contains("bits", b), F.lit("1")).otherwise(F.lit("0")),
     )
-    mask = F.encode(F.translate(F.array_join(flags, ""), "01", "\x00\x01"), "utf-8")
+    mask = F.array_join(flags, "").cast("binary")
     return stay.select(places.doc(F.col("place")).alias("doc"), places.pos(F.col("place")).alias("pos"), mask.alias("mask"))
 
 
@@ -276,7 +285,7 @@ def removed_tokens(t: Tokens, r: Runs, unit: Unit, whole: list[np.ndarray], part
             mask = masks.get(int(r.start[i]))
             if mask is not None:
                 keep = np.zeros(int(r.count[i]), dtype=bool)
-                keep[: len(mask)] = np.frombuffer(mask, dtype=np.uint8)[: len(keep)] != 0
+                keep[: len(mask)] = (np.frombuffer(mask, dtype=np.uint8)[: len(keep)] & 1) == 1
                 x = r.start[i] + np.flatnonzero(~keep)
                 np.add.at(gone, x, 1)
                 np.add.at(gone, x + unit.window, -1)

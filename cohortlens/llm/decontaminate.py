@@ -19,17 +19,23 @@ untouched by ``remove_documents`` and ``remove_spans``.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 from cohortlens.llm.tokens import ALPHANUMERIC, LOWER, gram_hashes, joined, slices, text_buffer, word_hashes, words
 
+# the functions below travel with the task, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 _SIEVE_BITS = 20
@@ -193,7 +199,7 @@ def _mapper(shared, id_name: str, text_name: str, out: pa.Schema, mode: str):
     """mode: "report" gives counts and items, "keep" rows without a hit, "spans" all rows, cut."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
+        bench = pickle.loads(shared.value)
         for batch in incoming:
             data, off = text_buffer(batch.column(text_name))
             for a, b in slices(off):
@@ -246,7 +252,7 @@ def _report(piece, hits: Hits, n_hit, bench: Benchmark, id_name: str, out: pa.Sc
 
 
 def _run(docs: DataFrame, items, n: int, mode: str, schema: str, out: pa.Schema | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(build(items, n))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(items, n)))
     return docs.mapInArrow(_mapper(shared, "doc_id", "text", out, mode), schema)
 
 
@@ -302,7 +308,7 @@ def contamination(
 def _filtered(documents: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, mode: str) -> DataFrame:
     out = documents
     for items in blocks(benchmark, block_bytes):
-        shared = out.sparkSession.sparkContext.broadcast(build(items, n))
+        shared = out.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(items, n)))
         out = out.mapInArrow(_mapper(shared, "doc_id", "text", None, mode), out.schema)
     return out
 

@@ -14,23 +14,28 @@ however many documents there are; its table has one bit per word of the reserve
 chosen without gathering a length: hashes are cut into ``SLOTS`` ranges, ranges
 are counted, and only the one range that the quota cuts is ranked.
 
-Defined results: a NULL text has size 0 and is never needed, it takes 0 words. The NULL
-source is a source of its own, ordered last. Repeated rows are documents of
-their own; which of two equal rows is taken does not matter, one of them is. A source without words has target 0. An
-empty table gives an empty result. Extra columns are ignored by ``mix`` and kept by ``repeat_documents``.
+Defined results: NULL and blank texts have size 0 and 0 words are taken of them.
+The NULL source is a source of its own, ordered last. Repeated rows are
+documents of their own. A source without words has target 0, an empty table an
+empty result. Extra columns are ignored by ``mix``, kept by ``repeat_documents``.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WORD, fresh, staged
 
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_PASSES = 2.0
@@ -202,25 +207,21 @@ def mix(
 def repeat_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as ``mixed`` takes it, with a column ``copy`` from 1.
 
-    Documents are matched by doc_id; rows that share one are given their copies in
-    the order of their size, so an id that occurs once gets exactly what was decided for it.
+    Rows are matched by doc_id. Rows that share one are matched by size too, and
+    among equal ones in any order, so that each decision is used once.
     """
-    copy, times, k, key = fresh(documents, "copy", "times", "k", "key")
-    nth = Window.partitionBy("doc_id", "size").orderBy("taken")
-    wanted = mixed.withColumn(k, F.row_number().over(nth)).select(
-        F.col("doc_id").alias(key),
-        F.col("size").alias("_size"),
-        F.col(k).alias("_k"),
-        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias(times),
-    )
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    numbered = documents.withColumn("__size", size).withColumn(
-        "__k", F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("doc_id"))
-    )
-    both = numbered.join(
-        wanted,
-        F.col("doc_id").cast("long").eqNullSafe(F.col(key))
-        & (F.col("__size") == F.col("_size"))
-        & (F.col("__k") == F.col("_k")),
-    ).where(F.col(times) > 0)
+    copy, times, key, size, nth = fresh(documents, "copy", "times", "key", "words", "nth")
+    passes = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    wanted = mixed.select(F.col("doc_id").alias(key), F.col("size").alias(f"{size}_"), passes.alias(times))
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col(key))
+    if mixed.groupBy("doc_id").count().where("count > 1").isEmpty():
+        both = documents.join(wanted.where(F.col(times) > 0), same_id)
+    else:
+        words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+        rows = documents.withColumn(size, words)
+        rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", size).orderBy(size)))
+        order = Window.partitionBy(key, f"{size}_").orderBy(times)
+        wanted = wanted.withColumn(f"{nth}_", F.row_number().over(order))
+        both = rows.join(wanted, same_id & (F.col(size) == F.col(f"{size}_")) & (F.col(nth) == F.col(f"{nth}_")))
+        both = both.where(F.col(times) > 0)
     return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*documents.columns, copy)

@@ -21,18 +21,24 @@ carried along by ``classify`` and ``keep_good``.
 
 from __future__ import annotations
 
+import pickle
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import fresh
 from cohortlens.llm.tokens import ALPHANUMERIC, LOWER, NOT_SPACE, slices, text_buffer, word_hashes, words
 
+# the functions below travel with the task, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE_ROWS = 12_000
 BUCKET_BITS = 15
 FACTORS = 8
@@ -281,11 +287,12 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
 def classify(documents: DataFrame, machine: Machine, score: str = "score") -> DataFrame:
     """``documents`` with one more column, the score of the whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(machine))
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = pickle.loads(shared.value)
         for batch in incoming:
-            parts = [shared.value.scores(x) for x in batch_vectors(batch.column("text"), batch.column("n_chars"))]
+            parts = [fitted.scores(x) for x in batch_vectors(batch.column("text"), batch.column("n_chars"))]
             scores = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])
 

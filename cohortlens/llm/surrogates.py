@@ -28,18 +28,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import fresh
 from cohortlens.llm.tokens import text_buffer
 
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_KEY = "replace this key"
 _ROUNDS = 6
 
@@ -52,6 +56,7 @@ GIVEN = {
     ("female", "greek"): "Αικατερίνη Άννα Ελένη Ευαγγελία Ιωάννα Κωνσταντίνα Μαρία Σοφία",
     ("male", "greek"): "Αλέξανδρος Ανδρέας Βασίλης Γιώργος Δημήτρης Ιωάννης Κώστας Νίκος",
 }
+_PLACE_OF = {n: (g, s, i) for (g, s), names in GIVEN.items() for i, n in enumerate(names.split())}
 # Forms of address before a name.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña".split()
 
@@ -180,18 +185,13 @@ def _ip(key: str, value: str) -> str:
     return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
 
-@lru_cache(maxsize=1)
-def _given() -> dict[str, tuple[str, str, int]]:
-    return {n: (g, s, i) for (g, s), names in GIVEN.items() for i, n in enumerate(names.split())}
-
-
 def _given_name(key: str, value: str) -> str:
-    found = _given().get(value)
+    found = _PLACE_OF.get(value)
     if found:
         names = GIVEN[found[:2]].split()
         return names[Permutation(key, "given/" + "/".join(found[:2]), len(names)).follow(found[2])]
     out = _word_name(key, value)
-    while out in _given():
+    while out in _PLACE_OF:
         out = _word_name(key, out)
     return out
 
@@ -271,7 +271,7 @@ def entities(text: str, marked: bool = True) -> list[tuple[int, int, str]]:
         elif m["second"]:
             found += [(*m.span("first"), "given"), (*m.span("second"), "surname")]
         else:
-            found.append((*m.span("first"), "given" if m["first"] in _given() else "surname"))
+            found.append((*m.span("first"), "given" if m["first"] in _PLACE_OF else "surname"))
     out: list[tuple[int, int, str]] = []
     for x in sorted(found):
         if x[0] < x[1] and (not out or x[0] >= out[-1][1]):

@@ -8,10 +8,15 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
+
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
 
 U64 = np.uint64
 #: Bytes handled at once; a longer single document is handled alone.
@@ -45,17 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, dtype=U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have if n <= 4 * SLICE_BYTES else _powers.get(base, have[: SLICE_BYTES + 1])
-    return have[:n]
+    out = np.full(n, base, dtype=U64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
