@@ -27,11 +27,13 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     dataset.add_argument("--output", "-o", required=True)
     dataset.add_argument("--format", choices=("parquet", "csv"), default="parquet")
     profile = commands.add_parser("profile", help="write the exploration tables of a dataset")
-    profile.add_argument("--input", "-i", required=True, help="CSV file or folder, or *.parquet")
+    profile.add_argument("--input", "-i", required=True, help="CSV or Parquet, file or folder")
     profile.add_argument("--output", "-o", required=True)
+    profile.add_argument("--format", choices=("auto", "parquet", "csv"), default="auto", help="of the input")
     train = commands.add_parser("train", help="train, compare and save classifiers")
-    train.add_argument("--input", "-i", required=True, help="CSV file or folder, or *.parquet")
-    train.add_argument("--output", "-o", help="folder for model and reports, default beside the input")
+    train.add_argument("--input", "-i", required=True, help="CSV or Parquet, file or folder")
+    train.add_argument("--output", "-o", help="folder for model and reports, default a fresh one beside the input")
+    train.add_argument("--format", choices=("auto", "parquet", "csv"), default="auto", help="of the input")
     train.add_argument("--trees", type=int, default=TrainConfig.trees, help="trees per ensemble")
     return parser.parse_args(argv)
 
@@ -45,9 +47,9 @@ def main(argv: list[str] | None = None) -> None:
         events = canonical_events(read_events(spark, args.events, fmt=args.events_format))
         write_dataset(combined_dataset(events), args.output, args.format)
     elif args.command == "profile":
-        print("\n".join(run_profile(spark, args.input, args.output)))
+        print("\n".join(run_profile(spark, args.input, args.output, fmt=args.format)))
     else:
-        run = run_training(spark, args.input, args.output, TrainConfig(trees=args.trees))
+        run = run_training(spark, args.input, args.output, TrainConfig(trees=args.trees), args.format)
         run.trained.results.show(truncate=False)
         run.summary.show(truncate=False)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlens.config import CohortConfig
 from cohortlens.functions import day_diff, in_window, json_scalar
 from cohortlens.sources.events import between_dates
+from cohortlens.storage import stage
 
 # Attributes of a creation event and where its payload holds them.
 PAYLOAD_ATTRIBUTES = {
@@ -91,15 +92,20 @@ def heavy_entities(events: DataFrame, cfg: CohortConfig) -> list:
 
     A sample is enough, as it only decides which keys are salted, never the result.
     """
-    sampled = events.select("entity_id").sample(cfg.heavy_sample, seed=7)
-    counts = sampled.groupBy("entity_id").count()
-    keys = int(1 / cfg.heavy_share)
-    top = counts.filter(F.col("count") >= cfg.heavy_min_sampled).orderBy(F.desc("count")).limit(keys)
-    rows = top.collect()
-    if not rows:
-        return []
-    floor = cfg.heavy_share * sampled.count()
-    return [r["entity_id"] for r in rows if r["count"] > floor]
+    # read once: everything else comes from the small staged counts
+    counts = stage(events.select("entity_id").sample(cfg.heavy_sample, seed=7).groupBy("entity_id").count(), "sampled")
+    floor = cfg.heavy_share * (counts.agg(F.sum("count")).first()[0] or 0)
+    heavy = counts.filter((F.col("count") >= cfg.heavy_min_sampled) & (F.col("count") > floor))
+    top = heavy.orderBy(F.desc("count"), "entity_id").limit(int(1 / cfg.heavy_share))
+    return [r["entity_id"] for r in top.collect()]
+
+
+def window_dates(cohort_times: DataFrame, lo: int, hi: int) -> tuple[str | None, str | None]:
+    """First and last day that can lie in the window of any entity of a staged cohort."""
+    # whole days are cut towards zero, so day 0 begins a day before the creation
+    start, end = F.date_add(F.min("created_at"), lo - 1), F.date_add(F.max("created_at"), hi + 1)
+    row = cohort_times.agg(start.cast("string").alias("start"), end.cast("string").alias("end")).first()
+    return row["start"], row["end"]
 
 
 def attach_events(
@@ -119,14 +125,16 @@ def attach_events(
     * "shuffle" - beyond that; heavy entities are spread over all partitions by
       a salt, and only their cohort rows are repeated.
     """
-    events = between_dates(events, *(cfg.event_dates or (None, None)), time="event_time")
+    events = between_dates(events, *(cfg.event_dates or window_dates(cohort_times, lo, hi)), time="event_time")
     if strategy == "auto":
         # of a staged table this reads file footers only
         strategy = "broadcast" if cohort_times.count() <= cfg.broadcast_rows else "shuffle"
     if strategy == "broadcast":
         joined = events.join(F.broadcast(cohort_times), "entity_id")
     elif strategy == "shuffle":
-        joined = _salted_join(events, cohort_times, heavy_entities(events, cfg))
+        # only events of the cohort are counted and moved
+        known = events.join(cohort_times.select("entity_id").distinct(), "entity_id", "left_semi")
+        joined = _salted_join(events, cohort_times, heavy_entities(known, cfg))
     else:
         raise ValueError(f"strategy: {strategy!r}")
     day = day_diff(F.col("event_time"), F.col("created_at"))

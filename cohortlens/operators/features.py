@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.sources.dataset import EARLY_COLUMNS
 
@@ -81,7 +83,7 @@ class FeatureLists:
 
 
 def feature_lists(columns: Iterable[str]) -> FeatureLists:
-    """The feature sets, with the ``lang_`` columns among ``columns``."""
+    """The feature sets, with the ``lang_`` names among ``columns``."""
     return FeatureLists(
         early=EARLY_COLUMNS,
         metadata=("has_description",),
@@ -100,16 +102,13 @@ def clean_metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def fit_categories(df: DataFrame, col: str, rare_below: int = 100, max_categories: int = 2_000) -> list[str]:
-    """Sorted categories left after grouping those with fewer than ``rare_below`` rows.
+def fit_categories(df: DataFrame, col: str, rare_below: int = 100) -> list[str]:
+    """Sorted categories left after grouping those with fewer than ``rare_below`` rows: at most rows / rare_below.
 
-    They become columns, so their number must stay far below the width a table
-    can have: more than ``max_categories`` is an error that asks for a higher floor.
+    They become places of one sparse vector, not columns.
     """
     sizes = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    kept = [r[0] for r in sizes.filter(F.col("n") >= rare_below).select(col).limit(max_categories + 1).collect()]
-    if len(kept) > max_categories:
-        raise ValueError(f"more than {max_categories} categories of {col}: raise rare_below")
+    kept = [r[0] for r in sizes.filter(F.col("n") >= rare_below).select(col).collect()]
     if not sizes.filter(F.col("n") < rare_below).isEmpty():
         kept.append(OTHER)
     return sorted(set(kept))
@@ -130,14 +129,34 @@ def group_rare(df: DataFrame, col: str, categories: Sequence[str], name: str = "
     return df.withColumn(name, F.expr(grouped_sql(col, categories)))
 
 
-def one_hot_sql(col: str, categories: Sequence[str], prefix: str = "lang_") -> dict[str, str]:
-    return {f"{prefix}{c}": _flag(f"{col} = {_text(c)}") for c in categories}
+def one_hot_names(categories: Sequence[str], prefix: str = "lang_") -> list[str]:
+    """Names of the places of the one-hot vector: the kept categories, then "Other" if there is one."""
+    return [prefix + c for c in (*(c for c in categories if c != OTHER), *([OTHER] if OTHER in categories else []))]
 
 
-def one_hot(df: DataFrame, col: str, categories: Sequence[str], prefix: str = "lang_") -> DataFrame:
-    """One 0/1 column per category, in the order of the fitted categories."""
-    columns = one_hot_sql(col, categories, prefix)
-    return df.select("*", *[F.expr(sql).alias(name) for name, sql in columns.items()])
+def one_hot_stages(spark: SparkSession, col: str, categories: Sequence[str], out: str) -> list[Model]:
+    """Saveable stages that turn a category into one sparse vector; any text may be a category.
+
+    A text that was not kept takes the place of "Other", or none if there is no such place.
+    """
+    kept = [c for c in categories if c != OTHER]
+    if not kept:
+        # a single place: everything is "Other"
+        return [SQLTransformer(statement=f"SELECT *, CAST({int(OTHER in categories)} AS DOUBLE) AS `{out}` FROM __THIS__")]
+    # labels must not be empty, texts may
+    marked = SQLTransformer(statement=f"SELECT *, concat('=', `{col}`) AS `{out}_text` FROM __THIS__")
+    indexer = StringIndexerModel.from_labels(
+        [f"={c}" for c in kept], inputCol=f"{out}_text", outputCol=f"{out}_index", handleInvalid="keep"
+    )
+    # the number of places comes with the index column, so no row is needed to fit
+    encoder = OneHotEncoder(inputCol=f"{out}_index", outputCol=out, dropLast=OTHER not in categories)
+    none = indexer.transform(spark.createDataFrame([], f"`{out}_text` STRING"))
+    return [marked, indexer, encoder.fit(none)]
+
+
+def one_hot(df: DataFrame, col: str, categories: Sequence[str], out: str = "language_vector") -> DataFrame:
+    """``df`` with the one-hot vector of ``col``; its places are named by ``one_hot_names``."""
+    return PipelineModel(stages=one_hot_stages(df.sparkSession, col, categories, out)).transform(df)
 
 
 def engineer_features(df: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.config import CohortConfig
 from cohortlens.operators.cohort import attach_events
+from cohortlens.storage import stage
 
 PUSH = "PushEvent"
 ISSUES = "IssuesEvent"
@@ -325,7 +326,7 @@ def cohort_totals(events: DataFrame, cohort_rows: DataFrame, cfg: CohortConfig,
     metrics = cumulative_report(cfg)
     attached = attach_events(
         with_measures(events, metrics),
-        cohort_rows.select("entity_id", "created_at").distinct(),
+        stage(cohort_rows.select("entity_id", "created_at").distinct(), "cohort-times"),
         0,
         cfg.horizon_days,
         cfg,

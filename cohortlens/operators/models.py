@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import statistics
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -44,18 +47,23 @@ class Preparation:
 
     def transformer(self) -> PipelineModel:
         """Cleaning, one-hots, ratios, scaling and the vector as saveable stages."""
+        plain = [c for c in self.lists.all if c not in set(self.lists.language)]
         x = [
             (self.scaler.sql(c) if c in self.scaler.means else f"CAST(`{c}` AS DOUBLE)") + f" AS x_{i}"
-            for i, c in enumerate(self.lists.all)
+            for i, c in enumerate(plain)
         ]
+        before = len(self.lists.early) + len(self.lists.metadata)
+        places = [f"x_{i}" for i in range(len(x))]
         return PipelineModel(
             stages=[
-                SQLTransformer(statement=_select(_metadata_sql(self.categories))),
-                SQLTransformer(statement=_select(E.one_hot_sql(GROUPED, self.categories))),
+                SQLTransformer(statement=_select(METADATA_SQL)),
+                *E.one_hot_stages(SparkSession.active(), GROUPED, self.categories, LANGUAGE),
                 SQLTransformer(statement=_select({n: E.finite_sql(s) for n, s in E.ENGINEERED.items()})),
                 SQLTransformer(statement=f"SELECT *, {', '.join(x)} FROM __THIS__"),
                 VectorAssembler(
-                    inputCols=[f"x_{i}" for i in range(len(x))], outputCol="features", handleInvalid="keep"
+                    inputCols=[*places[:before], *([LANGUAGE] if self.lists.language else []), *places[before:]],
+                    outputCol="features",
+                    handleInvalid="keep",
                 ),
             ]
         )
@@ -65,26 +73,24 @@ def _select(columns: dict[str, str]) -> str:
     return "SELECT *, " + ", ".join(f"{sql} AS `{name}`" for name, sql in columns.items()) + " FROM __THIS__"
 
 
-# the grouped language, on its way to the one-hot columns
+# the language on its way to the one-hot vector, and that vector
 GROUPED = "language_for_model"
-
-
-def _metadata_sql(categories) -> dict[str, str]:
-    return {
-        "has_description": "CASE WHEN description IS NOT NULL THEN 1 ELSE 0 END",
-        GROUPED: E.grouped_sql(f"coalesce(primary_language, '{E.UNKNOWN}')", categories),
-    }
+LANGUAGE = "language_one_hot"
+METADATA_SQL = {
+    "has_description": "CASE WHEN description IS NOT NULL THEN 1 ELSE 0 END",
+    GROUPED: f"coalesce(primary_language, '{E.UNKNOWN}')",
+}
 
 
 def fit_categories(dataset: DataFrame, cfg: TrainConfig) -> tuple[str, ...]:
     """Language categories, learned from all rows: they decide the columns."""
     cleaned = E.clean_metadata(dataset)
-    return tuple(E.fit_categories(cleaned, "primary_language", cfg.rare_below, cfg.max_categories))
+    return tuple(E.fit_categories(cleaned, "primary_language", cfg.rare_below))
 
 
 def fit_preparation(categories, train: DataFrame) -> Preparation:
     """Scaling, learned from the training rows only."""
-    lists = E.feature_lists([f"lang_{c}" for c in categories])
+    lists = E.feature_lists(E.one_hot_names(categories))
     # only numbers are scaled, so cleaning and one-hots are not needed here
     scaler = E.fit_scaler(E.engineer_features(train), lists.scaled)
     return Preparation(tuple(categories), scaler, lists)
@@ -107,10 +113,10 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     return sizes.select(F.col(y).alias("class"), "n", (totals.scalar() / F.col("n")).alias("weight"))
 
 
-def with_weights(train: DataFrame, sizes: dict[int, int], positive_weight: float) -> DataFrame:
+def with_weights(train: DataFrame, positive_weight: float) -> DataFrame:
     """Weight columns: balanced over the classes, and positives by ``positive_weight``."""
-    n = sum(sizes.values())
-    balanced = {c: n / (len(sizes) * rows) for c, rows in sizes.items()}
+    # one row per class
+    balanced = {r["class"]: r["weight"] for r in class_weights(train, "y").collect()}
     return train.withColumns(
         {
             "weight": F.when(F.col("y") == 1, balanced.get(1, 1.0)).otherwise(balanced.get(0, 1.0)),
@@ -120,8 +126,7 @@ def with_weights(train: DataFrame, sizes: dict[int, int], positive_weight: float
 
 
 def make_models(cfg: TrainConfig, n_train: int) -> dict[str, Estimator]:
-    """The compared estimators. The two named after other libraries are boosted
-    trees with those libraries' depth, rate and class weighting."""
+    """The compared estimators; the last two are deeper boosted trees with class weights."""
     common = dict(labelCol="y", featuresCol="features")
     # more memory per pass: deep forests need fewer passes over the rows
     trees = dict(common, seed=cfg.seed, maxBins=64, maxMemoryInMB=512)
@@ -135,8 +140,8 @@ def make_models(cfg: TrainConfig, n_train: int) -> dict[str, Estimator]:
             **trees, numTrees=cfg.trees, maxDepth=15, weightCol="weight"
         ),
         "Gradient Boosting": GBTClassifier(**boosted, maxDepth=5, stepSize=0.1),
-        "XGBoost": GBTClassifier(**boosted, maxDepth=6, stepSize=0.3, weightCol="positive_weight"),
-        "LightGBM": GBTClassifier(**boosted, maxDepth=6, stepSize=0.1, weightCol="weight"),
+        "Gradient Boosting (positive weight)": GBTClassifier(**boosted, maxDepth=6, stepSize=0.3, weightCol="positive_weight"),
+        "Gradient Boosting (balanced)": GBTClassifier(**boosted, maxDepth=6, stepSize=0.1, weightCol="weight"),
     }
     return {name: models[name] for name in cfg.models}
 
@@ -163,8 +168,22 @@ def scored_by(model: Model, df: DataFrame) -> DataFrame:
 def resampled(train: DataFrame, cfg: TrainConfig, positive_weight: float) -> DataFrame:
     """Training rows after the gate and oversampling, staged, with weights."""
     rows = smote(train, "y", cfg.neighbours, cfg.resample_ratio, cfg.resample_gate, cfg.seed)
-    rows = stage(rows, "train")
-    return with_weights(rows, class_sizes(rows, "y"), positive_weight)
+    return with_weights(stage(rows, "train"), positive_weight)
+
+
+def fit_sample(train: DataFrame, sizes: dict[int, int], cfg: TrainConfig) -> DataFrame:
+    """At most about ``cfg.fit_rows`` training rows, in the classes' proportions."""
+    n = sum(sizes.values())
+    if n <= cfg.fit_rows:
+        return train
+    share = cfg.fit_rows / n
+    return train.filter(F.pmod(F.xxhash64(F.lit(cfg.seed), "key"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
+
+
+def side_by_side(jobs: list, workers: int) -> list:
+    """Results of functions that run Spark jobs, ``workers`` at a time, in order."""
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
 
 
 def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: TrainConfig, positive_weight: float) -> dict[str, tuple[float, float]]:
@@ -177,7 +196,7 @@ def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: Trai
     folded = stage(assign_folds(source.withColumn("stratum", F.col("y")), "key", "stratum", cfg.folds, cfg.seed), "folds")
     if cfg.leaky_folds or not rows_to_add(class_sizes(train, "y"), cfg.resample_ratio, cfg.resample_gate)[1]:
         if not cfg.leaky_folds:
-            folded = with_weights(folded, class_sizes(folded, "y"), positive_weight)
+            folded = with_weights(folded, positive_weight)
         # the raw prediction of a single tree is a row count, so rank by probability
         evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="probability", numBins=0)
         summary = {}
@@ -193,15 +212,18 @@ def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: Trai
             validated = validator.fit(folded)
             summary[name] = (float(validated.avgMetrics[0]), float(validated.stdMetrics[0]))
         return summary
-    scores: dict[str, list[float]] = {name: [] for name in estimators}
-    for fold in range(cfg.folds):
-        part = resampled(folded.filter(F.col("fold") != fold), cfg, positive_weight).cache()
-        held_out = folded.filter(F.col("fold") == fold)
-        for name, estimator in estimators.items():
-            model = estimator.fit(part)
-            scores[name].append(exact_auc(scored_by(model, held_out)))
+    parts = [resampled(folded.filter(F.col("fold") != fold), cfg, positive_weight).cache() for fold in range(cfg.folds)]
+
+    def one(name: str, fold: int) -> float:
+        model = estimators[name].fit(parts[fold])
+        return exact_auc(scored_by(model, folded.filter(F.col("fold") == fold)))
+
+    jobs = [partial(one, name, fold) for name in reversed(estimators) for fold in range(cfg.folds)]
+    found = side_by_side(jobs, cfg.parallelism)
+    for part in parts:
         part.unpersist()
-    return {name: (statistics.fmean(s), statistics.pstdev(s)) for name, s in scores.items()}
+    scores = {name: found[i * cfg.folds : (i + 1) * cfg.folds] for i, name in enumerate(reversed(estimators))}
+    return {name: (statistics.fmean(scores[name]), statistics.pstdev(scores[name])) for name in estimators}
 
 
 @dataclass
@@ -211,33 +233,42 @@ class Trained:
     models: dict[str, Model]
     results: DataFrame
     best: str
+    scores: dict[str, DataFrame]
+
+    def best_tree(self) -> str:
+        """The model with the highest test ROC-AUC among those that have feature importances."""
+        names = [r["model"] for r in self.results.collect()]
+        return next(n for n in names if hasattr(self.models[n], "featureImportances"))
 
 
 def train_models(train: DataFrame, test: DataFrame, cfg: TrainConfig) -> Trained:
     """Cross-validate, fit on all training rows and evaluate on the test rows.
 
-    ``train`` and ``test`` are staged (key, y, features) tables. The loop over
-    models runs on the driver; every fit and evaluation is distributed.
+    ``train`` and ``test`` are staged (key, y, features) tables. Models and folds are
+    fitted side by side; every fit and evaluation is distributed.
     """
     sizes = class_sizes(train, "y")
     if len(sizes) < 2:
         raise ValueError("training rows must have both classes")
     positive_weight = sizes[0] / sizes[1]
-    rows = resampled(train, cfg, positive_weight).cache()
+    labelled = fit_sample(train, sizes, cfg)
+    rows = resampled(labelled, cfg, positive_weight).cache()
     estimators = make_models(cfg, rows.count())
-    folds = cross_validate(estimators, train, cfg, positive_weight)
-    models, results = {}, []
-    for name, estimator in estimators.items():
-        models[name] = model = estimator.fit(rows)
-        scored = stage(scored_by(model, test), "scored")
-        auc = exact_auc(scored)
+    folds = cross_validate(estimators, labelled, cfg, positive_weight)
+
+    def fitted(name: str) -> tuple[Model, DataFrame]:
+        model = estimators[name].fit(rows)
+        return model, stage(scored_by(model, test), "scored")
+
+    found = side_by_side([partial(fitted, name) for name in estimators], cfg.parallelism)
+    models, scores, results = {}, {}, []
+    for name, (model, scored) in zip(estimators, found):
+        models[name], scores[name] = model, scored
         m = V.metrics_of(V.confusion(scored, predicted="predicted")).first()
-        results.append(
-            (name, *folds[name], auc, m.accuracy, m.precision, m.recall, m.f1)
-        )
+        results.append((name, *folds[name], exact_auc(scored), m.accuracy, m.precision, m.recall, m.f1))
     rows.unpersist()
     table = train.sparkSession.createDataFrame(results, RESULT_SCHEMA)
-    return Trained(models, table.orderBy(F.desc("test_roc_auc")), select_best(results))
+    return Trained(models, table.orderBy(F.desc("test_roc_auc")), select_best(results), scores)
 
 
 def select_best(results: list[tuple], at: int = 3) -> str:

@@ -1,166 +1,87 @@
-"""Exact k nearest neighbours of distinct points by cells around pivots.
+"""Exact k nearest neighbours inside a set of bounded size.
 
-Every point belongs to the cell of its nearest pivot. A bound on the distance to
-the k-th neighbour comes from the point's own chunk of its cell and from the cell
-radii; only cells that can hold a nearer point are searched. Cells and their
-searchers are split into chunks of bounded size, so a dense region is spread over
-tasks, and only the k best of a chunk leave it.
+The set comes from the labelled rows that a classifier is fitted on, whose number
+``TrainConfig.fit_rows`` bounds. It is sent to the tasks once; each task takes
+some of the searching points and compares them with all others in blocks. Only
+the k best of a point leave the task, as ids.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window, functions as F
-
-from cohortlens.operators.sampling import bounded_sample
-from cohortlens.storage import stage
+from pyspark.sql import DataFrame, functions as F
 
 # the functions below travel with the task, so executors need not have the package
 register_pickle_by_value(sys.modules[__name__])
 
-MAX_PIVOTS = 256
-CHUNK_ROWS = 2_048
-BLOCK_ROWS = 256
-# bounds are compared with this relative slack, so that rounding excludes nothing
+# searching points and distances held at once
+CHUNK_ROWS = 256
+BLOCK_CELLS = 4_000_000
+# rough distances are compared with this relative slack, so that rounding excludes nothing
 SLACK = 1e-9
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, summed over dimensions without cancellation."""
-    total = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        difference = a[:, d, None] - b[None, :, d]
-        total += difference * difference
-    return np.sqrt(total)
+def _matrix(column) -> np.ndarray:
+    return np.array(list(column), dtype=np.float64)
 
 
 def rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances by matrix product, and how far off they may be.
 
-    Fast, but inexact for near points; used to rule points in or out, never as a result.
+    Fast, but inexact for near points; used to rule points out, never as a result.
     """
     size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
     return size - 2.0 * (a @ b.T), size * SLACK
 
 
+def best_of(x: np.ndarray, at: np.ndarray, points: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of ``x``, which is point ``at``: its k nearest other points and their distances; ties by position."""
+    squares, error = rough_squares(x, points)
+    upper = squares + error
+    upper[np.arange(len(x)), at] = np.inf
+    k = min(k, len(points) - 1)
+    if k < 1:
+        return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in x]
+    limits = np.partition(upper, k - 1, axis=1)[:, k - 1]
+    found = []
+    for i, row in enumerate(squares - error):
+        near = np.flatnonzero(row <= limits[i])
+        near = near[near != at[i]]
+        exact = np.sqrt(((points[near] - x[i]) ** 2).sum(axis=1))
+        # stable: equal distances keep the order of the ids
+        order = np.argsort(exact, kind="stable")[:k]
+        found.append((near[order], exact[order]))
+    return found
+
+
 def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
-    """(pid, other, distance) of the k nearest other points; ties by ``other``.
+    """(pid, other, distance, place) of the k nearest other points; ties by ``other``.
 
-    ``points`` is a staged table (pid, x array<double>) with distinct pids;
-    ``searchers`` is a SQL test that chooses the points to search for.
+    ``points`` is a staged table (pid, x array<double>) with distinct pids and of bounded
+    size; ``searchers`` is a SQL test that chooses the points to search for.
     """
-    n = points.count()
-    n_pivots = max(1, min(MAX_PIVOTS, math.isqrt(n)))
-    # at most MAX_PIVOTS rows
-    pivots = _matrix(pd.Series([r["x"] for r in bounded_sample(points, "pid", n_pivots).collect()]))
+    spark = points.sparkSession
+    rows = sorted(points.select("pid", "x").collect())  # at most TrainConfig.fit_rows points
+    held = spark.sparkContext.broadcast((np.array([r["pid"] for r in rows]), _matrix(r["x"] for r in rows)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, x = held.value
+        step = max(1, min(CHUNK_ROWS, BLOCK_CELLS // max(1, len(names))))
         for batch in batches:
-            if len(batch):
-                to_pivots = distances(_matrix(batch["x"]), pivots)
-                batch = batch.assign(cell=to_pivots.argmin(axis=1).astype("int32"), reach=to_pivots.min(axis=1))
-                yield batch[["pid", "x", "searches", "cell", "reach"]]
-
-    marked = points.select("pid", "x", F.expr(searchers).alias("searches"))
-    placed = stage(
-        marked.mapInPandas(place, "pid string, x array<double>, searches boolean, cell int, reach double"),
-        "cells",
-    )
-    # one row per cell
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach"), F.max("reach")).collect()
-    size = np.zeros(n_pivots, dtype=np.int64)
-    inner, outer = np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf)
-    for cell, rows, lo, hi in stats:
-        size[cell], inner[cell], outer[cell] = rows, lo, hi
-    chunks = np.maximum(1, -(-size // CHUNK_ROWS))
-    chunk_of = F.element_at(F.lit(chunks.tolist()).cast("array<int>"), F.col("cell") + 1)
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("pid"), chunk_of).cast("int"))
-
-    def plan_search(group: pd.DataFrame) -> pd.DataFrame:
-        """Bound of each searching point from its own chunk, and the cells within it."""
-        x = _matrix(group["x"])
-        rows, bounds, cells = group.index[group["searches"]].tolist(), [], []
-        for start in range(0, len(rows), BLOCK_ROWS):
-            at = rows[start : start + BLOCK_ROWS]
-            to_pivots = distances(x[at], pivots)
-            squares, error = rough_squares(x[at], x)
-            own = squares + error
-            own[np.arange(len(at)), at] = np.inf
-            far = to_pivots + outer[None, :]
-            order = far.argsort(axis=1)
-            for i in range(len(at)):
-                # all points of a cell are at most this far; enough cells hold k others
-                held = size[order[i]].cumsum()
-                enough = min(int(np.searchsorted(held, k + 1)), n_pivots - 1)
-                bound = far[i, order[i, enough]] if held[-1] > k else np.inf
-                if len(x) > k:
-                    bound = min(bound, math.sqrt(np.partition(own[i], k - 1)[k - 1]))
-                least = np.maximum(to_pivots[i] - outer, inner - to_pivots[i])
-                least = np.maximum(least, (to_pivots[i] - to_pivots[i].min()) / 2)
-                within = (size > 0) & (least <= bound * (1 + SLACK) + SLACK)
-                bounds.append(bound)
-                cells.append(np.flatnonzero(within).tolist())
-        found = group.loc[rows, ["pid", "x"]]
-        return found.assign(bound=bounds, cells=cells)
-
-    # the work is in the tasks, not in the bytes: keep them from being merged
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = stage(
-        chunked.repartition(tasks, "cell", "chunk").groupBy("cell", "chunk").applyInPandas(
-            plan_search, "pid string, x array<double>, bound double, cells array<int>"
-        ),
-        "searches",
-    )
-    # one row per cell: how many tasks share the searchers of a cell
-    loads = plan.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
-    splits = np.ones(n_pivots, dtype=np.int64)
-    for cell, rows in loads:
-        splits[cell] = max(1, -(-rows // CHUNK_ROWS))
-
-    def lookup(values: np.ndarray):
-        return F.element_at(F.lit(values.tolist()).cast("array<int>"), F.col("cell") + 1)
-
-    searching = (
-        plan.select("pid", "x", "bound", F.explode("cells").alias("cell"))
-        .withColumn("split", F.pmod(F.xxhash64("pid"), lookup(splits)).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), lookup(chunks) - 1)))
-    )
-    searched = chunked.select("pid", "x", "cell", "chunk").withColumn(
-        "split", F.explode(F.sequence(F.lit(0), lookup(splits) - 1))
-    )
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            right = right.sort_values("pid", ignore_index=True)
-            x, others = _matrix(left["x"]), _matrix(right["x"])
-            names = right["pid"].to_numpy()
-            pids, bounds = left["pid"].to_numpy(), left["bound"].to_numpy()
-            limits = (bounds * (1 + SLACK) + SLACK) ** 2
-            for start in range(0, len(x), BLOCK_ROWS):
-                squares, error = rough_squares(x[start : start + BLOCK_ROWS], others)
-                for i, row in enumerate(squares - error, start):
-                    near = np.flatnonzero((row <= limits[i]) & (names != pids[i]))
-                    exact = np.sqrt(((others[near] - x[i]) ** 2).sum(axis=1))
-                    # stable: equal distances keep the pid order
-                    best = np.argsort(exact, kind="stable")[:k]
-                    found += zip([pids[i]] * len(best), names[near[best]], exact[best])
-        return pd.DataFrame(found, columns=["pid", "other", "distance"])
-
-    keys = ["cell", "chunk", "split"]
-    best = searching.groupBy(*keys).cogroup(searched.groupBy(*keys)).applyInPandas(
-        search, "pid string, other string, distance double"
-    )
-    # at most k rows per searched chunk
-    order = Window.partitionBy("pid").orderBy("distance", "other")
-    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+            at = np.searchsorted(names, batch["pid"].to_numpy().astype(names.dtype))
+            for start in range(0, len(at), step):
+                some = at[start : start + step]
+                for i, (near, distance) in zip(some, best_of(x[some], some, x, k)):
+                    yield pd.DataFrame(
+                        {"pid": names[i], "other": names[near], "distance": distance, "place": np.arange(1, len(near) + 1)}
+                    )
+
+    # the work is in the tasks, not in the bytes: spread the ids
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = points.where(F.expr(searchers)).select("pid").repartition(tasks, "pid")
+    return ids.mapInPandas(search, "pid string, other string, distance double, place int")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlens.functions import map_values, percent
 from cohortlens.operators.ranks import long_counts, value_quantiles
 from cohortlens.sources.dataset import EARLY_COLUMNS, LABEL_COLUMNS, OUTCOME_COLUMNS
 
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
+
 TARGET = "is_successful_project"
 
 # Columns left out of the correlation with the target.
@@ -171,34 +178,68 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _pearson(df: DataFrame, x: str, y: str) -> str:
-    """Pearson correlation over the pairs without NULL; NULL if a side is constant.
+def _pair_sums(df: DataFrame, columns: Sequence[str], centres: Sequence[float]) -> DataFrame:
+    """Sums over the rows where both columns of a pair are known: (i, j, n, sx, sy, sxx, syy, sxy), one row per pair.
 
-    For columns that cannot be NULL the deviations do not depend on the partner,
-    so that one deviation per column serves all its pairs.
+    Each task adds up matrices over its rows, so a pair costs one product however
+    many pairs there are. Values are taken relative to ``centres``, which keeps the sums small.
     """
-    sides = [x, y]
-    if any(df.schema[c].nullable for c in sides):
-        both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-        sides = [f"CASE WHEN {both} THEN {c} END" for c in sides]
-    return f"covar_pop({x}, {y}) / nullif(stddev_pop({sides[0]}) * stddev_pop({sides[1]}), 0D)"
+    p = len(columns)
+    i, j = np.tril_indices(p)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sx, sxx, sxy = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64) - np.asarray(centres)
+            known = (~np.isnan(x)).astype(np.float64)
+            x = np.where(known > 0, x, 0.0)
+            n += known.T @ known
+            sx += x.T @ known
+            sxx += (x * x).T @ known
+            sxy += x.T @ x
+        yield pd.DataFrame(
+            {"i": i, "j": j, "n": n[i, j], "sx": sx[i, j], "sy": sx[j, i], "sxx": sxx[i, j], "syy": sxx[j, i], "sxy": sxy[i, j]}
+        )
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = df.select(*[F.col(c).cast("double") for c in columns]).mapInPandas(
+        add, "i int, j int, " + ", ".join(f"{s} double" for s in sums)
+    )
+    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, correlation) for j <= i; NULL if a side is constant over the common rows."""
+    columns = list(columns)
+    means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    pairs = _pair_sums(df, columns, [float(m) for m in means])
+    spread = "(sxx - sx * sx / n) * (syy - sy * sy / n)"
+    # what rounding leaves of a constant column is not a deviation
+    flat = "sxx - sx * sx / n <= 1e-12 * sxx OR syy - sy * sy / n <= 1e-12 * syy"
+    value = f"CASE WHEN n > 0 AND NOT ({flat}) THEN (sxy - sx * sy / n) / sqrt({spread}) END"
+    return pairs.select("i", "j", F.expr(value).alias("correlation"))
+
+
+def _name(columns: Sequence[str], at: str) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col(at))
 
 
 def corr_with(df: DataFrame, columns: Sequence[str], y: str = TARGET, include_target: bool = True) -> DataFrame:
-    """Correlation of each column with the target, highest first, in one pass."""
-    columns = [c for c in columns if include_target or c != y]
-    totals = df.agg(*[F.expr(_pearson(df, c, y)).alias(f"r{i}") for i, c in enumerate(columns)])
-    rows = ", ".join(f"'{c}', r{i}" for i, c in enumerate(columns))
-    stacked = totals.select(F.expr(f"stack({len(columns)}, {rows}) AS (feature, correlation)"))
-    return stacked.orderBy(F.desc_nulls_last("correlation"), F.asc("feature"))
+    """Correlation of each column with the target, highest first, in one pass; pairs with a NULL are left out."""
+    with_itself = include_target and y in columns
+    columns = [c for c in columns if c != y]
+    found = _correlations(df, [*columns, y]).where(F.col("i") == len(columns))
+    if not with_itself:
+        found = found.where(F.col("j") < len(columns))
+    rows = found.select(_name([*columns, y], "j").alias("feature"), "correlation")
+    return rows.orderBy(F.desc_nulls_last("correlation"), F.asc("feature"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] = MATRIX_COLUMNS) -> DataFrame:
     """Lower triangle of the correlation matrix with its diagonal, in long form, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[: i + 1]]
-    totals = df.agg(*[F.expr(_pearson(df, a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = ", ".join(f"'{a}', '{b}', r{i}" for i, (a, b) in enumerate(pairs))
-    return totals.select(F.expr(f"stack({len(pairs)}, {rows}) AS (feature_a, feature_b, correlation)"))
+    return _correlations(df, columns).select(
+        _name(columns, "i").alias("feature_a"), _name(columns, "j").alias("feature_b"), "correlation"
+    )
 
 
 def histogram(

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.storage import stage
 
-BUCKETS = 64
+
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as shuffle partitions, within what a broadcast table of offsets may hold."""
+    return min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_totals(
@@ -20,7 +23,7 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     parts: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     bucket_sql: str | None = None,
 ) -> DataFrame:
     """Add ``<sum>_to`` (ascending prefix sum up to and including the row) and ``<sum>_all``.
@@ -34,10 +37,11 @@ def running_totals(
     if bucket_sql is not None:
         cut = counts.withColumn("bucket", F.expr(bucket_sql))
     else:
+        buckets = buckets or bucket_count(counts)
         # cut points balance the distinct values; any cut points give the same sums
         shares = ", ".join(str(i / buckets) for i in range(1, buckets))
         cuts = counts.groupBy(*parts).agg(
-            F.expr(f"percentile_approx({order}, array({shares}), 1000)").alias("cuts")
+            F.expr(f"percentile_approx({order}, array({shares}), {max(1000, 20 * buckets)})").alias("cuts")
         )
         # at most `buckets` values per part
         cut = counts.join(F.broadcast(cuts), list(parts)).withColumn(
@@ -90,7 +94,7 @@ def hash_rank(df: DataFrame, key: str, part: str, seed: int, digits: int = 3) ->
     """Add ``shuffle_rank``: 1-based position in a seeded shuffle within each ``part``.
 
     The order is that of ``md5(seed|key)``; its first hex digits are evenly filled
-    buckets. Also adds ``part_rows`` and ``all_rows``. Give a staged table.
+    buckets. Also adds ``part_rows``. Give a staged table.
     """
     hashed = df.withColumn("shuffle_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))))
     hashed = hashed.withColumn("bucket", F.substring("shuffle_hash", 1, digits))

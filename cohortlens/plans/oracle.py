@@ -404,11 +404,14 @@ UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f),
 UNION ALL SELECT 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(r * s) / sum(s), 6),
                  round(sum(f * s) / sum(s), 6), CAST(sum(s) AS BIGINT) FROM pr"""
 
-ORACLE: dict[str, str] = {
-    "canonical": f"""WITH {USERS} SELECT id AS repo_id, name AS repo_name, typ AS event_type, actor AS actor_id,
+CANONICAL = f"""WITH {USERS} SELECT id AS repo_id, name AS repo_name, typ AS event_type, actor AS actor_id,
         login AS actor_login, t AS event_time, CASE WHEN typ = 'CreateEvent' THEN 'repository' END AS ref_type,
-        act AS action, sz AS size, CAST(NULL AS VARCHAR) AS nested FROM ev
-        WHERE typ IN ('PushEvent', 'WatchEvent', 'IssuesEvent', 'CreateEvent')""",
+        act AS action, sz AS size, CAST(NULL AS VARCHAR) AS nested FROM ev"""
+TEST_ROWS = f"SELECT count(*) FROM ({SPLIT}) WHERE is_test = 1"
+
+ORACLE: dict[str, str] = {
+    "canonical": CANONICAL,
+    "canonical_kinds": f"{CANONICAL} WHERE typ IN ('PushEvent', 'WatchEvent', 'IssuesEvent', 'CreateEvent')",
     "new_entities": f"""WITH {USERS} SELECT DISTINCT id AS repo_id, name AS repo_name, lang AS primary_language,
         descr AS description, lic AS license, fork AS is_fork, t AS repo_created_at, actor AS creator_id,
         login AS creator_login FROM ev WHERE typ = 'CreateEvent' AND fork IS DISTINCT FROM TRUE""",
@@ -518,6 +521,14 @@ ORACLE: dict[str, str] = {
     "sample": f"{DS} SELECT repo_id FROM ds ORDER BY md5('42|' || repo_id), repo_id LIMIT 100",
     "class_weights": f"""{DS} SELECT {TARGET} AS class, count(*) AS n,
         round(sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE), 6) AS weight FROM ds GROUP BY {TARGET}""",
+    # above a ratio of 1.5 the smaller class is filled up to the larger one
+    "smote": f"""{DS}, c AS (SELECT {TARGET} AS y, count(*) AS n, max(count(*)) OVER () AS top FROM ds GROUP BY {TARGET})
+        SELECT y, CASE WHEN top > 1.5 * n THEN top ELSE n END AS n, CASE WHEN top > 1.5 * n THEN top - n ELSE 0 END AS made
+        FROM c""",
+    "comparison_recomputed": f"SELECT 6::BIGINT AS models, ({TEST_ROWS}) AS test_rows, 0::BIGINT AS different",
+    "score_new_checked": f"{DS} SELECT count(*) AS n, 0::BIGINT AS outside, 0::BIGINT AS mislabelled, 0::BIGINT AS changed FROM ds",
+    "shapley_additive": f"SELECT ({TEST_ROWS}) AS n, 0::BIGINT AS off",
+    "shapley_rows": f"SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS place, ({TEST_ROWS}) AS n, ({TEST_ROWS}) AS n_keys",
     "confusion": f"{CELLS} SELECT * FROM cm",
     "binary_metrics": f"""{CELLS} SELECT {r6(safe('tp + tn', 'tp + tn + fp + fn'), 'accuracy')},
         {r6(safe('tp', 'tp + fp'), 'precision')}, {r6(safe('tp', 'tp + fn'), 'recall')},

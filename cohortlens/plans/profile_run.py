@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions import activity_level
 from cohortlens.operators import profile as P
-from cohortlens.plans.training_run import load_dataset
+from cohortlens.plans.training_run import load_dataset, output_folder
 from cohortlens.sources.dataset import profile_schema, write_dataset
 from cohortlens.storage import stage
 
@@ -40,9 +40,10 @@ def profile_tables(dataset: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-def run_profile(spark: SparkSession, input_path: str, output: str) -> list[str]:
-    """Write the exploration tables of a dataset file below ``output``."""
-    tables = profile_tables(stage(load_dataset(spark, input_path), "input"))
+def run_profile(spark: SparkSession, input_path: str, output: str, fmt: str = "auto") -> list[str]:
+    """Write the exploration tables of a dataset file below ``output``, which must not touch the input."""
+    output = output_folder(input_path, output, ("",))
+    tables = profile_tables(stage(load_dataset(spark, input_path, fmt), "input"))
     for name, table in tables.items():
         write_dataset(table, f"{output.rstrip('/')}/{name}")
     return sorted(tables)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import posixpath
+import uuid
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.config import TrainConfig
@@ -17,9 +20,6 @@ from cohortlens.operators.sampling import bounded_sample, stratified_split
 from cohortlens.sources.dataset import read_dataset_csv, write_dataset
 from cohortlens.storage import stage
 
-SHAPLEY_ROWS = 1000
-
-
 @dataclass
 class Run:
     """What a run leaves behind; tables are DataFrames."""
@@ -31,22 +31,26 @@ class Run:
     test: DataFrame
     scored: DataFrame
     summary: DataFrame
+    dataset: DataFrame
 
 
 def train_and_evaluate(dataset: DataFrame, cfg: TrainConfig) -> Run:
     """Run all stages on a wide dataset."""
     dataset = stage(dataset, "dataset")
     categories = D.fit_categories(dataset, cfg)
-    parts = stage(stratified_split(dataset, cfg.key, cfg.target, cfg.test_share, cfg.seed), "split")
-    train_rows, test_rows = (parts.filter(F.col("is_test") == flag).drop("is_test") for flag in (0, 1))
+    keys = dataset.select(cfg.key, cfg.target)
+    parts = stage(stratified_split(keys, cfg.key, cfg.target, cfg.test_share, cfg.seed).select(cfg.key, "is_test"), "split")
+    train_rows, test_rows = (
+        dataset.join(parts.filter(F.col("is_test") == flag).select(cfg.key), cfg.key, "left_semi") for flag in (0, 1)
+    )
     prepared = D.fit_preparation(categories, train_rows)
     train = stage(D.assemble(train_rows, prepared, cfg), "train")
     test = stage(D.assemble(test_rows, prepared, cfg), "test")
     trained = D.train_models(train, test, cfg)
     best = trained.models[trained.best]
     fitted = D.bundle(trained.best, prepared, best)
-    scored = stage(D.scored_by(best, test), "scored")
-    return Run(trained, fitted, prepared, train, test, scored, run_summary(dataset, fitted, scored))
+    scored = trained.scores[trained.best]
+    return Run(trained, fitted, prepared, train, test, scored, run_summary(dataset, fitted, scored), dataset)
 
 
 def run_summary(dataset: DataFrame, fitted: D.SuccessModel, scored: DataFrame) -> DataFrame:
@@ -63,38 +67,69 @@ def run_summary(dataset: DataFrame, fitted: D.SuccessModel, scored: DataFrame) -
 
 def feature_comparison(dataset: DataFrame, run: Run, k: int = 10) -> DataFrame:
     """Class means of the k most important features that the dataset has."""
-    top = X.feature_importance(dataset.sparkSession, run.fitted.model, run.fitted.features, k)
+    model = run.trained.models[run.trained.best_tree()]
+    top = X.feature_importance(dataset.sparkSession, model, run.fitted.features, k)
     prepared = run.fitted.preparation.transform(dataset)
-    names = [f"`{r['feature']}`" for r in top.collect()]
-    plain = [c.strip("`") for c in names]
-    safe = {c: f"m{i}" for i, c in enumerate(plain)}
-    means = P.class_means(
-        prepared.select(P.TARGET, *[F.col(f"`{c}`").alias(n) for c, n in safe.items()]), list(safe.values())
-    )
-    back = {n: c for c, n in safe.items()}
-    return means.replace(back, subset=["feature"])
+    language = run.prepared.lists.language
+    hot = vector_to_array(D.LANGUAGE) if language else None
+    names = [r["feature"] for r in top.collect()]
+    values = [hot[language.index(n)] if n in language else F.col(n) for n in names]
+    safe = [f"m{i}" for i in range(len(names))]
+    means = P.class_means(prepared.select(P.TARGET, *[v.alias(n) for v, n in zip(values, safe)]), safe)
+    return means.replace(dict(zip(safe, names)), subset=["feature"])
+
+
+def shapley_table(run: Run, rows: int | None = None, seed: int = 42) -> tuple[DataFrame, float]:
+    """Shapley values of all test rows, or of ``rows`` of them (the published run took 1,000), for the best tree model."""
+    sample = run.test if rows is None else bounded_sample(run.test, "key", rows, seed)
+    return X.tree_shapley(sample, run.trained.models[run.trained.best_tree()], run.fitted.features)
+
+
+def load_dataset(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
+    """A dataset as Parquet or CSV; "auto" looks whether there are Parquet files below ``path``."""
+    if fmt == "auto":
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        parquet = files.select("path").where("path LIKE '%.parquet'")
+        fmt = "csv" if parquet.isEmpty() else "parquet"
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    if fmt != "csv":
+        raise ValueError(f"fmt: {fmt!r}")
+    return read_dataset_csv(spark, path)
 
 
-def shapley_table(run: Run, rows: int = SHAPLEY_ROWS, seed: int = 42) -> tuple[DataFrame, float]:
-    sample = bounded_sample(run.test, "key", rows, seed)
-    return X.tree_shapley(sample, run.fitted.model, run.fitted.features)
+def _parts(path: str) -> tuple[str, ...]:
+    return tuple(p for p in posixpath.normpath(urlparse(path).path or path).split("/") if p)
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet folders by name, everything else as CSV."""
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    return read_dataset_csv(spark, path)
+def output_folder(input_path: str, output: str | None, written: tuple[str, ...]) -> str:
+    """``output`` or a fresh folder beside the input; what is written there must not touch the input."""
+    output = (output or f"{input_path.rstrip('/')}-run-{uuid.uuid4().hex[:8]}").rstrip("/")
+    source = _parts(input_path)
+    for name in written:
+        target = _parts(f"{output}/{name}")
+        shorter = min(len(source), len(target))
+        if source[:shorter] == target[:shorter]:
+            raise ValueError(f"{output}/{name} would replace or hold the input {input_path}")
+    return output
 
 
-def run_training(spark: SparkSession, input_path: str, output: str | None = None, cfg: TrainConfig = TrainConfig()) -> Run:
+def run_training(
+    spark: SparkSession,
+    input_path: str,
+    output: str | None = None,
+    cfg: TrainConfig = TrainConfig(),
+    fmt: str = "auto",
+) -> Run:
     """Train on a dataset file and write model and reports below ``output``.
 
-    The default output is the folder of the input.
+    The default output is a fresh folder beside the input, named after it. An output that
+    would replace, hold or lie in the input is refused before anything is read.
     """
-    output = (output or os.path.dirname(input_path) or ".").rstrip("/")
-    dataset = stage(load_dataset(spark, input_path), "input")
+    output = output_folder(input_path, output, ("model", "processed", "reports"))
+    dataset = load_dataset(spark, input_path, fmt)
     run = train_and_evaluate(dataset, cfg)
+    dataset = run.dataset
     D.save_model(run.fitted, f"{output}/model")
     processed = group_rare(clean_metadata(dataset), "primary_language", run.prepared.categories)
     write_dataset(processed, f"{output}/processed")
@@ -110,8 +145,9 @@ def run_training(spark: SparkSession, input_path: str, output: str | None = None
         "threshold_table": V.threshold_table(run.scored),
         "group_insights": P.group_insights(processed, "language_grouped", cfg.rare_below),
     }
-    if hasattr(run.fitted.model, "featureImportances"):
-        reports["feature_importance"] = X.feature_importance(spark, run.fitted.model, run.fitted.features)
+    if any(hasattr(m, "featureImportances") for m in run.trained.models.values()):
+        tree = run.trained.models[run.trained.best_tree()]
+        reports["feature_importance"] = X.feature_importance(spark, tree, run.fitted.features)
         reports["feature_comparison"] = feature_comparison(dataset, run)
         reports["shapley_summary"] = X.shapley_summary(shapley_table(run, seed=cfg.seed)[0])
     for name, table in reports.items():

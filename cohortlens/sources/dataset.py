@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The 40 columns of the wide dataset in order.
 METADATA_COLUMNS = (
@@ -127,10 +127,21 @@ def read_dataset_csv(
     columns = []
     for field in schema:
         value = F.when(~F.col(field.name).isin(*na_values), F.col(field.name))
+        if isinstance(field.dataType, T.IntegralType):
+            value = _whole(value, field)
         columns.append(value.cast(field.dataType).alias(field.name))
     return raw.select(*columns)
 
 
+def _whole(text: Column, field: T.StructField) -> Column:
+    """A whole number, also written as "12.0" or "1.2e1"; any other text ends the read with its value."""
+    number = text.try_cast("decimal(38,10)")
+    kind = field.dataType.simpleString()
+    fits = (number == F.floor(number)) & number.cast("decimal(28,0)").try_cast(kind).isNotNull()
+    message = F.concat(F.lit(f"column {field.name}: no whole number of type {kind}: "), text)
+    return F.when(text.isNull() | F.coalesce(fits, F.lit(False)), number).otherwise(F.raise_error(message).cast("decimal(38,10)"))
+
+
 def write_dataset(
     df: DataFrame,
     path: str,

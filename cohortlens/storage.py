@@ -6,6 +6,7 @@ lineage and - being Parquet - keeps column pruning and true size statistics.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def scratch_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="cohortlens-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from cohortlens.operators import features as E
@@ -43,19 +44,36 @@ def test_clean_group_and_encode(spark):
     assert df.agg(F.sum("has_description")).first()[0] == 4
     categories = E.fit_categories(df, "primary_language", 2)
     assert categories == ["C++", "Go", "Other", "Unknown"]
-    wide = E.one_hot(E.group_rare(df, "primary_language", categories), "language_grouped", categories)
-    sums = wide.agg(*[F.sum(f"`lang_{c}`") for c in categories]).first()
-    assert tuple(sums) == (2, 3, 1, 2)
-    assert E.feature_lists(wide.columns).language == tuple(f"lang_{c}" for c in categories)
+    names = E.one_hot_names(categories)
+    assert names == ["lang_C++", "lang_Go", "lang_Unknown", "lang_Other"]
+    hot = E.one_hot(E.group_rare(df, "primary_language", categories), "language_grouped", categories)
+    sums = hot.agg(Summarizer.sum(F.col("language_vector"))).first()[0]
+    assert list(sums) == [2, 3, 2, 1]
+    assert E.feature_lists(names).language == tuple(names)
     # new rows: unknown categories join the rare ones
     new = E.group_rare(spark.sql("SELECT 'Zig' AS primary_language"), "primary_language", categories)
     assert new.first().language_grouped == "Other"
 
 
-def test_too_many_categories(spark):
-    df = spark.range(20).selectExpr("CAST(id AS STRING) AS c")
-    with pytest.raises(ValueError, match="raise rare_below"):
-        E.fit_categories(df, "c", 1, max_categories=10)
+@pytest.mark.parametrize("rare", [1, 3])
+def test_any_text_may_be_a_category(spark, rare):
+    texts = ["html", "HTML", "a`b", 'say "x"', "dot.net", "Other", "", "it's", "back\\slash"]
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(2 + (t == "html"))], "primary_language string")
+    categories = E.fit_categories(df, "primary_language", rare)
+    hot = E.one_hot(df, "primary_language", categories)
+    rows = hot.groupBy("primary_language").agg(Summarizer.sum(F.col("language_vector")).alias("s"), F.count("*").alias("n")).collect()
+    names = E.one_hot_names(categories)
+    for r in rows:
+        name = f"lang_{r.primary_language}" if f"lang_{r.primary_language}" in names else "lang_Other"
+        assert list(r.s) == [r.n if n == name else 0 for n in names]
+
+
+def test_many_categories(spark):
+    df = spark.range(3000).selectExpr("CAST(id AS STRING) AS c")
+    categories = E.fit_categories(df, "c", 1)
+    assert len(categories) == 3000
+    sums = E.one_hot(df, "c", categories).agg(Summarizer.sum(F.col("language_vector"))).first()[0]
+    assert len(sums) == 3000 and set(sums) == {1.0}
 
 
 def test_scaler(spark):

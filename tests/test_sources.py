@@ -1,6 +1,7 @@
 import json
 from datetime import date, timedelta
 
+import pytest
 from archive import BORN, DAY, canonical, creation, event
 from pyspark.sql import functions as F
 
@@ -70,3 +71,17 @@ def test_profile_schema(spark):
     got = [tuple(r) for r in profile_schema(df).orderBy("position").collect()]
     assert got == [(1, "id", "bigint", 2, 2, 2), (2, "name", "string", 1, 2, 2)]
     assert df.filter(F.col("name").isNull()).count() == 1
+
+
+def test_whole_numbers_with_a_fraction_part(spark, tmp_path):
+    text = ",".join(f.name for f in DATASET_SCHEMA) + "\n"
+    row = {f.name: "" for f in DATASET_SCHEMA}
+    good = {"repo_id": "9007199254740993", "stars_30d": "123.0", "forks_30d": "1.2e1", "pr_events_30d": "-4", "has_community": "1.0"}
+    (tmp_path / "good.csv").write_text(text + ",".join((row | good).values()) + "\n")
+    got = read_dataset_csv(spark, str(tmp_path / "good.csv")).first()
+    assert (got.repo_id, got.stars_30d, got.forks_30d, got.pr_events_30d, got.has_community) == (9007199254740993, 123, 12, -4, 1)
+    assert got.issue_events_30d is None
+    for bad in ("1.5", "many", "99999999999999999999"):
+        (tmp_path / "bad.csv").write_text(text + ",".join((row | {"stars_30d": bad}).values()) + "\n")
+        with pytest.raises(Exception, match="column stars_30d: no whole number of type bigint: " + bad):
+            read_dataset_csv(spark, str(tmp_path / "bad.csv")).collect()
