@@ -263,7 +263,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
                     names=["doc_id", "y", "index", "value", "stats"],
                 )
 
-    def learn(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         x = Vectors(
             np.concatenate([[0], np.cumsum([len(i) for i in pdf["index"]])]).astype(np.int64),
