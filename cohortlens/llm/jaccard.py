@@ -139,12 +139,14 @@ def index_rows(value: np.ndarray, owner: np.ndarray, at: np.ndarray, level: np.n
     common = of > 0
     f1 = np.bincount(owner[first & common], minlength=len(n))
     f2 = np.bincount(owner[more & common], minlength=len(n))
+    # documents of which two may share tokens of their prefixes that do not meet in the index
+    few = (f1 > 0) & (f2 <= COMBINED)
     rare = first & ~common
-    docs, keys, flags = [owner[rare]], [value[rare]], [RARE + COMPLETE * (f1 == 0)[owner[rare]]]
+    docs, keys, flags = [owner[rare]], [value[rare]], [RARE + COMPLETE * ~few[owner[rare]]]
     single = first & common
     docs.append(owner[single])
     keys.append(mix(value[single] ^ U64(0x5851F42D4C957F2D)))
-    flags.append(np.where(f2[owner[single]] > COMBINED, MANY, FEW))
+    flags.append(np.where(few[owner[single]], FEW, MANY + COMPLETE))
     for d in np.flatnonzero((f2 > 1) & (f2 <= COMBINED)).tolist():
         mine = value[at[d] : at[d + 1]][more[at[d] : at[d + 1]] & common[at[d] : at[d + 1]]]
         pairs = np.array(list(combinations(np.sort(mine).tolist(), 2)), dtype=U64)
@@ -196,7 +198,8 @@ def _enough(shared: Column, n: Column, m: Column, complete: Column, threshold: i
     """Whether two sizes with so many shared tokens in their prefixes can be linked.
 
     What is shared beyond the end of the prefix that ends first is at most what that set has
-    beyond it. Only for documents with all tokens of the prefix in the index.
+    beyond it. Only where all shared tokens of the prefixes have met: not for two documents
+    that are both indexed by combinations.
     """
     n, m = n.cast("long"), m.cast("long")
     overlap = F.ceil((threshold * (n + m)) / (100 + threshold))
@@ -241,6 +244,7 @@ def links(docs: DataFrame, level: np.ndarray, nodes: DataFrame, threshold: int,
     rows = staged(_shared_keys(_index(docs, level, threshold, seed)), "index")
     kind, whole = F.col("flag").bitwiseAND(F.lit(3)), F.col("flag") >= COMPLETE
     rows = rows.select("key", "node", "n", kind.alias("kind"), whole.alias("complete"))
+    single = F.col("kind") != PAIR
     # the member that shares most keys stands for its keys: an original rather than an edit of it
     support = rows.groupBy("node").agg(F.count(F.lit(1)).alias("support"))
     ranked = rows.join(support, "node")
@@ -248,9 +252,10 @@ def links(docs: DataFrame, level: np.ndarray, nodes: DataFrame, threshold: int,
     star = rows.join(best, "key").where("node <> best.node AND NOT (kind = 2 AND best.kind = 2)")
     star = star.where(_fits(F.col("n"), F.col("best.n"), threshold))
     star = star.groupBy(F.col("node").alias("a"), F.col("best.node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("best.n").alias("m"), F.first(F.col("complete") & F.col("best.complete")).alias("complete")
+        F.count_if(single).alias("shared"), F.first("n").alias("n"), F.first("best.n").alias("m"), F.first(F.col("complete") | F.col("best.complete")).alias("complete")
     )
-    star = star.where(_enough(F.col("shared"), F.col("n"), F.col("m"), F.col("complete"), threshold))
+    # keys may have another best member, so not all that the two share is counted: half of it will do
+    star = star.where(_enough(2 * F.col("shared"), F.col("n"), F.col("m"), F.col("complete"), threshold))
     first = staged(_verified(star.select("a", "b"), docs, nodes, threshold, seed), "star-links")
     labels = components(first)
     part = rows.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
@@ -261,7 +266,7 @@ def links(docs: DataFrame, level: np.ndarray, nodes: DataFrame, threshold: int,
     pairs = part.join(other, "key").where("node < o_node AND part <> o_part AND NOT (kind = 2 AND o_kind = 2)")
     pairs = pairs.where(_fits(F.col("n"), F.col("o_n"), threshold))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"), F.first(F.col("complete") & F.col("o_complete")).alias("complete")
+        F.count_if(single).alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"), F.first(F.col("complete") | F.col("o_complete")).alias("complete")
     )
     pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("m"), F.col("complete"), threshold))
     return first.unionByName(_verified(pairs.select("a", "b"), docs, nodes, threshold, seed))
