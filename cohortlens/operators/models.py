@@ -98,8 +98,10 @@ def fit_preparation(categories, train: DataFrame) -> Preparation:
 
 def assemble(df: DataFrame, preparation: Preparation, cfg: TrainConfig) -> DataFrame:
     """(key, y, features) for training and testing."""
+    # without the attributes of the one-hot places: trees split 0/1 at a threshold like every other feature
+    features = F.col("features").alias("features", metadata={"comment": "assembled"})
     return preparation.transformer().transform(df).select(
-        F.col(cfg.key).cast("string").alias("key"), F.col(cfg.target).cast("int").alias("y"), "features"
+        F.col(cfg.key).cast("string").alias("key"), F.col(cfg.target).cast("int").alias("y"), features
     )
 
 
