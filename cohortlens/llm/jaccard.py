@@ -18,8 +18,8 @@ that share a token are not expanded into pairs either while one comparison with
 the best supported member of the token's group settles them: those links are verified
 and joined to components first, and only members of different components meet.
 Such pairs must have sizes that can reach the threshold, and share as many tokens
-of their prefixes as any linked pair of these sizes does; what remains is verified
-on the texts. Components of the links are found with alternating stars.
+of their prefixes as any linked pair of these sizes does, and parity bitmaps that do not differ
+in more places than a linked pair has tokens apart; what remains is verified on the texts. Components of the links are found with alternating stars.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text of fewer than five words
 is one shingle of all of them. NULL, empty and blank texts have none and link to nothing.
@@ -56,6 +56,9 @@ CLASSES = 1 << CLASS_BITS
 COMBINED = 12
 RARE, PAIR, FEW, MANY = 0, 1, 2, 3
 COMPLETE = 4
+#: 64-bit words of the parity bitmap of a set
+WORDS = 8
+BITMAP = tuple(f"b{i}" for i in range(WORDS))
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +94,19 @@ def names_of(value: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+def bitmaps(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each set, which of 64 * WORDS places an odd number of its tokens fall on.
+
+    Two bitmaps differ in at most as many places as the sets have tokens that are not common.
+    """
+    place = owner * (64 * WORDS) + (mix(value ^ U64(0x2545F4914F6CDD1D)) % U64(64 * WORDS)).astype(np.int64)
+    place, count = np.unique(place, return_counts=True)
+    place = place[count % 2 == 1]
+    out = np.zeros(n * 8 * WORDS, dtype=np.uint8)
+    np.bitwise_or.at(out, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+    return out.view(np.int64).reshape(n, WORDS)
+
+
 def least_prefix(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - -(-threshold * n // 100) + 1
 
@@ -98,6 +114,7 @@ def least_prefix(n: np.ndarray, threshold: int) -> np.ndarray:
 def _sets(docs: DataFrame, threshold: int, seed: int) -> DataFrame:
     """A row per document (doc, doc_id, n, node, check), and the tokens of each class (class, n)."""
     fields = [("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("class", pa.int32())]
+    fields += [(b, pa.int64()) for b in BITMAP]
     schema = pa.schema(fields)
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,20 +122,21 @@ def _sets(docs: DataFrame, threshold: int, seed: int) -> DataFrame:
         for batch in incoming:
             data, off = text_buffer(batch.column("text"))
             for a, b in slices(off):
-                _, value, at = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                owner, value, at = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 total += np.bincount((value >> U64(64 - CLASS_BITS)).astype(np.int64), minlength=CLASSES)
                 node, check = names_of(value, at, seed)
                 piece = batch.slice(a, b - a)
                 none = pa.nulls(b - a, pa.int32())
                 columns = [piece.column("doc"), piece.column("doc_id"), pa.array(np.diff(at)), pa.array(node), pa.array(check), none]
+                columns += [pa.array(column) for column in bitmaps(value, owner, b - a).T.copy()]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
         filled = np.flatnonzero(total)
         for i in range(0, len(filled), 50_000):
             some = filled[i : i + 50_000]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(total[some]), none, none, pa.array(some.astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(total[some]), none, none, pa.array(some.astype(np.int32)), *[none] * WORDS], schema=schema)
 
-    return staged(docs.mapInArrow(run, "doc long, doc_id long, n long, node long, check long, class int"), "sets")
+    return staged(docs.mapInArrow(run, "doc long, doc_id long, n long, node long, check long, class int, " + ", ".join(f"{b} long" for b in BITMAP)), "sets")
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -261,10 +279,15 @@ def links(docs: DataFrame, level: np.ndarray, nodes: DataFrame, threshold: int,
     part = rows.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     part = staged(part, "index-parts")
     open_ = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    part = part.join(open_, "key", "left_semi")
-    other = part.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "kind", "complete", "part")))
+    part = part.join(open_, "key", "left_semi").join(nodes.select("node", *BITMAP), "node")
+    part = staged(part, "index-open")
+    other = part.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "kind", "complete", "part", *BITMAP)))
     pairs = part.join(other, "key").where("node < o_node AND part <> o_part AND NOT (kind = 2 AND o_kind = 2)")
     pairs = pairs.where(_fits(F.col("n"), F.col("o_n"), threshold))
+    # tokens that are not common are at least the places in which the bitmaps differ
+    apart = F.expr(" + ".join(f"bit_count({b} ^ o_{b})" for b in BITMAP))
+    both = F.col("n") + F.col("o_n")
+    pairs = pairs.where((both - apart).cast("long") * (100 + threshold) >= both.cast("long") * (2 * threshold))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
         F.count_if(single).alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"), F.first(F.col("complete") | F.col("o_complete")).alias("complete")
     )
@@ -279,7 +302,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, seed: int
         sets = _sets(docs, threshold, seed + attempt)
         members = sets.where("class IS NULL")
         nodes = members.where("n > 0").groupBy("node").agg(
-            F.min("doc").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1")
+            F.min("doc").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.min(b).alias(b) for b in BITMAP)
         )
         nodes = staged(nodes, "nodes")
         if nodes.where("c0 <> c1").isEmpty():
