@@ -37,8 +37,8 @@ _FIRST_ID = -(1 << 63)
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of a segment of an even partition; the last ones are the longer ones."""
-    base = F.floor(length / parts).cast("int")
-    longer = (length - base * parts).cast("int")
+    longer = length % parts
+    base = ((length - longer) / parts).cast("int")
     late = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - longer))
     size = base + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
     return (base * number + late + 1).cast("int"), size.cast("int")
@@ -51,7 +51,8 @@ def _key(length: Column, number: int, text: Column) -> Column:
 def keys(line: Column, length: Column, t: int) -> Column:
     """(key, i) of the substrings at which segments of lines of this length or up to t less can start.
 
-    The unshifted ones of the line's own length are its segments: i is 1 there.
+    The unshifted ones of the line's own length are its segments: i is 1 there. The key of
+    one that does not fit is NULL.
     """
     out = []
     for less in range(t + 1):
@@ -62,8 +63,8 @@ def keys(line: Column, length: Column, t: int) -> Column:
                 at = (start + shift).cast("int")
                 fits = (at >= 1) & (at + size - 1 <= length) & (other > t)
                 own = F.lit(1 if less == 0 and shift == 0 else 0)
-                out.append(F.when(fits, F.struct(_key(other, n, F.substring(line, at, size)).alias("key"), own.alias("i"))))
-    return F.array_compact(F.array(*out))
+                out.append(F.struct(F.when(fits, _key(other, n, F.substring(line, at, size))).alias("key"), own.alias("i")))
+    return F.array(*out)
 
 
 def within(a: Column, b: Column, t: int) -> Column:
@@ -72,12 +73,10 @@ def within(a: Column, b: Column, t: int) -> Column:
     Bit d of word e says: with e edits, the first j characters of ``b`` become
     the first j + d - t of ``a``.
     """
-    x, y = F.split(a, ""), F.split(b, "")
     n, m = F.char_length(a), F.char_length(b)
-    y = F.when(m > 0, y).otherwise(F.array().cast("array<string>"))
     start = F.array(*(F.lit(((1 << (e + 1)) - 1) << t).cast("long") for e in range(t + 1)))
 
-    def matches(c: Column, j: Column) -> Column:
+    def matches(x: Column, c: Column, j: Column) -> Column:
         bits = F.lit(0).cast("long")
         for d in range(2 * t + 1):
             same = F.when(j + (d - t) >= 0, F.get(x, j + (d - t)) == c)
@@ -94,7 +93,14 @@ def within(a: Column, b: Column, t: int) -> Column:
             words.append(new.bitwiseAND(F.lit((1 << (2 * t + 1)) - 1)))
         return F.array(*words)
 
-    end = F.get(F.aggregate(F.transform(y, matches), start, step), F.lit(t))
+    def reached(pair: Column) -> Column:
+        """The last word of the band; ``pair`` holds the characters, split once for all steps."""
+        masks = F.transform(pair["y"], lambda c, j: matches(pair["x"], c, j))
+        return F.get(F.aggregate(masks, start, step), F.lit(t))
+
+    none = F.array().cast("array<string>")
+    pair = F.struct(F.split(a, "").alias("x"), F.when(m > 0, F.split(b, "")).otherwise(none).alias("y"))
+    end = F.get(F.transform(F.array(pair), reached), F.lit(0))
     last = F.get(F.array(*(F.lit(1 << d).cast("long") for d in range(2 * t + 1))), n - m + t)
     return F.when(F.abs(n - m) <= t, end.bitwiseAND(last) != 0).otherwise(F.lit(False))
 
@@ -111,7 +117,8 @@ def distinct_lines(documents: DataFrame, min_chars: int) -> DataFrame:
     """Each different line once, with its first place and an id that orders lines as their places do."""
     first = _places(documents, min_chars).groupBy("line").agg(F.min("place").alias("place"))
     ordered = first.repartitionByRange("place").sortWithinPartitions("place")
-    return staged(ordered.select("line", "place", F.monotonically_increasing_id().alias("id")), "lines")
+    length = F.char_length("line").alias("length")
+    return staged(ordered.select("line", length, "place", F.monotonically_increasing_id().alias("id")), "lines")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
@@ -127,7 +134,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
 
 def repeated_lines(lines: DataFrame, t: int) -> DataFrame:
     """Ids of the distinct lines that have an earlier line within ``t`` edits."""
-    rows = lines.select("id", F.inline(keys(F.col("line"), F.char_length("line"), t)))
+    rows = lines.select("id", F.inline(keys(F.col("line"), F.col("length"), t))).where("key IS NOT NULL")
     # a key matters if two lines have it and one of them indexes it
     shared = rows.groupBy("key").agg(
         F.min("id").alias("pivot"), F.max("id").alias("high"), F.min(F.when(F.col("i") == 1, F.col("id"))).alias("indexed")
@@ -173,19 +180,21 @@ def _with_lines(documents: DataFrame, max_edits: int, min_chars: int, names: lis
         ),
     )
     flags = F.split(F.concat(F.lit("0"), F.array_join(gaps, "")), "")  # first flag: position -1
-    stays = F.filter(
-        F.col(lines),
-        lambda line, i: (F.char_length(line) < min_chars) | (F.coalesce(F.get(F.col(f"{stay}_flags"), i + 1), F.lit("0")) == "1"),
-    )
-    return both.withColumn(f"{stay}_flags", flags).withColumn(stay, stays)
+
+    def those_that_stay(pair: Column) -> Column:
+        """``pair`` holds lines and flags, made once for all lines."""
+        return F.filter(
+            pair["lines"],
+            lambda line, i: (F.char_length(line) < min_chars) | (F.coalesce(F.get(pair["flags"], i + 1), F.lit("0")) == "1"),
+        )
+
+    pair = F.struct(F.col(lines).alias("lines"), flags.alias("flags"))
+    stays = F.when(F.col(lines).isNotNull(), F.get(F.transform(F.array(pair), those_that_stay), F.lit(0)))
+    return both.withColumn(stay, stays)
 
 
 def _names(documents: DataFrame) -> list[str]:
-    while True:
-        names = fresh(documents, "line_key", "all_lines", "stay_lines", "kept_lines")
-        if f"{names[2]}_flags" not in documents.columns:
-            return names
-        documents = documents.withColumn(names[2], F.lit(0))
+    return fresh(documents, "line_key", "all_lines", "stay_lines", "kept_lines")
 
 
 def remove_lines(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, drop_emptied: bool = True) -> DataFrame:
