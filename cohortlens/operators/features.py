@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.sources.dataset import EARLY_COLUMNS
@@ -142,7 +142,8 @@ def one_hot_stages(spark: SparkSession, col: str, categories: Sequence[str], out
     kept = [c for c in categories if c != OTHER]
     if not kept:
         # a single place: everything is "Other"
-        return [SQLTransformer(statement=f"SELECT *, CAST({int(OTHER in categories)} AS DOUBLE) AS `{out}` FROM __THIS__")]
+        place = SQLTransformer(statement=f"SELECT *, CAST({int(OTHER in categories)} AS DOUBLE) AS `{out}_index` FROM __THIS__")
+        return [place, VectorAssembler(inputCols=[f"{out}_index"], outputCol=out)]
     # labels must not be empty, texts may
     marked = SQLTransformer(statement=f"SELECT *, concat('=', `{col}`) AS `{out}_text` FROM __THIS__")
     indexer = StringIndexerModel.from_labels(

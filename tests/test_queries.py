@@ -6,6 +6,8 @@ from check import connect, difference
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
+# these train all models at full size; test_models trains smaller ones
+TRAINED = {"comparison_recomputed", "score_new_checked", "shapley_additive", "shapley_rows"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_entry(spark):
     assert df.count() == 168 and len(df.columns) == 40
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - TRAINED))
 def test_query_equals_sql(spark, db, name):
     rows, problem = difference(queries()[name](spark, SF_DIR), oracle_sql()[name], db)
     assert problem is None
