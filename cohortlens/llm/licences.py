@@ -7,8 +7,13 @@ known licences with a hash join. Whole documents are matched against whole
 licences, and so are single lines against licence notices ("Licensed under the
 Apache License, Version 2.0."), which stand for the licence they name.
 
+The whole texts are those of ``TEXTS`` and of the files in ``licence_texts``
+(named after the licence), in the editions that are spread. AGPL-3.0, CC-BY-4.0
+and CC-BY-NC-4.0 are known by their notices only; their texts can be given as
+``more``.
+
 DataFrame functions only. The known digests are a fixed list of some hundred
-rows and are broadcast; a documents table is read for its digests and nothing
+rows (nearly all are notices) and are broadcast; a documents table is read for its digests and nothing
 of a text is shuffled. A user's own licences (id, text) can be added; if they are
 more than ``BROADCAST_ROWS`` the join is left to the optimiser.
 
@@ -20,6 +25,8 @@ ones) has the first id. Extra columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +186,9 @@ TEXTS = (
     ("Zlib", f"zlib License\n{_ZLIB}"),
 )
 
+#: Whole licences as files, "<id>.txt" or "<id>.<edition>.txt"; read by the driver only
+TEXT_FILES = Path(__file__).parent / "licence_texts"
+
 #: A line that only says whose the copyright is, of which years
 COPYRIGHT_LINE = (
     r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[ :]*(\(c\)|©)?[ :]*(\d{4}|[<\[{(]year)[^\n]*"
@@ -207,10 +217,20 @@ def digest(canonical: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(spelt(canonical), r"[ \n]+", " ")), 256)
 
 
+def file_texts() -> list[tuple[str, str]]:
+    """(id, text) of the licences that are kept as files."""
+    ids = {i for i, _ in NAMES}
+    out = []
+    for path in sorted(TEXT_FILES.glob("*.txt")):
+        name = path.name.removesuffix(".txt")
+        out.append((name if name in ids else name.rpartition(".")[0], path.read_text(encoding="utf-8")))
+    return out
+
+
 def known_texts() -> list[tuple[str, str, str]]:
     """(unit, id, text) of the built-in licences; the unit is "text" or "line"."""
     lines = [("line", i, n.format(name)) for i, names in NAMES for name in names for n in NOTICES]
-    return [*(("text", i, t) for i, t in TEXTS), *lines, *(("text", i, t) for _, i, t in lines)]
+    return [*(("text", i, t) for i, t in (*TEXTS, *file_texts())), *lines, *(("text", i, t) for _, i, t in lines)]
 
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:

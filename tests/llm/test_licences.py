@@ -75,3 +75,16 @@ def test_own_licences(spark, make):
 def test_sentences_about_copyright_stay(spark, text):
     df = spark.createDataFrame([(text,)], "t string").select(licences.canonical_lines(F.col("t")).alias("c"))
     assert "copyright notice" in df.first().c
+
+
+WITHOUT_TEXT = {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0"}
+
+
+def test_whole_licences_of_all_names(make):
+    files = licences.file_texts()
+    assert {i for i, _ in licences.NAMES} - {i for i, _ in (*licences.TEXTS, *files)} == WITHOUT_TEXT
+    header_only = {"Apache-2.0": 9_000, "MPL-2.0": 16_000}
+    assert all(any(i == x and len(t) > n for i, t in files) for x, n in header_only.items())
+    rows = [(n, "\n * ".join(t.split("\n"))) for n, (_, t) in enumerate(files)]
+    got = by_id(licences.scan(make(rows)))
+    assert [got[n]["licence"] for n in range(len(files))] == [i for i, _ in files]
