@@ -19,13 +19,16 @@ more than ``BROADCAST_ROWS`` the join is left to the optimiser.
 
 Defined results: NULL and empty texts have the digest of the empty canonical
 form, which matches nothing. Rows with the same doc_id share the notices of
-all of them. A text that equals several known licences (none of the built-in
+all of them. A line that goes on with a word of ``SENTENCE_WORDS``
+after "copyright" ("copyright notice") is no copyright line, and stays; so does
+"(c)" before a word that starts a list item. A text that equals several known licences (none of the built-in
 ones) has the first id. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,9 +192,58 @@ TEXTS = (
 #: Whole licences as files, "<id>.txt" or "<id>.<edition>.txt"; read by the driver only
 TEXT_FILES = Path(__file__).parent / "licence_texts"
 
-#: A line that only says whose the copyright is, of which years
+# Words after "copyright" or "(c)" at the start of a line that is a sentence or a list item.
+SENTENCE_WORDS = (
+    "a act all an and any are as at be but can conditions disclaimer disclaimers doctrine doctrines for from grant has have "
+    "holder holders if in including infringement interest interests is it its law laws license licensed licensee licenses "
+    "licensing licensor may must not notice notices of on or other otherwise owner owners ownership permission permissions "
+    "policy protected protection resulting right rights shall so statement statements status such term terms that this to "
+    "treaties treaty under unless was were when where which who will with work works would you your"
+).split()
+# Words after "the" that make it a sentence; other words are taken for the name of a holder.
+THINGS = (
+    "copyright covered documentation file files holder holders library license licensed licensor material notice owner owners "
+    "program rights software source terms text work works"
+).split()
+# Words that start a list item "(c) ..."; these follow the mark in known texts or are common there.
+ITEM_WORDS = (
+    "accompany accompanies affirmer alter by cause convey derivative disclaim distribute each every give if include "
+    "indicate keep limit made make modify no pass permit preserve prohibit prominent provide redistribute remove "
+    "reproduce require retain the there use"
+).split()
+
+
+def _other_word(words: list[str]) -> str:
+    """A pattern for the start of a word that is none of ``words``; without look-ahead, which not all engines have."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def other(node: dict, inside: bool) -> str:
+        letters = "".join(sorted(c for c in node if c))
+        if not inside:
+            ways = [rf"[^\P{{L}}{letters}]"]
+        elif "" in node:
+            ways = [f"[{''.join(c for c in ascii_lowercase if c not in node)}]"]
+        else:  # a word that ends here is another one
+            ways = [rf"[^{letters}\n]", "(?m:$)"]
+        return "(?:" + "|".join([*ways, *(c + other(node[c], True) for c in letters)]) + ")"
+
+    return other(tree, False)
+
+
+_YEAR = r"[<\[{(]*\d\d|[<\[{]|\((?:year|yyyy)"
+_HOLDER = rf"the[ \t]+{_other_word(THINGS)}"
+#: A line that begins with copyright, (c) or the sign and goes on with a year, a placeholder or a name
 COPYRIGHT_LINE = (
-    r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[ :]*(\(c\)|©)?[ :]*(\d{4}|[<\[{(]year)[^\n]*"
+    r"(^|\n)[^\p{L}\p{N}\n]*(?:"
+    r"(?:copyright[ :\t]*(?:\(c\)|©)|©|\(c\)[ :\t]*copyright[ :\t])"
+    rf"|copyright[ :,\t]*(?:{_YEAR})|copyright[ :\t]+(?:{_HOLDER}|{_other_word([*SENTENCE_WORDS, 'the'])})"
+    rf"|\(c\)[ :\t]*(?:{_YEAR}|{_other_word([*SENTENCE_WORDS, *ITEM_WORDS])})"
+    r")[^\n]*"
 )
 ALL_RIGHTS = r"(^|\n)[ ]*all rights reserved[ .]*"
 

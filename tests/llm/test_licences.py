@@ -88,3 +88,45 @@ def test_whole_licences_of_all_names(make):
     rows = [(n, "\n * ".join(t.split("\n"))) for n, (_, t) in enumerate(files)]
     got = by_id(licences.scan(make(rows)))
     assert [got[n]["licence"] for n in range(len(files))] == [i for i, _ in files]
+
+
+HOLDERS = (
+    "Copyright (c) Jane Doe",
+    "Copyright Jane Doe 2019",
+    "Copyright (c) The Regents of the University of California. All rights reserved.",
+    "Copyright <YYYY> <HOLDER>",
+    "Copyright The Regents of the University",
+    "Copyright by Émile Zola",
+    "Copyright: Noti",
+    "(c) Jane Doe",
+    "© Jane Doe",
+    "(C) Copyright Jane Doe",
+    "Copyright [yyyy] [name of copyright owner]",
+)
+
+
+@pytest.mark.parametrize("licence", ["MIT", "BSD-3-Clause"])
+def test_copyright_lines_of_any_holder(make, licence):
+    text = next(t for i, t in licences.TEXTS if i == licence)
+    got = by_id(licences.scan(make([(n, f"{line}\n * {line}\r\n\n{text}") for n, line in enumerate(HOLDERS)])))
+    assert {HOLDERS[n]: r["licence"] for n, r in got.items()} == dict.fromkeys(HOLDERS, licence)
+
+
+SENTENCES = (
+    "copyright notice, this list", "Copyright holders be liable", "COPYRIGHT OWNER OR", "copyright license to reproduce",
+    "copyright the software, and", "copyright law", "copyright", "copyright, patent", "copyrighted by", "copyright on the",
+    "(c) You must retain", "(c) under Patent Claims", "(c) the name", "copyright permission", "Copyright and Related Rights",
+)
+
+
+def test_sentence_lines_stay_in_both_engines(spark):
+    duckdb = pytest.importorskip("duckdb")
+    files = [t for _, t in licences.file_texts()]
+    # the known texts wrapped so that each "copyright" starts a line
+    broken = [" ".join(t.lower().split()).replace("copyright", "\ncopyright") for t in files]
+    lines = [*SENTENCES, *HOLDERS]
+    df = spark.createDataFrame([(x.lower(),) for x in [*lines, *broken]], "t string")
+    cut = df.select("t", F.regexp_replace("t", licences.COPYRIGHT_LINE, "\n").alias("c")).collect()
+    assert {r.t for r in cut if r.c.strip()} & {x.lower() for x in lines} == {x.lower() for x in SENTENCES}
+    for r in cut:
+        assert duckdb.execute("SELECT regexp_replace(?, ?, chr(10), 'g')", [r.t, licences.COPYRIGHT_LINE]).fetchone()[0] == r.c
