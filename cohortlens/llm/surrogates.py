@@ -1,8 +1,8 @@
 """Personal data: detection and keyed surrogates of the same type and format.
 
-Emails, phone numbers, IP addresses, card numbers, social security numbers,
-account numbers (IBAN), secrets (access keys, passwords, tokens) and names of
-persons are found in the whole text and replaced. A surrogate keeps the format:
+Emails, phone numbers, IP addresses (4 and 6), card numbers, social security
+numbers, account numbers (IBAN), secrets (access keys, passwords, tokens) and
+names of persons are found in the whole text and replaced. A surrogate keeps the format:
 digits stay digits, letters stay letters of their case and script, separators
 stay; names keep their gender (given names move within a list of one gender and
 script) and vowels stay vowels; card numbers keep first digit and check digit.
@@ -19,6 +19,11 @@ table that would have to be kept or sent around:
 ``surrogate_table`` gives the distinct values of a corpus and ``collisions``
 checks it as a Spark job; ``replace`` runs that check before it replaces.
 
+Not detected, and left in the text: undivided national phone numbers but French
+ones; passwords under six characters or without a key word and "=" or ":" before
+them; full names without a title whose given name is not in ``GIVEN``;
+addresses, dates of birth, and identity and tax numbers other than SSN and IBAN.
+
 Defined results: NULL and empty texts stay as they are, with no entities. All
 other columns are carried along, ``n_chars`` follows the text. Repeated rows are
 treated alike. Values of one possible form only (a one-digit domain of one) stay.
@@ -27,6 +32,7 @@ treated alike. Values of one possible form only (a one-digit domain of one) stay
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import sys
 from collections.abc import Iterator
@@ -160,13 +166,22 @@ def _email(key: str, value: str) -> str:
     return "".join(n.upper() if o.isupper() else n for o, n in zip(value, new))
 
 
+#: Country codes have one, two or three digits; how they are set apart in the text does not matter
+_CALLING_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
 def _phone(key: str, value: str) -> str:
-    m = re.match(r"\+\d{1,3}(?=[ .\-(])", value)
+    m = _CALLING_CODE.match(value)
     head, tail = (value[: m.end()], value[m.end() :]) if m else ("", value)
     digits = "".join(c for c in tail if c.isdigit())
     groups = ["0123456789"] * len(digits)
-    if len(digits) == 10:
+    if digits[0] == "0":  # a trunk prefix stays
+        groups[0], groups[1] = "", "" if digits[1] == "0" else "123456789"
+    elif len(digits) == 10:
         groups[0], groups[3] = (_CLASS_OF["phone"][digits[i]] for i in (0, 3))
+        groups[0] = "" if digits[0] == "1" else groups[0]
+    else:
+        groups[0] = "6789" if digits[0] in "6789" else "12345"
     return head + _refill(tail, _moved(key, "phone", digits, groups))
 
 
@@ -185,6 +200,11 @@ def _ip(key: str, value: str) -> str:
     return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ipv6(key: str, value: str) -> str:
+    new = str(ipaddress.IPv6Address(Permutation(key, "ipv6", 1 << 128).follow(int(ipaddress.IPv6Address(value)))))
+    return new.upper() if value.upper() == value else new
+
+
 def _given_name(key: str, value: str) -> str:
     found = _PLACE_OF.get(value)
     if found:
@@ -212,6 +232,8 @@ def surrogate(kind: str, value: str, key: str = DEFAULT_KEY) -> str:
         return _card(key, value)
     if kind == "ip":
         return _ip(key, value)
+    if kind == "ipv6":
+        return _ipv6(key, value)
     if kind == "given":
         return _given_name(key, value)
     if kind == "surname":
@@ -229,28 +251,59 @@ def canonical(kind: str, value: str) -> str:
         return "".join(c for c in value if c.isdigit() or c == "+")
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     if kind == "surname":
         return value.lower()
     return value
 
 
+#: Keys of secrets, also inside longer keys (db_password, AWS_SECRET_ACCESS_KEY) and quoted ones of JSON
+_SECRET_KEY = (
+    r"(?i:(?:api[_\-]?key|access[_\-]?key|private[_\-]?key|secret|token|password|passwd|passphrase|pwd)"
+    r"(?:[_\-]?(?:access|key|id|token|value|hash))*[\"']?\s*[=:]\s*)"
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Kinds with digits or @, in the order in which they claim text; group "v" is what is replaced.
+#: Kinds with digits, @, : or =, in the order in which they claim text; group "v" is what is replaced.
 _MARKED = re.compile(
     "|".join(
         (
             r"(?P<email>[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})",
             r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<access>[A-Z0-9]{16})(?![A-Za-z0-9])",
-            r"(?i:\b(?:api[_\-]?key|secret|token|password|passwd|pwd)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-./+]{6,}={0,2})",
+            rf"{_SECRET_KEY}(?:\"(?P<secret_1>[^\"\n]{{6,}})\"|'(?P<secret_2>[^'\n]{{6,}})'"
+            r"|[\"']?(?P<secret>[^\s\"']{5,}[^\s\"'.,;:!?)\]}>]=*))",
             r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
             rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)",
+            r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:]|\.\d)",
             r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
             r"(?<![\d+])(?P<card>\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?!\d)",
             r"(?<![\w+])(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]?\d{4}"
-            r"|\+\d{1,3}(?:[ .\-]\d{2,4}){2,5})(?!\d)",
+            # international, undivided or in groups
+            r"|\+\d{1,4}(?:[ .\-/]?\(?\d{1,12}\)?(?!\d)){1,7}|\+\d{7,15}"
+            # French; German and British with trunk prefix; Spanish
+            r"|0[1-9](?:[ .\-]?\d{2}){4}|\(?0\d{2,5}\)?[ \-/]\d{3,8}(?:[ \-]\d{2,5}){0,2}"
+            r"|[6789]\d{2}(?:[ .\-]\d{2}){3}|[6789]\d{2}(?:[ .\-]\d{3}){2}|[6-9]\d[ .\-]\d{3}[ .\-]\d{2}[ .\-]\d{2})(?!\d)",
         )
     )
 )
+
+
+def _holds(kind: str, value: str) -> bool:
+    """Whether a value is what its pattern takes it for."""
+    if kind == "phone":
+        return (8 if value[0] == "+" else 9) <= sum(c.isdigit() for c in value) <= 15
+    if kind == "ipv6":
+        groups = [g for g in value.split(":") if g]
+        # "a::b" is more often code than an address
+        if len(groups) < 3 and not any(len(g) > 2 and re.search(r"\d", g) for g in groups):
+            return False
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+    return True
+
+
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _NAMED = re.compile(
     rf"\b(?P<title>{'|'.join(TITLES)})\b\.? +(?P<first>{_CAPITAL})(?: +(?P<second>{_CAPITAL}))?"
@@ -259,12 +312,13 @@ _NAMED = re.compile(
 
 
 def entities(text: str, marked: bool = True) -> list[tuple[int, int, str]]:
-    """Start, end and kind of all entities, left to right, not overlapping; ``marked``: the text has a digit or @."""
+    """Start, end and kind of all entities, left to right, not overlapping; ``marked``: the text has a digit, @, : or =."""
     found = []
     if marked:
         for m in _MARKED.finditer(text):
-            kind = m.lastgroup
-            found.append((*m.span(kind), kind))
+            kind = m.lastgroup.partition("_")[0]
+            if _holds(kind, m[m.lastgroup]):
+                found.append((*m.span(m.lastgroup), kind))
     for m in _NAMED.finditer(text):
         if m["given"]:
             found += [(*m.span("given"), "given"), (*m.span("surname"), "surname")]
@@ -287,14 +341,14 @@ def replaced(text: str, found: list[tuple[int, int, str]], key: str) -> str:
     return "".join([*out, text[at:]])
 
 
-_DIGIT_OR_AT = np.zeros(256, dtype=bool)
-_DIGIT_OR_AT[[*range(48, 58), 64]] = True
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[*range(48, 59), 61, 64]] = True
 
 
 def _found(column: pa.Array) -> Iterator[tuple[int, str, list[tuple[int, int, str]]]]:
     """Row, text and entities of the rows that have any."""
     data, off = text_buffer(column)
-    total = np.concatenate([[0], np.cumsum(_DIGIT_OR_AT[data], dtype=np.int64)])
+    total = np.concatenate([[0], np.cumsum(_MARKS[data], dtype=np.int64)])
     marked = total[off[1:]] > total[off[:-1]]
     for i in range(len(column)):
         text = column[i].as_py()

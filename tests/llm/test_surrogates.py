@@ -153,3 +153,45 @@ def test_empty(make):
 def test_ids_carry_on(make):
     got = by_id(surrogates.report(make([(1, "mail a@b.example.com"), (2, "no one")])))
     assert got[1]["kinds"] == "email:1" and got[2]["kinds"] == "" and got[2]["text"] == "no one"
+
+
+FOUND = {
+    "phone": "+14155552671|+4915123456789|+33 1 23 45 67 89|06 12 34 56 78|0612345678|+49 151 23456789|020 7946 0958|0151 23456789"
+    "|(030) 1234567|030/1234567|+44 20 7946 0958|612 34 56 78|612 345 678|91 123 45 67|+34 612 345 678|(386) 555-3733",
+    "ipv6": "2001:db8:85a3:0:0:8a2e:370:7334|2001:db8::8a2e:370:7334|fe80::1ff:fe23:4567:890a|FE80::12A1",
+}
+
+
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, values in FOUND.items() for v in values.split("|")])
+def test_formats_of_many_places(kind, value):
+    text = f"Reach me at {value}, please."
+    assert [(text[a:b], k) for a, b, k in entities(text)] == [(value, kind)]
+    new = surrogate(kind, value)
+    assert canonical(kind, new) != canonical(kind, value)
+    assert [k for _, _, k in entities(f"Reach me at {new}, please.")] == [kind]
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('{"password": "x9!k #22", "a": 1}', "x9!k #22"),
+        ("db_password=hunter2222", "hunter2222"),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPx", "wJalrXUtnFEMI/K7MDENG+bPx"),
+        ("password: p@ssw0rd!x", "p@ssw0rd!x"),
+        ("'apiKey': 'abcdefgh'", "abcdefgh"),
+        ("token=abcdef==", "abcdef=="),
+    ],
+)
+def test_secrets_of_many_forms(make, text, secret):
+    assert [(text[a:b], k) for a, b, k in entities(text)] == [(secret, "secret")]
+    assert secret not in surrogates.replace(make([(1, text)])).first().text
+
+
+def test_no_entities():
+    text = "At 10:30:45 std::vector a::b, order 12345, ISBN 978-3-16, the secretary: someone, 2024-01-02, 1.2.3."
+    assert entities(text) == []
+
+
+def test_spelling_of_country_codes():
+    plain, spaced = surrogate("phone", "+14155552671"), surrogate("phone", "+1 415 555 2671")
+    assert canonical("phone", plain) == canonical("phone", spaced)
