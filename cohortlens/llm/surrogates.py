@@ -13,6 +13,8 @@ table that would have to be kept or sent around:
 
 * coreference: the same value has the same surrogate in every document, also when
   it is written in another case or with other separators (phones, cards, emails);
+  names that a document introduces ("Anna Schmidt") are also replaced where they
+  stand alone in it ("Later Schmidt left");
 * distinctness: different values have different surrogates, formats included;
 * nothing is its own surrogate, if the format has more than one value.
 
@@ -305,12 +307,19 @@ def _holds(kind: str, value: str) -> bool:
 
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_BARE = re.compile(rf"(?<!\w){_CAPITAL}(?!\w)")
 _NAMED = re.compile(
     rf"\b(?P<title>{'|'.join(TITLES)})\b\.? +(?P<first>{_CAPITAL})(?: +(?P<second>{_CAPITAL}))?"
     rf"|\b(?P<given>{'|'.join(n for names in GIVEN.values() for n in names.split())}) +(?P<surname>{_CAPITAL})"
 )
 
 
+def _parts(a: int, b: int, text: str) -> list[tuple[int, int]]:
+    """A capitalised word, and if it is joined by hyphen or apostrophe, its pieces."""
+    cuts = [i for i in range(a, b) if text[i] in "-'’"]
+    return [(a, b), *zip([a, *(i + 1 for i in cuts)], [*cuts, b])] if cuts else [(a, b)]
+
+
 def entities(text: str, marked: bool = True) -> list[tuple[int, int, str]]:
     """Start, end and kind of all entities, left to right, not overlapping; ``marked``: the text has a digit, @, : or =."""
     found = []
@@ -319,13 +328,31 @@ def entities(text: str, marked: bool = True) -> list[tuple[int, int, str]]:
             kind = m.lastgroup.partition("_")[0]
             if _holds(kind, m[m.lastgroup]):
                 found.append((*m.span(m.lastgroup), kind))
+    named: dict[str, str] = {}
+
+    def name(m: re.Match, group: str, kind: str) -> None:
+        a, b = m.span(group)
+        if text[b - 2 : b] in ("'s", "’s"):
+            b -= 2
+        found.append((a, b, kind))
+        named.setdefault(text[a:b], kind)
+
     for m in _NAMED.finditer(text):
         if m["given"]:
-            found += [(*m.span("given"), "given"), (*m.span("surname"), "surname")]
+            name(m, "given", "given")
+            name(m, "surname", "surname")
         elif m["second"]:
-            found += [(*m.span("first"), "given"), (*m.span("second"), "surname")]
+            name(m, "first", "given")
+            name(m, "second", "surname")
         else:
-            found.append((*m.span("first"), "given" if m["first"] in _PLACE_OF else "surname"))
+            name(m, "first", "given" if m["first"] in _PLACE_OF else "surname")
+    if named:
+        # the other mentions of these names; a word is looked up, so many names cost no more
+        at = {(a, b) for a, b, _ in found}
+        for m in _BARE.finditer(text):
+            for a, b in _parts(*m.span(), text):
+                if text[a:b] in named and (a, b) not in at:
+                    found.append((a, b, named[text[a:b]]))
     out: list[tuple[int, int, str]] = []
     for x in sorted(found):
         if x[0] < x[1] and (not out or x[0] >= out[-1][1]):

@@ -195,3 +195,15 @@ def test_no_entities():
 def test_spelling_of_country_codes():
     plain, spaced = surrogate("phone", "+14155552671"), surrogate("phone", "+1 415 555 2671")
     assert canonical("phone", plain) == canonical("phone", spaced)
+
+
+def test_later_mentions_of_a_name(make):
+    text = "Anna Schmidt came. Later Schmidt left; Anna's coat and Schmidt’s hat stayed. Schmidtke and the anna did not."
+    got = [(text[a:b], k) for a, b, k in entities(text)]
+    assert got == [("Anna", "given"), ("Schmidt", "surname"), ("Schmidt", "surname"), ("Anna", "given"), ("Schmidt", "surname")]
+    docs = make([(1, text), (2, "Before: Weber. Dr. Weber spoke, Mr Weber's plan."), (3, "Schmidt alone")])
+    out = by_id(surrogates.replace(docs))
+    a, s, w = surrogate("given", "Anna"), surrogate("surname", "Schmidt"), surrogate("surname", "Weber")
+    assert out[1]["text"] == f"{a} {s} came. Later {s} left; {a}'s coat and {s}’s hat stayed. Schmidtke and the anna did not."
+    assert out[2]["text"] == f"Before: {w}. Dr. {w} spoke, Mr {w}'s plan."
+    assert out[3]["text"] == "Schmidt alone"
