@@ -1,9 +1,10 @@
-"""Exact k nearest neighbours inside a set of bounded size.
+"""Exact k nearest neighbours inside a set of points.
 
-The set comes from the labelled rows that a classifier is fitted on, whose number
-``TrainConfig.fit_rows`` bounds. It is sent to the tasks once; each task takes
-some of the searching points and compares them with all others in blocks. Only
-the k best of a point leave the task, as ids.
+The points are dealt by hash into blocks of about ``BLOCK_POINTS``. Each block of
+searching points meets each block of points in a task of its own, and only the k
+best of each searching point leave it, as ids; a grouped aggregate keeps the k best
+of all blocks. No point passes through the driver, and a task holds two blocks. The
+number of comparisons grows with the square of the points, as exact search must here.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 # the functions below travel with the task, so executors need not have the package
 register_pickle_by_value(sys.modules[__name__])
 
+# points of a block, if hashes deal evenly
+BLOCK_POINTS = 10_000
 # searching points and distances held at once
 CHUNK_ROWS = 256
 BLOCK_CELLS = 4_000_000
@@ -40,11 +43,12 @@ def rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def best_of(x: np.ndarray, at: np.ndarray, points: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of ``x``, which is point ``at``: its k nearest other points and their distances; ties by position."""
+    """For each row of ``x``, which is point ``at`` (-1: none of them): its k nearest other points and their distances; ties by position."""
     squares, error = rough_squares(x, points)
     upper = squares + error
-    upper[np.arange(len(x)), at] = np.inf
-    k = min(k, len(points) - 1)
+    own = np.flatnonzero(at >= 0)
+    upper[own, at[own]] = np.inf
+    k = min(k, len(points))
     if k < 1:
         return [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in x]
     limits = np.partition(upper, k - 1, axis=1)[:, k - 1]
@@ -62,26 +66,38 @@ def best_of(x: np.ndarray, at: np.ndarray, points: np.ndarray, k: int) -> list[t
 def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
     """(pid, other, distance, place) of the k nearest other points; ties by ``other``.
 
-    ``points`` is a staged table (pid, x array<double>) with distinct pids and of bounded
-    size; ``searchers`` is a SQL test that chooses the points to search for.
+    ``points`` is a staged table (pid, x array<double>) with distinct pids; ``searchers``
+    is a SQL test that chooses the points to search for.
     """
-    spark = points.sparkSession
-    rows = sorted(points.select("pid", "x").collect())  # at most TrainConfig.fit_rows points
-    held = spark.sparkContext.broadcast((np.array([r["pid"] for r in rows]), _matrix(r["x"] for r in rows)))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, x = held.value
-        step = max(1, min(CHUNK_ROWS, BLOCK_CELLS // max(1, len(names))))
-        for batch in batches:
-            at = np.searchsorted(names, batch["pid"].to_numpy().astype(names.dtype))
+    blocks = max(1, -(-points.count() // BLOCK_POINTS))
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("pid", kind="stable")
+        names = right["pid"].to_numpy(dtype=object)
+        found: dict[str, list] = {"pid": [], "other": [], "distance": []}
+        if len(left) and len(right):
+            x, against = _matrix(left["x"]), _matrix(right["x"])
+            place = {p: i for i, p in enumerate(names)}
+            pids = left["pid"].to_numpy(dtype=object)
+            at = np.array([place.get(p, -1) for p in pids])
+            step = max(1, min(CHUNK_ROWS, BLOCK_CELLS // len(names)))
             for start in range(0, len(at), step):
-                some = at[start : start + step]
-                for i, (near, distance) in zip(some, best_of(x[some], some, x, k)):
-                    yield pd.DataFrame(
-                        {"pid": names[i], "other": names[near], "distance": distance, "place": np.arange(1, len(near) + 1)}
-                    )
-
-    # the work is in the tasks, not in the bytes: spread the ids
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = points.where(F.expr(searchers)).select("pid").repartition(tasks, "pid")
-    return ids.mapInPandas(search, "pid string, other string, distance double, place int")
+                some = slice(start, start + step)
+                for pid, (near, distance) in zip(pids[some], best_of(x[some], at[some], against, k)):
+                    found["pid"] += [pid] * len(near)
+                    found["other"] += list(names[near])
+                    found["distance"] += list(distance)
+        return pd.DataFrame(found).astype({"distance": "float64"})
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row once for every block of the other side."""
+        block = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias(own)
+        return rows.select("pid", "x", block, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other))
+
+    left = spread(points.where(F.expr(searchers)), "of", "against").groupBy("of", "against")
+    right = spread(points, "against", "of").groupBy("of", "against")
+    met = left.cogroup(right).applyInPandas(search, "pid string, other string, distance double")
+    # at most k rows of each block
+    best = met.groupBy("pid").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("best"))
+    placed = best.select("pid", F.posexplode("best").alias("before", "b"))
+    return placed.select("pid", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"), (F.col("before") + 1).alias("place"))

@@ -40,6 +40,18 @@ def test_neighbours_of_few_points(spark):
     assert got == {(p, o) for p in "abc" for o in "abc" if p != o}
 
 
+def test_neighbours_over_blocks_without_gathering_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 40)
+    x = np.round(np.random.default_rng(3).normal(size=(150, 2)), 1)  # with ties
+    points = stage(spark.createDataFrame([(f"{i:04d}", r.tolist()) for i, r in enumerate(x)], "pid string, x array<double>"))
+    with monkeypatch.context() as m:
+        m.setattr(type(points), "collect", lambda df: pytest.fail("points are gathered"))
+        near = neighbours.nearest(points, 4, "pid < '0100'")
+    got = near.collect()
+    assert {(int(r.pid), int(r.other)) for r in got} == {(a, b) for a, b in brute_force(x, 4) if a < 100}
+    assert sorted(r.place for r in got) == sorted([1, 2, 3, 4] * 100)
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     rng = np.random.default_rng(2)
