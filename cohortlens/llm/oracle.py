@@ -179,6 +179,75 @@ FROM whole w LEFT JOIN (SELECT * FROM known WHERE unit = 'text') k ON w.digest =
 LEFT JOIN notice n ON n.doc_id = w.doc_id
 """
 
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS alike,
+    CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positive p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _floor_mean(total: str, n: str) -> str:
+    return f"({total} - ((({total}) % {n}) + {n}) % {n}) // {n}"
+
+
+def _codebook_round(r: int) -> str:
+    """Assignment under the codebooks ``b{r}``, and the next ones."""
+    return f"""
+, a{r} AS (
+  SELECT p.vec_id, p.part, p.x, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM part p JOIN b{r} b ON p.part = b.part
+  QUALIFY row_number() OVER (PARTITION BY p.vec_id, p.part ORDER BY d, b.entry) = 1
+), m{r} AS (
+  SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n
+  FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY part, entry, i
+), b{r + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x
+  FROM b{r} b LEFT JOIN (SELECT part, entry, list(CAST({_floor_mean("s", "n")} AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY part, entry) m
+    ON b.part = m.part AND b.entry = m.entry
+)"""
+
+
+OP12 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+  SELECT vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x
+  FROM (SELECT vec_id, x, unnest(range(16)) AS part FROM v)
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64
+), b0 AS (SELECT part, entry, x FROM part JOIN first USING (vec_id))
+{_codebook_round(0)}{_codebook_round(1)}{_codebook_round(2)}
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a2 GROUP BY vec_id
+), total AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM v JOIN coded USING (vec_id) GROUP BY label),
+digest AS (
+  SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS i FROM b2)
+)
+SELECT v.vec_id, c.code, c.error, t.label_error, d.codebooks_sha256
+FROM v JOIN coded c USING (vec_id) JOIN total t ON v.label IS NOT DISTINCT FROM t.label, digest d
+"""
+
 ORACLE = {
     "op3_line_dedup": OP3,
     "op4_substring_dedup": OP4,
@@ -186,4 +255,6 @@ ORACLE = {
     "op8_licences": OP8,
     "op9_suffix_dedup": OP9,
     "op10_jaccard": OP10,
+    "op11_hard_negatives": OP11,
+    "op12_vector_codes": OP12,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cohortlens.llm import (
     decontaminate,
     fingerprint,
+    hard_negatives,
     jaccard,
     licences,
     line_dedup,
@@ -13,6 +14,8 @@ from cohortlens.llm import (
     substring_dedup,
     suffix_dedup,
     surrogates,
+    toxicity,
+    vector_codes,
 )
 from cohortlens.llm.common import table
 
@@ -57,6 +60,19 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    relabel = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=relabel, anchor="vec_id % 50 = 0")
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mix": op2_mix,
@@ -68,4 +84,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard": op10_jaccard,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_toxicity": op13_toxicity,
 }
