@@ -171,8 +171,10 @@ def _moved(table: DataFrame, book: np.ndarray, width: int) -> np.ndarray:
 
 def starting_books(rows: DataFrame, width: int, parts: int, entries: int) -> np.ndarray:
     """Codebooks (parts x entries x components) from the vectors with the smallest ids."""
-    first = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("x").alias("x")).orderBy("vec_id").limit(entries)
-    vectors = sorted((r.vec_id, list(r.x)) for r in first.collect())  # at most ``entries`` rows
+    # only ids travel; vectors are read of at most ``entries`` of them
+    first = rows.select("vec_id").where("vec_id IS NOT NULL").distinct().orderBy("vec_id").limit(entries)
+    chosen = rows.join(F.broadcast(first), "vec_id").groupBy("vec_id").agg(F.min("x").alias("x"))
+    vectors = sorted((r.vec_id, list(r.x)) for r in chosen.collect())
     books = np.zeros((len(vectors), width), np.int64)
     for i, (_, x) in enumerate(vectors):
         books[i, : len(x)] = x
