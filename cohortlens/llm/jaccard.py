@@ -111,11 +111,11 @@ def least_prefix(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - -(-threshold * n // 100) + 1
 
 
-def _sets(docs: DataFrame, threshold: int, seed: int) -> DataFrame:
-    """A row per document (doc, doc_id, n, node, check), and the tokens of each class (class, n)."""
-    fields = [("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("class", pa.int32())]
+def _sets(docs: DataFrame, seed: int) -> DataFrame:
+    """A row per document (doc, doc_id, n, node, check, bitmap), and packed class counts of each task (classes, counts)."""
+    fields = [("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64())]
     fields += [(b, pa.int64()) for b in BITMAP]
-    schema = pa.schema(fields)
+    schema = pa.schema([*fields, ("classes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES, dtype=np.int64)
@@ -126,23 +126,46 @@ def _sets(docs: DataFrame, threshold: int, seed: int) -> DataFrame:
                 total += np.bincount((value >> U64(64 - CLASS_BITS)).astype(np.int64), minlength=CLASSES)
                 node, check = names_of(value, at, seed)
                 piece = batch.slice(a, b - a)
-                none = pa.nulls(b - a, pa.int32())
-                columns = [piece.column("doc"), piece.column("doc_id"), pa.array(np.diff(at)), pa.array(node), pa.array(check), none]
+                columns = [piece.column("doc"), piece.column("doc_id"), pa.array(np.diff(at)), pa.array(node), pa.array(check)]
                 columns += [pa.array(column) for column in bitmaps(value, owner, b - a).T.copy()]
+                columns += [pa.nulls(b - a, schema.field(c).type) for c in ("classes", "counts")]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
         filled = np.flatnonzero(total)
-        for i in range(0, len(filled), 50_000):
-            some = filled[i : i + 50_000]
-            none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(total[some]), none, none, pa.array(some.astype(np.int32)), *[none] * WORDS], schema=schema)
-
-    return staged(docs.mapInArrow(run, "doc long, doc_id long, n long, node long, check long, class int, " + ", ".join(f"{b} long" for b in BITMAP)), "sets")
-
-
-def levels(counts: np.ndarray) -> np.ndarray:
+        for i in range(0, len(filled), 1 << 16):
+            some = filled[i : i + (1 << 16)]
+            columns = [pa.nulls(1, pa.int64())] * len(fields)
+            columns += [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[some]], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    kinds = ", ".join(f"{name} long" for name, _ in fields)
+    return staged(docs.mapInArrow(run, f"{kinds}, classes array<int>, counts array<bigint>"), "sets")
+
+
+def frequent_classes(sets: DataFrame) -> np.ndarray:
+    """Level of every class; only frequent classes, above the median by far, are gathered."""
+    pairs = sets.where("classes IS NOT NULL").select(F.explode(F.arrays_zip("classes", "counts")).alias("p"))
+    table = staged(pairs.groupBy(F.col("p.classes").alias("class")).agg(F.sum("p.counts").alias("n")), "classes")
+    filled = table.count()
+    empty, usual = CLASSES - filled, 0.0
+    # the two middle ones of all classes, empty ones first
+    middle = [i - empty for i in (CLASSES // 2 - 1, CLASSES // 2) if i >= empty]
+    if middle:
+        places = F.array(*(F.lit(min(1.0, i / max(1, filled - 1))) for i in middle))
+        usual = sum(table.agg(F.percentile("n", places)).first()[0]) / 2
+    high = table.where(F.col("n") > usual + excess_from(usual)).toArrow()
+    level = np.zeros(CLASSES, dtype=np.uint8)
+    level[high.column("class").to_numpy()] = levels(high.column("n").to_numpy(), usual)
+    return level
+
+
+def excess_from(usual: float) -> float:
+    """How far above the usual count a frequent class begins."""
+    return 8 * usual**0.5 + 50
+
+
+def levels(counts: np.ndarray, usual: float) -> np.ndarray:
     """0 for rare classes, else the logarithm of how far a class is above the others, from 1 to 255."""
-    usual = float(np.median(counts))
-    excess = counts - (usual + 8 * np.sqrt(usual) + 50)
+    excess = counts - (usual + excess_from(usual))
     return np.where(excess > 0, np.clip(1 + 8 * np.log2(np.maximum(excess, 1)), 1, 255), 0).astype(np.uint8)
 
 
@@ -299,18 +322,15 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, seed: int
     """One row per document: doc_id, n_shingles and component_id (smallest doc_id reachable by links)."""
     docs = keyed(documents)
     for attempt in range(8):
-        sets = _sets(docs, threshold, seed + attempt)
-        members = sets.where("class IS NULL")
+        sets = _sets(docs, seed + attempt)
+        members = sets.where("classes IS NULL").drop("classes", "counts")
         nodes = members.where("n > 0").groupBy("node").agg(
             F.min("doc").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), *(F.min(b).alias(b) for b in BITMAP)
         )
         nodes = staged(nodes, "nodes")
         if nodes.where("c0 <> c1").isEmpty():
             break
-    counts = np.zeros(CLASSES, dtype=np.int64)
-    table = sets.where("class IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES rows
-    counts[table["class"].to_numpy()] = table["n"].to_numpy()
-    found = links(docs, levels(counts), nodes, threshold, seed + attempt)
+    found = links(docs, frequent_classes(sets), nodes, threshold, seed + attempt)
     labels = components(found)
     rooted = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.join(labels, "node", "left").groupBy(F.coalesce("root", "node").alias("of")).agg(F.min("rep").alias("component"))

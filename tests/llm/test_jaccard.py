@@ -77,7 +77,7 @@ def cases(seed):
 @pytest.mark.parametrize("frequent", [False, True])
 def test_matches_brute_force(make, monkeypatch, frequent):
     if frequent:  # every class that holds a few tokens counts as frequent
-        monkeypatch.setattr(jaccard, "levels", lambda c: np.clip(c - 2, 0, 255).astype(np.uint8))
+        monkeypatch.setattr(jaccard, "excess_from", lambda usual: 2 - usual)  # classes of three tokens are frequent
     rows = cases(1 + frequent)
     got = by_id(jaccard.near_duplicates(make(rows)))
     assert {d: tuple(r)[1:] for d, r in got.items()} == brute(rows)
@@ -85,7 +85,7 @@ def test_matches_brute_force(make, monkeypatch, frequent):
 
 def test_combinations_are_indexed(make, monkeypatch):
     # popular passages fill the end of every short text, so few prefix tokens are frequent
-    monkeypatch.setattr(jaccard, "levels", lambda c: np.clip(c - 2, 0, 255).astype(np.uint8))
+    monkeypatch.setattr(jaccard, "excess_from", lambda usual: 2 - usual)  # classes of three tokens are frequent
     rng = random.Random(6)
     parts = [text_of(rng, 12, [f"p{i}" for i in range(50)]) for _ in range(4)]
     rows = [(i, " ".join(rng.sample(parts, 3)) + f" t{i % 7}") for i in range(60)]
