@@ -16,7 +16,9 @@ That table has a fixed size and is the only thing that is broadcast.
 Documents with equal sets are one node, so copies are never expanded. Groups
 that share a token are not expanded into pairs either while one comparison with
 the best supported member of the token's group settles them: those links are verified
-and joined to components first, and only members of different components meet.
+and joined to components first, and only members of different components meet. While groups that
+still are open would make many pairs, each member is compared with one that its keys elect by lot, in
+several turns; pairs are made of what these leave apart.
 Such pairs must have sizes that can reach the threshold, and share as many tokens
 of their prefixes as any linked pair of these sizes does, and parity bitmaps that do not differ
 in more places than a linked pair has tokens apart; what remains is verified on the texts. Components of the links are found with alternating stars.
@@ -56,6 +58,8 @@ CLASSES = 1 << CLASS_BITS
 COMBINED = 12
 RARE, PAIR, FEW, MANY = 0, 1, 2, 3
 COMPLETE = 4
+#: Times that groups of near copies are drawn together by one comparison a member, before pairs of what is left.
+TURNS = 6
 #: 64-bit words of the parity bitmap of a set
 WORDS = 8
 BITMAP = tuple(f"b{i}" for i in range(WORDS))
@@ -248,6 +252,36 @@ def _enough(shared: Column, n: Column, m: Column, complete: Column, threshold: i
     return ~complete | (shared >= overlap - beyond)
 
 
+def _near(n: Column, m: Column, maps: list[tuple[Column, Column]], threshold: int) -> Column:
+    """Whether bitmaps allow a link: tokens that are not common are at least the places in which they differ."""
+    apart = F.lit(0)
+    for x, y in maps:
+        apart = apart + F.bit_count(x.bitwiseXOR(y))
+    both = (n + m).cast("long")
+    return (both - apart) * (100 + threshold) >= both * (2 * threshold)
+
+
+def _open(part: DataFrame) -> DataFrame:
+    """Index rows of keys at which different components meet."""
+    keys = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return part.join(keys, "key", "left_semi")
+
+
+def _one_each(part: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """For each node one of another component to be compared with: of the members that its keys elect in this
+    turn the one with most of them. (a, b, part, other)."""
+    names = ("node", "n", "kind", "complete", "part", *BITMAP)
+    elected = part.groupBy("key").agg(F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("lot"), *names)).alias("e"))
+    met = part.join(elected, "key").where("part <> e.part AND NOT (kind = 2 AND e.kind = 2)")
+    met = met.where(_fits(F.col("n"), F.col("e.n"), threshold))
+    met = met.where(_near(F.col("n"), F.col("e.n"), [(F.col(b), F.col(f"e.{b}")) for b in BITMAP], threshold))
+    met = met.groupBy(F.col("node").alias("a"), F.col("e.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("part").alias("part"), F.first("e.part").alias("other")
+    )
+    best = met.groupBy("a").agg(F.max(F.struct("shared", "b", "part", "other")).alias("m"))
+    return best.select("a", "m.b", "m.part", "m.other")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: int, seed: int) -> DataFrame:
     """The pairs (a, b) of nodes that are linked; sets are made anew from the text of one document of each node."""
     pairs = staged(pairs, "candidates")
@@ -300,22 +334,33 @@ def links(docs: DataFrame, level: np.ndarray, nodes: DataFrame, threshold: int,
     first = staged(_verified(star.select("a", "b"), docs, nodes, threshold, seed), "star-links")
     labels = components(first)
     part = rows.join(labels, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    part = staged(part, "index-parts")
-    open_ = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    part = part.join(open_, "key", "left_semi").join(nodes.select("node", *BITMAP), "node")
+    part = _open(staged(part, "index-parts")).join(nodes.select("node", *BITMAP), "node")
     part = staged(part, "index-open")
+    found, before = [first], float("inf")
+    for turn in range(TURNS):
+        size = part.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        load = size.agg(F.sum("rows").alias("rows"), F.sum(F.expr("rows * (rows - 1) / 2")).alias("pairs")).first()
+        if not load["rows"] or load["pairs"] <= 2 * load["rows"] or float(load["pairs"]) > 0.8 * before:
+            break
+        before = float(load["pairs"])
+        pairs = staged(_one_each(part, turn, threshold), "turn-candidates")
+        new = staged(_verified(pairs.select("a", "b"), docs, nodes, threshold, seed), "turn-links")
+        found.append(new)
+        merged = components(new.join(pairs, ["a", "b"]).select(F.col("part").alias("a"), F.col("other").alias("b")))
+        merged = merged.select(F.col("node").alias("part"), "root")
+        part = part.join(merged, "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+        part = staged(_open(staged(part, "index-parts")), "index-open")
     other = part.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "kind", "complete", "part", *BITMAP)))
     pairs = part.join(other, "key").where("node < o_node AND part <> o_part AND NOT (kind = 2 AND o_kind = 2)")
     pairs = pairs.where(_fits(F.col("n"), F.col("o_n"), threshold))
-    # tokens that are not common are at least the places in which the bitmaps differ
-    apart = F.expr(" + ".join(f"bit_count({b} ^ o_{b})" for b in BITMAP))
-    both = F.col("n") + F.col("o_n")
-    pairs = pairs.where((both - apart).cast("long") * (100 + threshold) >= both.cast("long") * (2 * threshold))
+    pairs = pairs.where(_near(F.col("n"), F.col("o_n"), [(F.col(b), F.col(f"o_{b}")) for b in BITMAP], threshold))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("o_node").alias("b")).agg(
         F.count_if(single).alias("shared"), F.first("n").alias("n"), F.first("o_n").alias("m"), F.first(F.col("complete") | F.col("o_complete")).alias("complete")
     )
     pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("m"), F.col("complete"), threshold))
-    return first.unionByName(_verified(pairs.select("a", "b"), docs, nodes, threshold, seed))
+    for links_ in found:
+        last = links_ if links_ is first else last.unionByName(links_)
+    return last.unionByName(_verified(pairs.select("a", "b"), docs, nodes, threshold, seed))
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD, seed: int = 1) -> DataFrame:
