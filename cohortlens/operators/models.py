@@ -18,7 +18,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.config import TrainConfig
@@ -28,6 +27,9 @@ from cohortlens.operators.sampling import assign_folds
 from cohortlens.operators.smote import class_sizes, rows_to_add, smote
 from cohortlens.storage import stage
 
+# rows of a fit that one task takes: less would be job overhead, not work
+TASK_ROWS = 20_000
+
 RESULT_SCHEMA = (
     "model STRING, cv_roc_auc_mean DOUBLE, cv_roc_auc_std DOUBLE, test_roc_auc DOUBLE, "
     "test_accuracy DOUBLE, test_precision DOUBLE, test_recall DOUBLE, test_f1 DOUBLE"
@@ -188,89 +190,111 @@ def side_by_side(jobs: list, workers: int) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
 
 
+def compact(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` in as many partitions as their number is worth."""
+    return rows.coalesce(max(1, -(-count // TASK_ROWS))).cache()
+
+
 def cross_validate(estimators: dict[str, Estimator], train: DataFrame, cfg: TrainConfig, positive_weight: float) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of the folds' ROC-AUC per model.
 
-    Oversampling happens inside each fold's training part; ``leaky_folds``
-    oversamples before folding, as the published runs did.
+    All fits, of every model and fold, share one pool. Oversampling happens inside
+    each fold's training part; ``leaky_folds`` oversamples before folding, as the
+    published runs did.
     """
     source = resampled(train, cfg, positive_weight) if cfg.leaky_folds else train
     folded = stage(assign_folds(source.withColumn("stratum", F.col("y")), "key", "stratum", cfg.folds, cfg.seed), "folds")
-    if cfg.leaky_folds or not rows_to_add(class_sizes(train, "y"), cfg.resample_ratio, cfg.resample_gate)[1]:
-        if not cfg.leaky_folds:
-            folded = with_weights(folded, positive_weight)
-        # the raw prediction of a single tree is a row count, so rank by probability
-        evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="probability", numBins=0)
-        summary = {}
-        for name, estimator in estimators.items():
-            validator = CrossValidator(
-                estimator=estimator,
-                estimatorParamMaps=[{}],
-                evaluator=evaluator,
-                numFolds=cfg.folds,
-                foldCol="fold",
-                parallelism=cfg.parallelism,
-            )
-            validated = validator.fit(folded)
-            summary[name] = (float(validated.avgMetrics[0]), float(validated.stdMetrics[0]))
-        return summary
-    parts = [resampled(folded.filter(F.col("fold") != fold), cfg, positive_weight).cache() for fold in range(cfg.folds)]
+    inside = not cfg.leaky_folds and rows_to_add(class_sizes(train, "y"), cfg.resample_ratio, cfg.resample_gate)[1] > 0
+    weighted = folded if cfg.leaky_folds or inside else with_weights(folded, positive_weight)
+
+    def prepared(fold: int) -> tuple[DataFrame, DataFrame]:
+        part = weighted.filter(F.col("fold") != fold)
+        part = resampled(part, cfg, positive_weight) if inside else part
+        part = compact(part, part.count())
+        held = folded.filter(F.col("fold") == fold)
+        return part, compact(held, held.count())
+
+    parts = side_by_side([partial(prepared, fold) for fold in range(cfg.folds)], cfg.parallelism)
 
     def one(name: str, fold: int) -> float:
-        model = estimators[name].fit(parts[fold])
-        return exact_auc(scored_by(model, folded.filter(F.col("fold") == fold)))
+        part, held = parts[fold]
+        return exact_auc(scored_by(estimators[name].fit(part), held))
 
-    jobs = [partial(one, name, fold) for name in reversed(estimators) for fold in range(cfg.folds)]
-    found = side_by_side(jobs, cfg.parallelism)
-    for part in parts:
+    # the last estimators take longest and so begin first
+    names = list(reversed(estimators))
+    found = side_by_side([partial(one, name, fold) for name in names for fold in range(cfg.folds)], cfg.parallelism)
+    for part, held in parts:
         part.unpersist()
-    scores = {name: found[i * cfg.folds : (i + 1) * cfg.folds] for i, name in enumerate(reversed(estimators))}
+        held.unpersist()
+    scores = {name: found[i * cfg.folds : (i + 1) * cfg.folds] for i, name in enumerate(names)}
     return {name: (statistics.fmean(scores[name]), statistics.pstdev(scores[name])) for name in estimators}
 
 
 @dataclass
 class Trained:
-    """Fitted models by name and their comparison table."""
+    """Fitted models by name, their metrics on the test rows and, once asked for, of the folds."""
 
     models: dict[str, Model]
-    results: DataFrame
-    best: str
+    tested: list[tuple]
     scores: dict[str, DataFrame]
+    folds: dict[str, tuple[float, float]] | None = None
+
+    @property
+    def best(self) -> str:
+        return select_best(self.tested, at=1)
+
+    @property
+    def results(self) -> DataFrame:
+        """The comparison table; its fold columns are NULL while the folds have not been fitted."""
+        rows = [(name, *(self.folds[name] if self.folds else (None, None)), *metrics) for name, *metrics in self.tested]
+        return SparkSession.active().createDataFrame(rows, RESULT_SCHEMA).orderBy(F.desc("test_roc_auc"))
 
     def best_tree(self) -> str:
         """The model with the highest test ROC-AUC among those that have feature importances."""
-        names = [r["model"] for r in self.results.collect()]
-        return next(n for n in names if hasattr(self.models[n], "featureImportances"))
-
+        trees = [row for row in self.tested if hasattr(self.models[row[0]], "featureImportances")]
+        return select_best(trees, at=1)
 
-def train_models(train: DataFrame, test: DataFrame, cfg: TrainConfig) -> Trained:
-    """Cross-validate, fit on all training rows and evaluate on the test rows.
 
-    ``train`` and ``test`` are staged (key, y, features) tables. Models and folds are
-    fitted side by side; every fit and evaluation is distributed.
-    """
+def fit_part(train: DataFrame, cfg: TrainConfig) -> tuple[DataFrame, float]:
+    """The rows that classifiers are fitted on, and the weight of a positive one."""
     sizes = class_sizes(train, "y")
     if len(sizes) < 2:
         raise ValueError("training rows must have both classes")
-    positive_weight = sizes[0] / sizes[1]
-    labelled = fit_sample(train, sizes, cfg)
-    rows = resampled(labelled, cfg, positive_weight).cache()
-    estimators = make_models(cfg, rows.count())
-    folds = cross_validate(estimators, labelled, cfg, positive_weight)
+    return fit_sample(train, sizes, cfg), sizes[0] / sizes[1]
 
-    def fitted(name: str) -> tuple[Model, DataFrame]:
-        model = estimators[name].fit(rows)
-        return model, stage(scored_by(model, test), "scored")
 
-    found = side_by_side([partial(fitted, name) for name in estimators], cfg.parallelism)
-    models, scores, results = {}, {}, []
-    for name, (model, scored) in zip(estimators, found):
-        models[name], scores[name] = model, scored
+def fit_models(train: DataFrame, test: DataFrame, cfg: TrainConfig) -> Trained:
+    """Fit every model on all training rows and evaluate it on the test rows; no folds.
+
+    ``train`` and ``test`` are staged (key, y, features) tables. Models are fitted
+    side by side; every fit and evaluation is distributed.
+    """
+    labelled, positive_weight = fit_part(train, cfg)
+    rows = resampled(labelled, cfg, positive_weight)
+    count = rows.count()
+    rows = compact(rows, count)
+    estimators = make_models(cfg, count)
+
+    def fitted(name: str) -> tuple[Model, DataFrame, tuple]:
+        model = estimators[name].fit(rows)
+        scored = stage(scored_by(model, test), "scored")
         m = V.metrics_of(V.confusion(scored, predicted="predicted")).first()
-        results.append((name, *folds[name], exact_auc(scored), m.accuracy, m.precision, m.recall, m.f1))
+        return model, scored, (name, exact_auc(scored), m.accuracy, m.precision, m.recall, m.f1)
+
+    names = list(reversed(estimators))
+    found = dict(zip(names, side_by_side([partial(fitted, name) for name in names], cfg.parallelism)))
     rows.unpersist()
-    table = train.sparkSession.createDataFrame(results, RESULT_SCHEMA)
-    return Trained(models, table.orderBy(F.desc("test_roc_auc")), select_best(results), scores)
+    return Trained(
+        {name: found[name][0] for name in estimators},
+        [found[name][2] for name in estimators],
+        {name: found[name][1] for name in estimators},
+    )
+
+
+def fit_folds(train: DataFrame, cfg: TrainConfig) -> dict[str, tuple[float, float]]:
+    """Cross-validated ROC-AUC (mean, deviation) of every model; needs no final fit."""
+    labelled, positive_weight = fit_part(train, cfg)
+    return cross_validate(make_models(cfg, labelled.count()), labelled, cfg, positive_weight)
 
 
 def select_best(results: list[tuple], at: int = 3) -> str:

@@ -34,8 +34,11 @@ class Run:
     dataset: DataFrame
 
 
-def train_and_evaluate(dataset: DataFrame, cfg: TrainConfig) -> Run:
-    """Run all stages on a wide dataset."""
+def train_and_evaluate(dataset: DataFrame, cfg: TrainConfig, folds: bool = True) -> Run:
+    """Run all stages on a wide dataset; without ``folds`` no model is cross-validated.
+
+    Folds decide nothing: the best model is the one with the best test score.
+    """
     dataset = stage(dataset, "dataset")
     categories = D.fit_categories(dataset, cfg)
     keys = dataset.select(cfg.key, cfg.target)
@@ -46,7 +49,9 @@ def train_and_evaluate(dataset: DataFrame, cfg: TrainConfig) -> Run:
     prepared = D.fit_preparation(categories, train_rows)
     train = stage(D.assemble(train_rows, prepared, cfg), "train")
     test = stage(D.assemble(test_rows, prepared, cfg), "test")
-    trained = D.train_models(train, test, cfg)
+    trained = D.fit_models(train, test, cfg)
+    if folds:
+        trained.folds = D.fit_folds(train, cfg)
     best = trained.models[trained.best]
     fitted = D.bundle(trained.best, prepared, best)
     scored = trained.scores[trained.best]
