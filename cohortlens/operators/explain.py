@@ -14,13 +14,17 @@ from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cohortlens.storage import scratch_dir
+from cohortlens.storage import scratch_dir, stage
 
 # the functions below travel with the task, so executors need not have the package
 register_pickle_by_value(sys.modules[__name__])
 
 # size of a (rows x leaves x path features) block in a task
 BLOCK_CELLS = 2_000_000
+# patterns of a path that a table may have
+TABLE_PATTERNS = 256
+# leaves that are sent to the tasks at once, a few MB
+BLOCK_LEAVES = 20_000
 
 
 def feature_importance(spark: SparkSession, model: Model, names: Sequence[str], k: int = 20) -> DataFrame:
@@ -64,35 +68,45 @@ def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
     )
 
 
-def leaf_paths(nodes: DataFrame) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
-    """Per leaf its value and, per feature on its path, (low, high, share of cover kept).
+Leaf = tuple[float, dict[int, tuple[float, float, float]]]
 
-    A row satisfies the path on a feature when low < x <= high. The model is
-    already held by the driver, so its nodes may be too.
+
+def tree_leaves(nodes: dict[int, tuple]) -> list[Leaf]:
+    """Per leaf of one tree its value and, per feature on its path, (low, high, share of cover kept).
+
+    A row satisfies the path on a feature when low < x <= high. ``nodes`` holds
+    (value, cover, left child, right child, feature, threshold) by id.
     """
-    trees: dict[int, dict[int, tuple]] = {}
-    for node in nodes.collect():
-        trees.setdefault(node["treeID"], {})[node["id"]] = node
-    leaves = []
-    for tree in trees.values():
-        pending = [(0, {})]
-        while pending:
-            at, path = pending.pop()
-            node = tree[at]
-            if node["leftChild"] < 0:
-                leaves.append((node["value"], path))
-                continue
-            feature, threshold = node["feature"], node["threshold"]
-            low, high, kept = path.get(feature, (-np.inf, np.inf, 1.0))
-            for child, bounds in (
-                (node["leftChild"], (low, min(high, threshold))),
-                (node["rightChild"], (max(low, threshold), high)),
-            ):
-                share = tree[child]["cover"] / node["cover"]
-                pending.append((child, {**path, feature: (*bounds, kept * share)}))
+    leaves, pending = [], [(0, {})]
+    while pending:
+        at, path = pending.pop()
+        value, cover, left, right, feature, threshold = nodes[at]
+        if left < 0:
+            leaves.append((value, path))
+            continue
+        low, high, kept = path.get(feature, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((left, (low, min(high, threshold))), (right, (max(low, threshold), high))):
+            share = nodes[child][1] / cover
+            pending.append((child, {**path, feature: (*bounds, kept * share)}))
     return leaves
 
 
+def leaf_table(nodes: DataFrame) -> DataFrame:
+    """One row per leaf (treeID, value, feature, low, high, share); every tree is walked in a task of its own."""
+
+    def walk(tree: pd.DataFrame) -> pd.DataFrame:
+        columns = ("value", "cover", "leftChild", "rightChild", "feature", "threshold")
+        rows = dict(zip(tree["id"].tolist(), zip(*(tree[c].tolist() for c in columns))))
+        leaves = tree_leaves(rows)
+        out = {"treeID": tree["treeID"].iloc[0], "value": [v for v, _ in leaves], "feature": [list(p) for _, p in leaves]}
+        for i, name in enumerate(("low", "high", "share")):
+            out[name] = [[b[i] for b in p.values()] for _, p in leaves]
+        return pd.DataFrame(out)
+
+    kind = "treeID int, value double, feature array<int>, low array<double>, high array<double>, share array<double>"
+    return nodes.groupBy("treeID").applyInPandas(walk, kind)
+
+
 def stacked_leaves(leaves) -> dict[int, tuple[np.ndarray, ...]]:
     """Leaves as arrays, grouped by the number of features on their path."""
     groups: dict[int, list] = {}
@@ -110,42 +124,69 @@ def stacked_leaves(leaves) -> dict[int, tuple[np.ndarray, ...]]:
     return stacked
 
 
-def shapley_matrix(x: np.ndarray, stacked: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Shapley values (rows x features) of the sum of all leaves.
+def pattern_gains(values: np.ndarray, share: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Shapley values (cases x path features) of one leaf each, given which features of its path a row satisfies.
 
     A leaf is the product game v(S) = value * prod(a_f, f in S) * prod(b_f, f not in S)
     with a_f = 1 if the row satisfies the path on f, b_f = the cover share kept by f.
     The coefficients of prod(b_f + a_f t) sum its subsets by size; dividing one
     factor out gives the subsets without that feature.
     """
+    n, d = share.shape
+    weights = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
+    poly = np.zeros((d + 1, n))
+    poly[0] = 1.0
+    for f in range(d):
+        poly[1:] = poly[1:] * share[:, f] + poly[:-1] * hit[:, f]
+        poly[0] *= share[:, f]
+    gains = np.empty((n, d))
+    for f in range(d):
+        b, rest, total = share[:, f], np.zeros(n), np.zeros(n)
+        for k in range(d - 1, -1, -1):
+            # hit: divide by (b + t) from the top; miss: divide by b
+            rest = np.where(hit[:, f], poly[k + 1] - b * rest, poly[k] / b)
+            total += weights[k] * rest
+        gains[:, f] = values * (hit[:, f] - b) * total
+    return gains
+
+
+def shapley_matrix(x: np.ndarray, stacked: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Shapley values (rows x features) of the sum of all leaves.
+
+    What a leaf adds depends only on the pattern of satisfied features of its path. Short paths
+    get a table of all patterns; of long ones the patterns that rows show are worked out, once each.
+    """
     phi = np.zeros_like(x)
     for d, arrays in stacked.items():
         if d == 0:
             continue
-        values, features, low, high, share = arrays
-        weights = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-        step = max(1, BLOCK_CELLS // (len(values) * d))
-        for start in range(0, len(x), step):
-            rows = x[start : start + step]
-            at = rows[:, features]
-            a = ((at > low) & (at <= high)).astype(np.float64)
-            poly = np.zeros((d + 1, len(rows), len(values)))
-            poly[0] = 1.0
-            for f in range(d):
-                poly[1:] = poly[1:] * share[:, f] + poly[:-1] * a[:, :, f]
-                poly[0] *= share[:, f]
-            for f in range(d):
-                b, hit = share[:, f], a[:, :, f] > 0
-                total = np.zeros(hit.shape)
-                rest = np.zeros(hit.shape)
-                for k in range(d - 1, -1, -1):
-                    # hit: divide by (b + t) from the top; miss: divide by b
-                    rest = np.where(hit, poly[k + 1] - b * rest, poly[k] / b)
-                    total += weights[k] * rest
-                gain = values * (a[:, :, f] - b) * total
-                target = phi[start : start + step]
-                for leaf_feature in np.unique(features[:, f]):
-                    target[:, leaf_feature] += gain[:, features[:, f] == leaf_feature].sum(axis=1)
+        table = 1 << d <= min(len(x), TABLE_PATTERNS)
+        each = d * ((1 << d) if table else min(len(x), 256))
+        step = max(1, BLOCK_CELLS // each)
+        for start in range(0, len(arrays[0]), step):
+            values, features, low, high, share = (a[start : start + step] for a in arrays)
+            leaves = len(values)
+            place = np.zeros((d, leaves, x.shape[1]))
+            for k in range(d):
+                place[k, np.arange(leaves), features[:, k]] = 1.0
+            if table:
+                hit = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1 > 0
+                every = pattern_gains(np.repeat(values, 1 << d), np.repeat(share, 1 << d, axis=0), np.tile(hit, (leaves, 1)))
+            chunk = max(1, BLOCK_CELLS // (leaves * d))
+            for at in range(0, len(x), chunk):
+                rows = x[at : at + chunk]
+                code = np.arange(leaves)[None, :] << d
+                for k in range(d):
+                    seen = rows[:, features[:, k]]
+                    code = code | (((seen > low[:, k]) & (seen <= high[:, k])).astype(np.int64) << k)
+                if table:
+                    gains, which = every, code
+                else:
+                    found, which = np.unique(code, return_inverse=True)
+                    leaf, hit = found >> d, (found[:, None] >> np.arange(d)) & 1 > 0
+                    gains, which = pattern_gains(values[leaf], share[leaf], hit), which.reshape(code.shape)
+                for k in range(d):
+                    phi[at : at + chunk] += gains[:, k][which] @ place[k]
     return phi
 
 
@@ -163,9 +204,30 @@ def tree_shapley(sample: DataFrame, model: Model, names: Sequence[str]) -> tuple
     phi sums with the base value to the model's margin (boosted trees) or to the
     probability (forest, single tree).
     """
-    spark = sample.sparkSession
-    stacked = stacked_leaves(leaf_paths(tree_nodes(spark, model)))
-    shared = spark.sparkContext.broadcast(stacked)
+    leaves = stage(leaf_table(tree_nodes(sample.sparkSession, model)), "leaves")
+    totals = leaves.agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("value * aggregate(share, 1D, (a, b) -> a * b)")).alias("base")).first()
+    blocks = max(1, -(-totals["n"] // BLOCK_LEAVES))
+    rows = sample.select(F.col("key").cast("string").alias("key"), vector_to_array("features").alias("x"))
+    # a limited sample is one partition
+    rows = rows.repartition(sample.sparkSession.sparkContext.defaultParallelism, "key")
+    if blocks == 1:
+        return _explained(rows, leaves, names), totals["base"]
+    rows = stage(rows, "explained")
+    parts = []
+    for block in range(blocks):
+        some = leaves.where(F.pmod(F.xxhash64("treeID", "feature", "low", "high"), F.lit(blocks)) == block)
+        parts.append(stage(_explained(rows, some, names), "shapley"))
+    table = parts[0]
+    for more in parts[1:]:
+        table = table.unionByName(more)
+    return table.groupBy("key", "feature").agg(F.first("value").alias("value"), F.sum("phi").alias("phi")), totals["base"]
+
+
+def _explained(rows: DataFrame, leaves: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(key, feature, value, phi) of the leaves of one block (about BLOCK_LEAVES), which is broadcast."""
+    block = leaves.select("value", "feature", "low", "high", "share").toArrow().to_pylist()
+    stacked = stacked_leaves([(r["value"], dict(zip(r["feature"], zip(r["low"], r["high"], r["share"])))) for r in block])
+    shared = rows.sparkSession.sparkContext.broadcast(stacked)
     names = list(names)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,11 +244,7 @@ def tree_shapley(sample: DataFrame, model: Model, names: Sequence[str]) -> tuple
                     }
                 )
 
-    rows = sample.select(F.col("key").cast("string").alias("key"), vector_to_array("features").alias("x"))
-    # a limited sample is one partition
-    rows = rows.repartition(spark.sparkContext.defaultParallelism, "key")
-    table = rows.mapInPandas(explain, "key string, feature string, value double, phi double")
-    return table, base_value(stacked)
+    return rows.mapInPandas(explain, "key string, feature string, value double, phi double")
 
 
 def shapley_summary(table: DataFrame, k: int = 20) -> DataFrame:

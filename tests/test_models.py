@@ -170,6 +170,47 @@ def test_shapley_equals_subset_enumeration():
             assert got[i, f] == pytest.approx(phi, abs=1e-12)
 
 
+def test_deep_forest_is_explained_by_blocks(spark, run, monkeypatch):
+    """Depth 15, long paths, leaves in several blocks: sums still equal the probabilities."""
+    model = RandomForestClassifier(labelCol="y", numTrees=6, maxDepth=15, seed=2).fit(run.train)
+    sample = run.test.limit(60)
+    one, base = X.tree_shapley(sample, model, run.fitted.features)
+    want = {(r.key, r.feature): r.phi for r in one.collect()}
+    monkeypatch.setattr(X, "BLOCK_LEAVES", 150)
+    several, again = X.tree_shapley(sample, model, run.fitted.features)
+    got = {(r.key, r.feature): r.phi for r in several.collect()}
+    assert again == pytest.approx(base) and got == pytest.approx(want, abs=1e-12)
+    sums = {}
+    for (key, _), phi in got.items():
+        sums[key] = sums.get(key, base) + phi
+    for row in model.transform(sample).select("key", vector_to_array("probability")[1].alias("p")).collect():
+        assert sums[row.key] == pytest.approx(row.p, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows, patterns", [(3, 256), (400, 256), (400, 1)])
+def test_shapley_of_long_paths_equals_subset_enumeration(monkeypatch, rows, patterns):
+    """Tables and single patterns give the same; checked by weights of all subsets of a path of 7."""
+    monkeypatch.setattr(X, "TABLE_PATTERNS", patterns)
+    rng = np.random.default_rng(7)
+    d = 7
+    leaves = [(float(rng.normal()), {f: (-0.5, float(rng.uniform(0, 1)), float(rng.uniform(0.2, 0.9))) for f in range(d)}) for _ in range(3)]
+    x = rng.normal(size=(rows, d + 1))
+    got = X.shapley_matrix(x, X.stacked_leaves(leaves))
+    for i in rng.choice(rows, 3, replace=False):
+        for f in range(d):
+            phi = 0.0
+            for value, path in leaves:
+                hit = [float(path[g][0] < x[i, g] <= path[g][1]) for g in range(d)]
+                rest = [g for g in range(d) if g != f]
+                for size in range(d):
+                    weight = factorial(size) * factorial(d - 1 - size) / factorial(d)
+                    for subset in combinations(rest, size):
+                        others = np.prod([hit[g] if g in subset else path[g][2] for g in rest])
+                        phi += weight * value * others * (hit[f] - path[f][2])
+            assert got[i, f] == pytest.approx(phi, abs=1e-12)
+    assert (got[:, d] == 0).all()
+
+
 def test_run_training_writes_model_and_reports(spark, dataset, tmp_path):
     source = tmp_path / "data.csv"
     write_dataset(dataset, str(source), "csv")
