@@ -46,10 +46,9 @@ class CohortConfig:
     # the cohort is broadcast to the events up to this many (id, timestamp) rows,
     # which is at most about 64 MB; beyond it the join shuffles
     broadcast_rows: int = 1_000_000
-    # an entity with more than this share of the sampled events is salted
+    # an entity with more than this share of the joined events, and so many of them, is salted
     heavy_share: float = 0.001
-    heavy_sample: float = 0.01
-    heavy_min_sampled: int = 50
+    heavy_min_rows: int = 100_000
 
     def __post_init__(self):
         if self.created not in ("create_event", "first_event"):

@@ -90,13 +90,11 @@ def cohort(events: DataFrame, cfg: CohortConfig, attributes: Sequence[str] = ())
 def heavy_entities(events: DataFrame, cfg: CohortConfig) -> list:
     """Ids of entities holding a large share of the events: at most 1/share many.
 
-    A sample is enough, as it only decides which keys are salted, never the result.
+    Counted over all events, in each task first, so a number per id and task travels.
     """
-    # read once: everything else comes from the small staged counts
-    counts = stage(events.select("entity_id").sample(cfg.heavy_sample, seed=7).groupBy("entity_id").count(), "sampled")
-    floor = cfg.heavy_share * (counts.agg(F.sum("count")).first()[0] or 0)
-    heavy = counts.filter((F.col("count") >= cfg.heavy_min_sampled) & (F.col("count") > floor))
-    top = heavy.orderBy(F.desc("count"), "entity_id").limit(int(1 / cfg.heavy_share))
+    counts = stage(events.groupBy("entity_id").count(), "entity-counts")
+    floor = max(cfg.heavy_min_rows, cfg.heavy_share * (counts.agg(F.sum("count")).first()[0] or 0))
+    top = counts.filter(F.col("count") > floor).orderBy(F.desc("count"), "entity_id").limit(int(1 / cfg.heavy_share))
     return [r["entity_id"] for r in top.collect()]
 
 

@@ -412,6 +412,13 @@ TEST_ROWS = f"SELECT count(*) FROM ({SPLIT}) WHERE is_test = 1"
 ORACLE: dict[str, str] = {
     "canonical": CANONICAL,
     "canonical_kinds": f"{CANONICAL} WHERE typ IN ('PushEvent', 'WatchEvent', 'IssuesEvent', 'CreateEvent')",
+    "day_shards": f"{CANONICAL} WHERE CAST(t AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'",
+    "csv_round_trip": f"""{DS} SELECT * REPLACE (CASE repo_id % 5 WHEN 0 THEN NULL
+        WHEN 1 THEN description || chr(10) || '"quoted", twice: ""' || repo_id || chr(10) || chr(10) || ' '
+        ELSE description END AS description) FROM ds""",
+    "csv_refused": f"""{DS} SELECT 'stars_30d' AS column_name, 'n' || (repo_id % 3) AS value, count(*) AS n FROM ds
+        WHERE repo_id % 4 = 0 GROUP BY ALL
+        UNION ALL SELECT 'forks_30d', '1.5', count(*) FROM ds WHERE repo_id % 7 = 0 HAVING count(*) > 0""",
     "new_entities": f"""WITH {USERS} SELECT DISTINCT id AS repo_id, name AS repo_name, lang AS primary_language,
         descr AS description, lic AS license, fork AS is_fork, t AS repo_created_at, actor AS creator_id,
         login AS creator_login FROM ev WHERE typ = 'CreateEvent' AND fork IS DISTINCT FROM TRUE""",
@@ -425,6 +432,7 @@ ORACLE: dict[str, str] = {
     "sustained_metrics": user_report(14, 28, SUSTAINED_REPORT),
     "cumulative_totals": cumulative(28),
     "cumulative_totals_shuffled": cumulative(28),
+    "cumulative_totals_salted": cumulative(28),
     "early_metrics_q5": part_metrics(EARLY_COLUMNS),
     "outcome_metrics": part_metrics(OUTCOME_COLUMNS),
     "combined_dataset_parts": dataset_columns(DS),
@@ -527,6 +535,7 @@ ORACLE: dict[str, str] = {
         FROM c""",
     "comparison_recomputed": f"SELECT 6::BIGINT AS models, ({TEST_ROWS}) AS test_rows, 0::BIGINT AS different",
     "score_new_checked": f"{DS} SELECT count(*) AS n, 0::BIGINT AS outside, 0::BIGINT AS mislabelled, 0::BIGINT AS changed FROM ds",
+    "run_checked": f"{DS} SELECT 6 AS models, count(*) AS n, 0::BIGINT AS different FROM ds",
     "shapley_additive": f"SELECT ({TEST_ROWS}) AS n, 0::BIGINT AS off",
     "shapley_rows": f"SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS place, ({TEST_ROWS}) AS n, ({TEST_ROWS}) AS n_keys",
     "confusion": f"{CELLS} SELECT * FROM cm",

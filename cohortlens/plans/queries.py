@@ -22,14 +22,24 @@ from cohortlens.operators import sampling as S
 from cohortlens.operators.smote import smote as oversample
 from cohortlens.plans import archive
 from cohortlens.plans.dataset import combined_dataset
-from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS, profile_schema
-from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_cohort, part_events, user_events
-from cohortlens.plans.training_run import Run, shapley_table, train_and_evaluate
+from cohortlens.sources.dataset import (
+    EARLY_COLUMNS,
+    OUTCOME_COLUMNS,
+    profile_schema,
+    read_dataset_csv,
+    refused_values,
+    write_dataset,
+)
+from cohortlens.sources.events import canonical_events, read_events, write_events
+from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_cohort, part_events, user_archive, user_events
+from cohortlens.plans.training_run import Run, load_run, run_training, shapley_table, train_and_evaluate
 from cohortlens.storage import scratch_dir, stage
 
 # At sf0.01 about half of the languages have fewer entities than this.
 RARE_BELOW = 78
 TARGET = P.TARGET
+# inside the month that the events span
+SHARD_BOUNDS = ("2024-01-08", "2024-01-21")
 USER_PAIRS = USER_CONFIG.but(unique=False, null_size="skip")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +106,18 @@ def canonical_kinds(spark, sf_dir):
     return _canonical(user_events(spark, sf_dir).filter(F.col("event_type").isin(*kinds)))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def day_shards(spark, sf_dir):
+    """Two weeks of an archive with a folder per day, whose bounds prune folders."""
+    path = _scratch(spark, "archive")
+    write_events(user_archive(spark, sf_dir), path)
+    return _canonical(canonical_events(read_events(spark, path, *SHARD_BOUNDS, fmt="parquet")))
+
+
 @query
 def new_entities(spark, sf_dir):
     return C.new_entities(user_events(spark, sf_dir), USER_CONFIG)
@@ -145,6 +167,13 @@ def cumulative_totals_shuffled(spark, sf_dir):
     return M.cohort_totals(user_events(spark, sf_dir), cohort_rows, USER_PAIRS, "shuffle")
 
 
+@query
+def cumulative_totals_salted(spark, sf_dir):
+    """Entities with a thousandth of the events, 40 at least, are spread over all partitions."""
+    cfg = USER_PAIRS.but(heavy_share=0.001, heavy_min_rows=40)
+    return M.cohort_totals(user_events(spark, sf_dir), _user_cohort(spark, sf_dir), cfg, "shuffle")
+
+
 def _part_metrics(spark, sf_dir, bundle):
     cohort_rows = stage(C.cohort(part_events(spark, sf_dir), PART_CONFIG), "cohort")
     metrics = bundle(PART_CONFIG)
@@ -184,6 +213,29 @@ def first_rows(spark, sf_dir):
     return part_dataset(spark, sf_dir, ordered=True).limit(100)
 
 
+@query
+def csv_round_trip(spark, sf_dir):
+    """The dataset after CSV: quoted text over several lines, words that mean missing, whole numbers with a point."""
+    path = _scratch(spark, "csv")
+    description = r"""CASE repo_id % 5 WHEN 0 THEN 'None'
+        WHEN 1 THEN concat(description, '\n"quoted", twice: ""', repo_id, '\n\n ') ELSE description END"""
+    changed = {"description": F.expr(description), "stars_30d": F.col("stars_30d").cast("double")}
+    write_dataset(part_dataset(spark, sf_dir).withColumns(changed), path, "csv")
+    return read_dataset_csv(spark, path)
+
+
+@query
+def csv_refused(spark, sf_dir):
+    """Values that a reader of the dataset would refuse, counted beside the read."""
+    path = _scratch(spark, "csv")
+    planted = {
+        "stars_30d": F.expr("CASE WHEN repo_id % 4 = 0 THEN concat('n', repo_id % 3) ELSE CAST(stars_30d AS STRING) END"),
+        "forks_30d": F.expr("CASE WHEN repo_id % 7 = 0 THEN '1.5' ELSE CAST(forks_30d AS STRING) END"),
+    }
+    write_dataset(part_dataset(spark, sf_dir).withColumns(planted), path, "csv")
+    return refused_values(spark, path)
+
+
 # the published reports with their own dates, windows and floors
 
 
@@ -538,3 +590,20 @@ def shapley_rows(spark, sf_dir):
 @query
 def run_summary(spark, sf_dir):
     return training(spark, sf_dir).summary
+
+
+@query
+def run_checked(spark, sf_dir):
+    """A whole run from file to file: rows of its comparison, rows scored, and differences between what it wrote and what it held."""
+    source, output = _scratch(spark, "input"), _scratch(spark, "run")
+    write_dataset(part_dataset(spark, sf_dir), source)
+    run = run_training(spark, source, output, CONFIG, folds=False)
+    model, reports = load_run(spark, output)
+    held = run.fitted.score(run.dataset).select("repo_id", F.col("probability_of_success").alias("p"))
+    both = model.score(run.dataset).join(held, "repo_id")
+    summary = run.summary.exceptAll(reports["summary"]).count() + run.trained.results.exceptAll(reports["model_comparison"]).count()
+    return both.agg(
+        F.lit(reports["model_comparison"].count()).alias("models"),
+        F.count(F.lit(1)).alias("n"),
+        (F.count_if(F.expr("abs(p - probability_of_success) > 1e-12")) + F.lit(summary)).alias("different"),
+    )

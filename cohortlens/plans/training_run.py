@@ -7,6 +7,7 @@ import uuid
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -125,15 +126,19 @@ def run_training(
     output: str | None = None,
     cfg: TrainConfig = TrainConfig(),
     fmt: str = "auto",
+    folds: bool = True,
 ) -> Run:
     """Train on a dataset file and write model and reports below ``output``.
 
+    The manifest, one row per report with its number of rows, is written last: a run without
+    it did not end (``load_run`` refuses it).
+
     The default output is a fresh folder beside the input, named after it. An output that
     would replace, hold or lie in the input is refused before anything is read.
     """
-    output = output_folder(input_path, output, ("model", "processed", "reports"))
+    output = output_folder(input_path, output, ("model", "processed", "reports", "manifest"))
     dataset = load_dataset(spark, input_path, fmt)
-    run = train_and_evaluate(dataset, cfg)
+    run = train_and_evaluate(dataset, cfg, folds)
     dataset = run.dataset
     D.save_model(run.fitted, f"{output}/model")
     processed = group_rare(clean_metadata(dataset), "primary_language", run.prepared.categories)
@@ -157,4 +162,19 @@ def run_training(
         reports["shapley_summary"] = X.shapley_summary(shapley_table(run, seed=cfg.seed)[0])
     for name, table in reports.items():
         write_dataset(table, f"{output}/reports/{name}")
+    counts = [(name, spark.read.parquet(f"{output}/reports/{name}").count()) for name in reports]
+    write_dataset(spark.createDataFrame(counts, "report STRING, n_rows BIGINT").coalesce(1), f"{output}/manifest")
     return run
+
+
+def load_run(spark: SparkSession, output: str) -> tuple[D.SuccessModel, dict[str, DataFrame]]:
+    """Model and reports of a run that ended; a run without manifest, or with other reports than it names, is refused."""
+    try:
+        manifest = {r["report"]: r["n_rows"] for r in spark.read.parquet(f"{output}/manifest").collect()}
+    except AnalysisException as error:
+        raise ValueError(f"{output} holds no run that ended") from error
+    reports = {name: spark.read.parquet(f"{output}/reports/{name}") for name in manifest}
+    wrong = [name for name, table in reports.items() if table.count() != manifest[name]]
+    if wrong:
+        raise ValueError(f"{output}: reports differ from the manifest: {wrong}")
+    return D.load_model(f"{output}/model"), reports

@@ -97,6 +97,22 @@ DATASET_SCHEMA = T.StructType(
 )
 
 
+def _csv_text(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, header: bool) -> DataFrame:
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    return (
+        spark.read.schema(text)
+        .option("header", header)
+        .option("multiLine", multi_line)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("enforceSchema", False)
+        .csv(path)
+    )
+
+
 def read_dataset_csv(
     spark: SparkSession,
     path: str,
@@ -111,19 +127,7 @@ def read_dataset_csv(
     breaks make a file unsplittable, so large data should come as many files
     (``write_dataset`` bounds them); ``multi_line=False`` splits every file.
     """
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = (
-        spark.read.schema(text)
-        .option("header", header)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    raw = _csv_text(spark, path, schema, multi_line, header)
     columns = []
     for field in schema:
         value = F.when(~F.col(field.name).isin(*na_values), F.col(field.name))
@@ -133,13 +137,43 @@ def read_dataset_csv(
     return raw.select(*columns)
 
 
-def _whole(text: Column, field: T.StructField) -> Column:
-    """A whole number, also written as "12.0" or "1.2e1"; any other text ends the read with its value."""
+def _fits(text: Column, field: T.StructField) -> Column:
+    """Whether a text is a whole number of the field's type, also written as "12.0" or "1.2e1"."""
     number = text.try_cast("decimal(38,10)")
+    fits = (number == F.floor(number)) & number.cast("decimal(28,0)").try_cast(field.dataType.simpleString()).isNotNull()
+    return F.coalesce(fits, F.lit(False))
+
+
+def _whole(text: Column, field: T.StructField) -> Column:
+    """A whole number; any other text ends the read with its value."""
     kind = field.dataType.simpleString()
-    fits = (number == F.floor(number)) & number.cast("decimal(28,0)").try_cast(kind).isNotNull()
     message = F.concat(F.lit(f"column {field.name}: no whole number of type {kind}: "), text)
-    return F.when(text.isNull() | F.coalesce(fits, F.lit(False)), number).otherwise(F.raise_error(message).cast("decimal(38,10)"))
+    number = text.try_cast("decimal(38,10)")
+    return F.when(text.isNull() | _fits(text, field), number).otherwise(F.raise_error(message).cast("decimal(38,10)"))
+
+
+def refused_values(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = DATASET_SCHEMA,
+    na_values: Sequence[str] = NA_VALUES,
+    multi_line: bool = True,
+    header: bool = True,
+) -> DataFrame:
+    """(column_name, value, n): texts that ``read_dataset_csv`` would refuse, and how often they occur.
+
+    One scan; only refused values leave their task, combined there first.
+    """
+    raw = _csv_text(spark, path, schema, multi_line, header)
+    bad = []
+    for field in schema:
+        text = F.when(~F.col(field.name).isin(*na_values), F.col(field.name))
+        if isinstance(field.dataType, T.StringType):
+            continue
+        fits = _fits(text, field) if isinstance(field.dataType, T.IntegralType) else text.try_cast(field.dataType).isNotNull()
+        bad.append(F.when(text.isNotNull() & ~fits, F.struct(F.lit(field.name).alias("column_name"), text.alias("value"))))
+    found = raw.select(F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("bad"))
+    return found.groupBy("bad.column_name", "bad.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def write_dataset(

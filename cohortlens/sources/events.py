@@ -43,6 +43,17 @@ def read_events(
     return between_dates(events, start, end)
 
 
+def write_events(events: DataFrame, path: str, files: int = 8, max_records_per_file: int = 1_000_000) -> None:
+    """Raw archive events as Parquet, one ``event_date=YYYY-MM-DD`` folder per day.
+
+    Each day is dealt over up to ``files`` tasks, so that a busy day is not one task.
+    """
+    dated = events.withColumn("event_date", F.to_date("created_at"))
+    part = F.pmod(F.xxhash64("repo.id", "actor.id", "created_at"), F.lit(files))
+    writer = dated.repartition("event_date", part).write.partitionBy("event_date")
+    writer.option("maxRecordsPerFile", max_records_per_file).parquet(path)
+
+
 def between_dates(
     events: DataFrame,
     start: str | None,

@@ -233,7 +233,7 @@ def test_one_scan_serves_both_branches(spark):
 
 @pytest.mark.parametrize("strategy", ["shuffle", "broadcast"])
 def test_join_strategies_agree(spark, strategy):
-    cfg = CFG.but(heavy_sample=0.5, heavy_share=0.05, heavy_min_sampled=10)
+    cfg = CFG.but(heavy_share=0.05, heavy_min_rows=10)
     events = busy_events(spark)
     assert C.heavy_entities(events, cfg) == [1]
     want = combined_dataset(events, cfg, strategy="auto").collect()

@@ -13,6 +13,7 @@ from cohortlens.operators import explain as X
 from cohortlens.operators import models as D
 from cohortlens.plans.queries import part_dataset
 from cohortlens.plans.training_run import (
+    load_run,
     feature_comparison,
     run_training,
     shapley_table,
@@ -221,3 +222,18 @@ def test_run_training_writes_model_and_reports(spark, dataset, tmp_path):
     assert {"summary", "model_comparison", "threshold_table", "shapley_summary", "feature_comparison"} <= reports
     assert D.load_model(str(tmp_path / "out" / "model")).name == "Random Forest"
     assert spark.read.parquet(str(tmp_path / "out" / "processed")).count() == 1763
+    model, tables = load_run(spark, str(tmp_path / "out"))
+    assert model.name == "Random Forest" and tables["summary"].first().n_rows == 1763 and set(tables) == reports
+    # a run that ended early has no manifest
+    (tmp_path / "out" / "manifest").rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="ended"):
+        load_run(spark, str(tmp_path / "out"))
+
+
+def test_folds_are_fitted_only_when_asked_for(dataset):
+    run = train_and_evaluate(dataset, CFG.but(models=("Decision Tree",)), folds=False)
+    row = run.trained.results.first()
+    assert row.cv_roc_auc_mean is None and 0.5 < row.test_roc_auc < 1
+    folds = D.fit_folds(run.train, CFG.but(models=("Decision Tree",)))
+    run.trained.folds = folds
+    assert run.trained.results.first().cv_roc_auc_mean == folds["Decision Tree"][0]

@@ -7,7 +7,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 # these train all models at full size; test_models trains smaller ones
-TRAINED = {"comparison_recomputed", "score_new_checked", "shapley_additive", "shapley_rows"}
+TRAINED = {"comparison_recomputed", "run_checked", "score_new_checked", "shapley_additive", "shapley_rows"}
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +28,19 @@ def test_entry(spark):
 def test_query_equals_sql(spark, db, name):
     rows, problem = difference(queries()[name](spark, SF_DIR), oracle_sql()[name], db)
     assert problem is None
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_day_shards_prune_folders(spark):
+    plan = _plan(queries()["day_shards"](spark, SF_DIR))
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line).split("PartitionFilters")[1]
+    assert "event_date" in filters.split("PushedFilters")[0] and ">=" in filters and "<=" in filters
+
+
+def test_salted_join_has_the_salt_in_its_keys(spark):
+    salted, plain = (_plan(queries()[name](spark, "/root/testdata/sf0.01")) for name in ("cumulative_totals_salted", "cumulative_totals_shuffled"))
+    joins = [line for line in salted.splitlines() if "SortMergeJoin" in line]
+    assert any("salt" in line for line in joins) and "salt#" not in plain

@@ -13,6 +13,7 @@ from cohortlens.sources import (
     read_events,
     write_dataset,
 )
+from cohortlens.sources.dataset import refused_values
 
 
 def test_read_events_prunes_day_folders(spark, tmp_path):
@@ -85,3 +86,16 @@ def test_whole_numbers_with_a_fraction_part(spark, tmp_path):
         (tmp_path / "bad.csv").write_text(text + ",".join((row | {"stars_30d": bad}).values()) + "\n")
         with pytest.raises(Exception, match="column stars_30d: no whole number of type bigint: " + bad):
             read_dataset_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_refused_values_are_counted(spark, tmp_path):
+    text = 'a,b,t\n1,x,2024-01-01 00:00:00\n2.0,NA,\nNA,"q\n""r""",soon\n1.5,,soon\nabc,y,2024-02-30\nabc,z,NULL\n'
+    (tmp_path / "in.csv").write_text(text)
+    schema = spark.createDataFrame([], "a BIGINT, b STRING, t TIMESTAMP").schema
+    got = refused_values(spark, str(tmp_path / "in.csv"), schema)
+    assert {(r.column_name, r.value): r.n for r in got.collect()} == {
+        ("a", "1.5"): 1,
+        ("a", "abc"): 2,
+        ("t", "soon"): 2,
+        ("t", "2024-02-30"): 1,
+    }
