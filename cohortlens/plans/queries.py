@@ -517,14 +517,16 @@ def comparison_recomputed(spark, sf_dir):
             F.count_if(F.expr("y = 1 AND predicted = 0")).alias("fn"),
             F.count(F.lit(1)).alias("n"),
         )
-        rows.append(counts.select(F.lit(name).alias("model"), "*"))
+        # a way of its own: the comparison asks Spark's evaluator
+        auc = V.roc_auc(scored.select("y", "score")).first()[0]
+        rows.append(counts.select(F.lit(name).alias("model"), F.lit(auc).alias("auc"), "*"))
     found = rows[0]
     for more in rows[1:]:
         found = found.unionByName(more)
     both = found.join(run.trained.results, "model").withColumns(
         {"precision": F.expr("tp / nullif(tp + fp, 0)"), "recall": F.expr("tp / nullif(tp + fn, 0)")}
     )
-    off = "abs(coalesce(precision, 0) - test_precision) > 1e-9 OR abs(coalesce(recall, 0) - test_recall) > 1e-9"
+    off = "abs(coalesce(precision, 0) - test_precision) > 1e-9 OR abs(coalesce(recall, 0) - test_recall) > 1e-9 OR abs(auc - test_roc_auc) > 1e-9"
     return both.agg(F.count(F.lit(1)).alias("models"), F.min("n").alias("test_rows"), F.count_if(F.expr(off)).alias("different"))
 
 
