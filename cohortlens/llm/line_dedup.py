@@ -2,8 +2,9 @@
 
 A line is removed when an earlier line of the corpus (smaller doc_id, or the
 same document further up) is within ``max_edits`` edits of it; the input
-decides, not what is left of it. Lines under ``min_chars`` characters are kept
-and never compared. With at most t edits, one of t + 1 even segments of the
+decides, not what is left of it. Lines under ``min_chars`` characters, for which
+so many edits would mean little, are removed when an earlier line equals them;
+blank lines are kept. With at most t edits, one of t + 1 even segments of the
 shorter line occurs unchanged in the longer one, at a place that the edits to
 its left and right bound. So every distinct line indexes its t + 1 segments
 under (length, segment number, text) and looks up the few substrings that can
@@ -12,10 +13,12 @@ banded bit-parallel edit distance: the cells of the band that e edits reach
 are the bits of one word per e, and one character moves all of them at once.
 
 DataFrame functions only. Equal lines are combined before anything is joined,
-so a line that a third of the documents share is one row. A segment that many
-different lines share (a template) is not expanded into all pairs at once:
-first every line of it is verified against the earliest one, which settles the
-copies of a template; only lines that this leaves undecided meet the others.
+so a line that a third of the documents share is one row, and keys are combined
+before they are shuffled. A key of two lines is a pair at once. A key that more
+lines share (a template) is not expanded into all pairs: first every line of it
+is verified against the earliest one, which settles the copies of a template;
+only lines that this leaves undecided meet the others, and only where the counts
+of their letters are near enough. Texts are fetched once, for lines that share a key.
 
 Defined results: NULL texts stay NULL, empty ones empty. A NULL doc_id counts
 as the smallest. Rows with the same doc_id are one place: a line position that
@@ -25,6 +28,8 @@ carried along by ``remove_lines``.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,39 +37,47 @@ from cohortlens.llm.common import fresh, staged
 
 MAX_EDITS = 2
 MIN_CHARS = 20
+#: Characters that are blank, and classes of characters whose counts bound the edit distance from below.
+BLANK = " \t\n\x0b\x0c\r"
+CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "hl", "dcu", "mfp", "gwyb", " ", "02468", "13579")
 _FIRST_ID = -(1 << 63)
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment of an even partition; the last ones are the longer ones."""
-    longer = length % parts
-    base = ((length - longer) / parts).cast("int")
-    late = F.greatest(F.lit(0), F.lit(number) - (F.lit(parts) - longer))
-    size = base + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
-    return (base * number + late + 1).cast("int"), size.cast("int")
+class Probe(NamedTuple):
+    """A substring that a line looks up: segment ``number`` of lines ``less`` characters shorter, moved by ``shift``."""
+
+    less: int
+    number: int
+    shift: int
 
 
-def _key(length: Column, number: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(number), text)
+def probes(t: int) -> list[Probe]:
+    """All that can match with t edits; those with neither less nor shift are the line's own segments."""
+    return [
+        Probe(less, n, shift)
+        for less in range(t + 1)
+        for n in range(t + 1)
+        for shift in range(max(-n, less - (t - n)), min(n, less + (t - n)) + 1)
+    ]
 
 
-def keys(line: Column, length: Column, t: int) -> Column:
-    """(key, i) of the substrings at which segments of lines of this length or up to t less can start.
+def keyed(lines: DataFrame, t: int) -> DataFrame:
+    """(id, key, own) of (id, line, length): one row per probe; ``own`` marks the segments that a line indexes.
 
-    The unshifted ones of the line's own length are its segments: i is 1 there. The key of
-    one that does not fit is NULL.
+    The probes are a constant array, so one small expression makes all keys.
+    Keys of lengths that no line has meet nothing.
     """
-    out = []
-    for less in range(t + 1):
-        other = length - less
-        for n in range(t + 1):
-            start, size = _segment(other, n, t + 1)
-            for shift in range(max(-n, less - (t - n)), min(n, less + (t - n)) + 1):
-                at = (start + shift).cast("int")
-                fits = (at >= 1) & (at + size - 1 <= length) & (other > t)
-                own = F.lit(1 if less == 0 and shift == 0 else 0)
-                out.append(F.struct(F.when(fits, _key(other, n, F.substring(line, at, size))).alias("key"), own.alias("i")))
-    return F.array(*out)
+    probe = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in p._asdict().items())) for p in probes(t)))
+    rows = lines.select("id", "line", "length", F.inline(probe))
+    other = F.col("length") - F.col("less")
+    parts = t + 1
+    base, longer = F.expr(f"int((length - less) div {parts})"), other % parts
+    # an even partition; the last segments are the longer ones
+    late = F.greatest(F.lit(0), F.col("number") - (F.lit(parts) - longer))
+    size = base + (F.col("number") >= F.lit(parts) - longer).cast("int")
+    at = base * F.col("number") + late + 1 + F.col("shift")
+    key = F.xxhash64(other, "number", F.substring("line", at, size))
+    return rows.where(other > t).select("id", key.alias("key"), F.expr("less = 0 AND shift = 0").alias("own"))
 
 
 def within(a: Column, b: Column, t: int) -> Column:
@@ -105,73 +118,127 @@ def within(a: Column, b: Column, t: int) -> Column:
     return F.when(F.abs(n - m) <= t, end.bitwiseAND(last) != 0).otherwise(F.lit(False))
 
 
-def _places(documents: DataFrame, min_chars: int) -> DataFrame:
-    """Each line that takes part, with its place: doc_id and position as one number that orders them."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID).cast("long"))
-    lines = documents.select(doc.alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
-    return lines.where(F.char_length("line") >= min_chars).select("line", place.cast("decimal(31,0)").alias("place"))
+class Places(NamedTuple):
+    """How (doc_id, position) is one number that orders lines: slot of the document times ``width`` plus position."""
+
+    first: int
+    width: int
+    wide: bool
+
+    @classmethod
+    def of(cls, documents: DataFrame) -> Places:
+        """Numbers of 64 bits where the ids and lengths of ``documents`` allow it, else decimals."""
+        doc = F.col("doc_id").cast("long")
+        longest = F.max(F.octet_length(F.col("text").cast("string")))
+        low, high, size = documents.select(doc.alias("doc_id"), "text").agg(F.min("doc_id"), F.max("doc_id"), longest).first()
+        low, high, width = low or 0, high or 0, (size or 0) + 1
+        if (high - low + 2) * width < 1 << 63:
+            return cls(low, width, False)
+        return cls(_FIRST_ID, 1 << 31, True)
+
+    def slot(self) -> Column:
+        """Of a document; that of a NULL doc_id comes first."""
+        doc = F.col("doc_id").cast("long")
+        if self.wide:
+            return F.coalesce(doc, F.lit(_FIRST_ID).cast("long"))
+        return F.coalesce(doc - F.lit(self.first).cast("long") + 1, F.lit(0).cast("long"))
+
+    def number(self, slot: str, pos: str) -> Column:
+        if self.wide:
+            return (F.col(slot).cast("decimal(20,0)") * F.lit(self.width).cast("decimal(10,0)") + F.col(pos)).cast("decimal(31,0)")
+        return F.col(slot) * F.lit(self.width).cast("long") + F.col(pos)
+
+    def split(self, number: str) -> tuple[Column, Column]:
+        """Slot and position of a number."""
+        width = F.lit(self.width).cast("decimal(10,0)" if self.wide else "long")
+        pos = F.pmod(number, width)
+        if self.wide:
+            return ((F.col(number) - pos) / width).cast("decimal(20,0)").cast("long"), pos.cast("int")
+        return F.expr(f"{number} div {self.width}L"), pos.cast("int")
+
+
+def blank(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANK)) == ""
+
+
+def distinct_lines(documents: DataFrame, places: Places) -> DataFrame:
+    """Each different line that is not blank once, with the number of its first place."""
+    slot = places.slot().alias("slot")
+    lines = documents.select(slot, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
+    lines = lines.where(~blank(F.col("line"))).select("line", places.number("slot", "pos").alias("place"))
+    first = lines.groupBy("line").agg(F.min("place").alias("id"))
+    return staged(first.select("line", F.char_length("line").alias("length"), "id"), "lines")
+
+
+def _with_counts(lines: DataFrame) -> DataFrame:
+    n = F.col("length")
+    counts = (n - F.char_length(F.translate("line", c, "")) for c in CLASSES)
+    return lines.select("id", "line", F.struct(*(c.alias(f"c{i}") for i, c in enumerate(counts))).alias("counts"))
 
 
-def distinct_lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """Each different line once, with its first place and an id that orders lines as their places do."""
-    first = _places(documents, min_chars).groupBy("line").agg(F.min("place").alias("place"))
-    ordered = first.repartitionByRange("place").sortWithinPartitions("place")
-    length = F.char_length("line").alias("length")
-    return staged(ordered.select("line", length, "place", F.monotonically_increasing_id().alias("id")), "lines")
+def _near_counts(a: str, b: str, t: int) -> Column:
+    """False only for lines that more than t edits part: one edit moves two counts by one each at most."""
+    apart = F.lit(0)
+    for i in range(len(CLASSES)):
+        apart = apart + F.abs(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}"))
+    return apart <= 2 * t
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     """Ids of the late lines of (late, early) candidates that are within ``t`` edits of the early one."""
-    pairs = staged(pairs, "line-pairs")
-    ids = pairs.select(F.col("late").alias("id")).unionByName(pairs.select(F.col("early").alias("id"))).distinct()
-    texts = staged(lines.select("id", "line").join(ids, "id", "left_semi"), "line-texts")
-    late = texts.select(F.col("id").alias("late"), F.col("line").alias("a"))
-    early = texts.select(F.col("id").alias("early"), F.col("line").alias("b"))
-    met = pairs.join(late, "late").join(early, "early")
+    late = texts.select(F.col("id").alias("late"), F.col("line").alias("a"), F.col("counts").alias("a_counts"))
+    early = texts.select(F.col("id").alias("early"), F.col("line").alias("b"), F.col("counts").alias("b_counts"))
+    met = pairs.join(late, "late").join(early, "early").where(_near_counts("a_counts", "b_counts", t))
     return met.where(within(F.col("a"), F.col("b"), t)).select(F.col("late").alias("id")).distinct()
 
 
 def repeated_lines(lines: DataFrame, t: int) -> DataFrame:
     """Ids of the distinct lines that have an earlier line within ``t`` edits."""
-    rows = lines.select("id", F.inline(keys(F.col("line"), F.col("length"), t))).where("key IS NOT NULL")
+    rows = keyed(lines, t)
     # a key matters if two lines have it and one of them indexes it
     shared = rows.groupBy("key").agg(
-        F.min("id").alias("pivot"), F.max("id").alias("high"), F.min(F.when(F.col("i") == 1, F.col("id"))).alias("indexed")
+        F.count(F.lit(1)).alias("n"),
+        F.min("id").alias("pivot"),
+        F.max("id").alias("high"),
+        F.min(F.when(F.col("own"), F.col("id"))).alias("indexed"),
     )
-    shared = shared.where("pivot < high AND indexed IS NOT NULL")
-    shared = shared.select("key", "pivot", (F.col("indexed") == F.col("pivot")).alias("pivot_indexed"))
-    members = staged(rows.join(shared, "key"), "line-keys")
-    star = members.where("id > pivot AND (i = 1 OR pivot_indexed)")
-    settled = staged(_verified(star.select(F.col("id").alias("late"), F.col("pivot").alias("early")).distinct(), lines, t), "line-settled")
+    shared = staged(shared.where("pivot < high AND indexed IS NOT NULL"), "line-keys")
+    twos = shared.where("n = 2").select(F.col("high").alias("late"), F.col("pivot").alias("early"))
+    crowded = shared.where("n > 2").select("key", "pivot", F.expr("indexed = pivot").alias("pivot_indexed"))
+    members = staged(rows.join(staged(crowded, "line-crowded"), "key").where("id > pivot"), "line-members")
+    star = members.where("own OR pivot_indexed").select(F.col("id").alias("late"), F.col("pivot").alias("early"))
+    first = staged(twos.unionByName(star).distinct(), "line-pairs")
+    ids = members.select("id").unionByName(first.select(F.explode(F.array("late", "early")).alias("id")))
+    texts = staged(_with_counts(lines.join(staged(ids.distinct(), "line-ids"), "id", "left_semi")), "line-texts")
+    settled = staged(_verified(first, texts, t), "line-settled")
     # what this leaves undecided meets the other earlier lines of its keys
-    late = members.where("id > pivot").join(settled, "id", "left_anti")
-    late = late.select("key", F.col("id").alias("late"), F.col("i").alias("late_i"))
-    early = members.where("id > pivot").select("key", F.col("id").alias("early"), F.col("i").alias("early_i"))
-    rest = late.join(early, "key").where("early < late AND late_i + early_i > 0").select("late", "early").distinct()
-    return settled.unionByName(_verified(rest, lines, t))
+    counted = members.select("key", "id", "own").join(texts.select("id", "counts"), "id")
+    late = counted.join(settled, "id", "left_anti")
+    late = late.select("key", F.col("id").alias("late"), F.col("own").alias("late_own"), F.col("counts").alias("a_counts"))
+    early = counted.select("key", F.col("id").alias("early"), F.col("own").alias("early_own"), F.col("counts").alias("b_counts"))
+    rest = late.join(early, "key").where("early < late AND (late_own OR early_own)").where(_near_counts("a_counts", "b_counts", t))
+    rest = staged(rest.select("late", "early").distinct(), "line-rest")
+    return settled.unionByName(_verified(rest, texts, t)).distinct()
 
 
-def kept_positions(documents: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """For each document the sorted positions of the lines that take part and stay: (doc, kept)."""
+def kept_positions(documents: DataFrame, places: Places, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """For each document the sorted positions of the lines that are not blank and stay: (slot, kept)."""
     if max_edits >= min_chars:
         raise ValueError("lines must be longer than the edits that are allowed")
-    lines = distinct_lines(documents, min_chars)
-    stay = lines.select("id", "place")
+    lines = distinct_lines(documents, places)
+    stay = lines.select("id")
     if max_edits:
-        stay = stay.join(repeated_lines(lines, max_edits), "id", "left_anti")
-    scale = F.lit(1 << 31).cast("decimal(10,0)")
-    pos = F.pmod("place", scale)
-    stay = stay.select(((F.col("place") - pos) / scale).cast("decimal(20,0)").cast("long").alias("doc"), pos.cast("int").alias("pos"))
-    return stay.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+        stay = stay.join(staged(repeated_lines(lines.where(F.col("length") >= min_chars), max_edits), "line-repeats"), "id", "left_anti")
+    slot, pos = places.split("id")
+    return stay.select(slot.alias("slot"), pos.alias("pos")).groupBy("slot").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
 def _with_lines(documents: DataFrame, max_edits: int, min_chars: int, names: list[str]) -> DataFrame:
     """``documents`` with the array of its lines and the array of those that stay."""
     key, lines, stay, kept = names
-    decided = kept_positions(documents, max_edits, min_chars).select(F.col("doc").alias(key), F.col("kept").alias(kept))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID).cast("long"))
-    both = documents.join(decided, doc == F.col(key), "left").withColumn(lines, F.split(F.col("text").cast("string"), "\n"))
+    places = Places.of(documents)
+    decided = kept_positions(documents, places, max_edits, min_chars).select(F.col("slot").alias(key), F.col("kept").alias(kept))
+    both = documents.join(decided, places.slot() == F.col(key), "left").withColumn(lines, F.split(F.col("text").cast("string"), "\n"))
     # one flag per line, from the gaps between kept positions, so that the look-up below is by index
     gaps = F.transform(
         F.col(kept),
@@ -185,7 +252,7 @@ def _with_lines(documents: DataFrame, max_edits: int, min_chars: int, names: lis
         """``pair`` holds lines and flags, made once for all lines."""
         return F.filter(
             pair["lines"],
-            lambda line, i: (F.char_length(line) < min_chars) | (F.coalesce(F.get(pair["flags"], i + 1), F.lit("0")) == "1"),
+            lambda line, i: (F.coalesce(F.get(pair["flags"], i + 1), F.lit("0")) == "1") | blank(line),
         )
 
     pair = F.struct(F.col(lines).alias("lines"), flags.alias("flags"))

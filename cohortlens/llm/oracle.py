@@ -41,9 +41,10 @@ WITH line AS (
   SELECT doc_id, i - 1 AS pos, l[i] AS line
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-), part AS (SELECT * FROM line WHERE length(line) >= 20),
+), part AS (SELECT * FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS r FROM part),
-uniq AS (SELECT line, min(r) AS r, length(line) AS n FROM ranked GROUP BY line),
+firsts AS (SELECT line, min(r) AS r, length(line) AS n FROM ranked GROUP BY line),
+uniq AS (SELECT * FROM firsts WHERE n >= 20),
 third AS (
   SELECT r, n, line, k, n // 3 AS base, n % 3 AS longer FROM uniq, (SELECT unnest(range(3)) AS k)
 ), seg AS (
@@ -59,9 +60,9 @@ look AS (
   SELECT DISTINCT i.r AS a, l.r AS b, i.line AS x, l.line AS y
   FROM look l JOIN idx i ON l.n = i.n AND l.k = i.k AND l.s = i.s AND l.r <> i.r
 ), gone AS (SELECT DISTINCT greatest(a, b) AS r FROM near WHERE levenshtein(x, y) <= 2),
-stay AS (SELECT r FROM uniq WHERE r NOT IN (SELECT r FROM gone)),
+stay AS (SELECT r FROM firsts WHERE r NOT IN (SELECT r FROM gone)),
 kept AS (
-  SELECT l.doc_id, l.pos, l.line, (length(l.line) < 20 OR s.r IS NOT NULL) AS keep
+  SELECT l.doc_id, l.pos, l.line, (k.r IS NULL OR s.r IS NOT NULL) AS keep
   FROM line l LEFT JOIN ranked k ON k.doc_id = l.doc_id AND k.pos = l.pos LEFT JOIN stay s ON s.r = k.r
 ), out AS (
   SELECT doc_id, count(*) AS n, sum(CASE WHEN keep THEN 0 ELSE 1 END) AS gone,

@@ -41,10 +41,15 @@ def brute(rows, t=2, shortest=20):
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         kept = []
         for line in (text or "").split("\n"):
-            if len(line) < shortest:
+            if not line.strip(" \t\n\x0b\x0c\r"):
                 kept.append(line)
                 continue
-            if not any(abs(len(line) - len(x)) <= t and distance(line, x) <= t for x in seen):
+            if len(line) < shortest:
+                if line not in seen:
+                    kept.append(line)
+                seen.append(line)
+                continue
+            if not any(len(x) >= shortest and abs(len(line) - len(x)) <= t and distance(line, x) <= t for x in seen):
                 kept.append(line)
             seen.append(line)
         out[doc] = kept
@@ -55,7 +60,7 @@ def cases(rng):
     base = [text_of(rng, rng.randint(3, 12)) for _ in range(25)]
     pool = [edited(rng, rng.choice(base), rng.randint(0, 4)) for _ in range(60)] + base
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(40)]
-    rows += [(50, ""), (51, None), (52, "\n\n"), (53, "short\nshort"), (54, base[0]), (55, base[0] + "\n" + base[0])]
+    rows += [(50, ""), (51, None), (52, "\n\n"), (53, "short\nshort"), (56, "short\n \t\nshort one"), (57, "shorts\n\nshort one\n \t"), (54, base[0]), (55, base[0] + "\n" + base[0])]
     rows += [(60, "z" * 20_000), (61, "z" * 19_998), (62, "z" * 19_990), (None, base[1] + "q")]
     return rows
 
@@ -79,10 +84,15 @@ def test_segments_leave_no_pair_out(spark, seed, t):
         b = edited(rng, a, rng.randint(0, t))
         if len(b) > t and len(b) > 0:
             rows.append((a, b))
-    df = spark.createDataFrame(rows, "a string, b string")
-    key = lambda c: line_dedup.keys(F.col(c), F.char_length(c), t)
-    met = F.arrays_overlap(F.filter(key("a"), lambda x: x.i == 1).key, key("b").key) | F.arrays_overlap(key("a").key, F.filter(key("b"), lambda x: x.i == 1).key)
-    assert all(r.met for r in df.where(line_dedup.within(F.col("a"), F.col("b"), t)).select(met.alias("met")).collect())
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a string, b string")
+    a, b = (line_dedup.keyed(df.select("id", F.col(c).alias("line"), F.char_length(c).alias("length")), t) for c in "ab")
+    met = a.alias("a").join(b.alias("b"), ["id", "key"]).where("a.own OR b.own").select("id").distinct()
+    # segments of the shorter line must not be empty
+    near = df.where(line_dedup.within(F.col("a"), F.col("b"), t) & (F.least(F.char_length("a"), F.char_length("b")) > t))
+    assert near.join(met, "id", "left_anti").count() == 0
+    counts = [line_dedup._with_counts(df.select("id", F.col(c).alias("line"), F.char_length(c).alias("length"))) for c in "ab"]
+    both = counts[0].select("id", F.col("counts").alias("x")).join(counts[1].select("id", F.col("counts").alias("y")), "id")
+    assert near.join(both.where(line_dedup._near_counts("x", "y", t)), "id", "left_anti").count() == 0
 
 
 def test_matches_brute_force(make, rng):
