@@ -37,8 +37,11 @@ from cohortlens.llm.common import fresh, staged
 
 MAX_EDITS = 2
 MIN_CHARS = 20
-#: Characters that are blank, and classes of characters whose counts bound the edit distance from below.
+#: Characters that are blank.
 BLANK = " \t\n\x0b\x0c\r"
+#: Bits of the map of ids (16 MB, whatever the input), and of one of its rows.
+MAP_BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Classes of characters whose counts bound the edit distance from below.
 CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "hl", "dcu", "mfp", "gwyb", " ", "02468", "13579")
 _FIRST_ID = -(1 << 63)
 
@@ -170,6 +173,23 @@ def distinct_lines(documents: DataFrame, places: Places) -> DataFrame:
     return staged(first.select("line", F.char_length("line").alias("length"), "id"), "lines")
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is in ``ids``.
+
+    A broadcast map of hashed ids, of the same size for every input, holds most
+    other rows back from the shuffle of the exact join that follows.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    places = ids.select(place.alias("place")).distinct()
+    bits = places.groupBy(F.expr(f"place div {ROW_BITS}").alias("row")).agg(
+        F.bitmap_construct_agg(F.col("place") % ROW_BITS).alias("bits")
+    )
+    byte = F.conv(F.hex(F.substring("bits", F.expr(f"int(place % {ROW_BITS} div 8 + 1)"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("place", place).withColumn("row", F.expr(f"place div {ROW_BITS}")).join(F.broadcast(bits), "row")
+    found = found.where(byte.bitwiseAND(F.expr("shiftleft(1, int(place % 8))")) != 0)
+    return found.select(*rows.columns).join(ids, "id", "left_semi")
+
+
 def _with_counts(lines: DataFrame) -> DataFrame:
     n = F.col("length")
     counts = (n - F.char_length(F.translate("line", c, "")) for c in CLASSES)
@@ -209,7 +229,7 @@ def repeated_lines(lines: DataFrame, t: int) -> DataFrame:
     star = members.where("own OR pivot_indexed").select(F.col("id").alias("late"), F.col("pivot").alias("early"))
     first = staged(twos.unionByName(star).distinct(), "line-pairs")
     ids = members.select("id").unionByName(first.select(F.explode(F.array("late", "early")).alias("id")))
-    texts = staged(_with_counts(lines.join(staged(ids.distinct(), "line-ids"), "id", "left_semi")), "line-texts")
+    texts = staged(_with_counts(among(lines, staged(ids.distinct(), "line-ids"))), "line-texts")
     settled = staged(_verified(first, texts, t), "line-settled")
     # what this leaves undecided meets the other earlier lines of its keys
     counted = members.select("key", "id", "own").join(texts.select("id", "counts"), "id")

@@ -138,3 +138,23 @@ def test_repeated_rows_and_empty(make):
         line_dedup.report(make([]), max_edits=20)
     exact = by_id(line_dedup.report(make([(1, line), (2, line + "s"), (3, line)]), max_edits=0))
     assert [exact[i]["n_removed"] for i in (1, 2, 3)] == [0, 0, 1]
+
+
+def test_rows_among_ids(spark, monkeypatch):
+    for bits in (1 << 27, 1 << 15):
+        monkeypatch.setattr(line_dedup, "MAP_BITS", bits)
+        for kind in ("bigint", "decimal(31,0)"):
+            rows = spark.range(-20_000, 20_000).select(F.col("id").cast(kind).alias("id"), F.lit("x").alias("line"))
+            ids = rows.where("id % 7 = 0").select("id")
+            got = line_dedup.among(rows, ids)
+            assert got.columns == rows.columns
+            assert got.count() == ids.count() and got.where("id % 7 <> 0").count() == 0
+            assert line_dedup.among(rows, ids.limit(0)).count() == 0
+
+
+def test_ids_too_far_apart_for_64_bits(make, rng):
+    rows = [(None if d is None else d * (1 << 56) - (1 << 62), t) for d, t in cases(rng)]
+    assert line_dedup.Places.of(make(rows)).wide and not line_dedup.Places.of(make(rows[:1])).wide
+    want = brute(rows)
+    got = by_id(line_dedup.report(make(rows)))
+    assert all(got[d]["kept_sha256"] == hashlib.sha256("\n".join(want[d]).encode()).hexdigest() for d, _ in rows)
