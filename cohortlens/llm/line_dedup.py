@@ -39,8 +39,8 @@ MAX_EDITS = 2
 MIN_CHARS = 20
 #: Characters that are blank.
 BLANK = " \t\n\x0b\x0c\r"
-#: Bits of the map of ids (16 MB, whatever the input), and of one of its rows.
-MAP_BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Bits of the map of ids (4 MB, whatever the input), and of one of its rows.
+MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
 #: Classes of characters whose counts bound the edit distance from below.
 CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "hl", "dcu", "mfp", "gwyb", " ", "02468", "13579")
 _FIRST_ID = -(1 << 63)
@@ -174,7 +174,7 @@ def distinct_lines(documents: DataFrame, places: Places) -> DataFrame:
 
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ``rows`` whose id is in ``ids``.
+    """The ``rows`` whose id is in ``ids``, which holds each id once.
 
     A broadcast map of hashed ids, of the same size for every input, holds most
     other rows back from the shuffle of the exact join that follows.
@@ -187,7 +187,8 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("bits", F.expr(f"int(place % {ROW_BITS} div 8 + 1)"), F.lit(1))), 16, 10).cast("int")
     found = rows.withColumn("place", place).withColumn("row", F.expr(f"place div {ROW_BITS}")).join(F.broadcast(bits), "row")
     found = found.where(byte.bitwiseAND(F.expr("shiftleft(1, int(place % 8))")) != 0)
-    return found.select(*rows.columns).join(ids, "id", "left_semi")
+    # a semi join would be moved below the map; ids are distinct, so an inner one gives the same rows
+    return found.select(*rows.columns).join(ids, "id")
 
 
 def _with_counts(lines: DataFrame) -> DataFrame:
