@@ -1,10 +1,14 @@
 """Exact k nearest neighbours inside a set of points.
 
-The points are dealt by hash into blocks of about ``BLOCK_POINTS``. Each block of
-searching points meets each block of points in a task of its own, and only the k
-best of each searching point leave it, as ids; a grouped aggregate keeps the k best
-of all blocks. No point passes through the driver, and a task holds two blocks. The
-number of comparisons grows with the square of the points, as exact search must here.
+The points are cut into cells along their two leading directions, and cells into
+blocks of about ``BLOCK_POINTS``. A point first searches its own block, which bounds
+its k-th distance. It then visits the blocks of those cells only that lie within this
+bound: the distance to a cell, seen along the two directions, is never more than the
+distance to a point in it. A visited pair of blocks is a task of its own, and only the
+k best of each searching point leave it, as ids; a grouped aggregate keeps the k best
+of all. No point passes through the driver, a task holds two blocks, and the bounds of
+the cells, at most ``CUTS`` squared rows, are the only table that is broadcast. Points
+without structure along any direction still meet all others, as exact search must then.
 """
 
 from __future__ import annotations
@@ -15,13 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from cohortlens.storage import stage
+
 # the functions below travel with the task, so executors need not have the package
 register_pickle_by_value(sys.modules[__name__])
 
 # points of a block, if hashes deal evenly
 BLOCK_POINTS = 10_000
+# parts that a direction is cut into at most
+CUTS = 64
 # searching points and distances held at once
 CHUNK_ROWS = 256
 BLOCK_CELLS = 4_000_000
@@ -63,41 +73,127 @@ def best_of(x: np.ndarray, at: np.ndarray, points: np.ndarray, k: int) -> list[t
     return found
 
 
+def _cut(points: DataFrame, by: str, order: str, parts: int, name: str) -> DataFrame:
+    """Add ``name``: which of about equal ``parts`` along ``order`` a point of its ``by`` group lies in."""
+    shares = ", ".join(str(i / parts) for i in range(1, parts)) or "0.5"
+    cuts = points.groupBy(by).agg(F.expr(f"percentile_approx({order}, array({shares}), 2000)").alias("cuts"))
+    # at most CUTS groups of as many cuts
+    return points.join(F.broadcast(cuts), by).withColumn(name, F.expr(f"size(filter(cuts, c -> c < {order}))")).drop("cuts")
+
+
+def _blocks(points: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Staged points (pid, x, a, b, norm, cell, sub), and the bounds of the cells with their number of blocks.
+
+    ``a`` and ``b`` are places along the leading directions. A cell with more
+    points than a block holds is dealt by hash into blocks ``sub``.
+    """
+    zero = F.lit(0.0)
+    norm = F.sqrt(F.aggregate("x", zero, lambda total, v: total + v * v)).alias("norm")
+    if blocks == 1:
+        placed = points.select("pid", "x", zero.alias("a"), zero.alias("b"), norm, F.lit(0).alias("cell"))
+    else:
+        vectors = points.select("pid", "x", norm, array_to_vector(F.concat("x", F.array(zero))).alias("v"))
+        # a coordinate of zeros lets points of a single one have two directions as well
+        turned = PCA(k=2, inputCol="v", outputCol="at").fit(vectors).transform(vectors)
+        at = turned.select("pid", "x", "norm", vector_to_array("at").alias("at"), F.lit(0).alias("whole"))
+        placed = at.select("pid", "x", F.get("at", F.lit(0)).alias("a"), F.get("at", F.lit(1)).alias("b"), "norm", "whole")
+        parts = min(CUTS, int(np.ceil(np.sqrt(blocks))))
+        placed = _cut(placed, "whole", "a", parts, "slab").drop("whole")
+        placed = _cut(placed, "slab", "b", parts, "part").withColumn("cell", F.expr(f"CAST(slab * {CUTS} + part AS INT)"))
+        placed = stage(placed.select("pid", "x", "a", "b", "norm", "cell"), "cells")
+    ends = [F.min(c).alias(f"{c}_lo") for c in "ab"] + [F.max(c).alias(f"{c}_hi") for c in "ab"]
+    bounds = placed.groupBy("cell").agg(
+        F.expr(f"CAST(ceil(count(*) / {BLOCK_POINTS}) AS INT)").alias("subs"), F.max("norm").alias("reach_of_norm"), *ends
+    )
+    sub = F.expr("CAST(pmod(xxhash64(pid), subs) AS INT)").alias("sub")
+    # one row per cell
+    dealt = placed.join(F.broadcast(bounds.select("cell", "subs")), "cell")
+    return stage(dealt.select("pid", "x", "a", "b", "norm", "cell", sub), "blocks"), bounds
+
+
+def _search(left: pd.DataFrame, right: pd.DataFrame, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of ``left``, names, distances) of the k nearest rows of ``right``, which is sorted by pid."""
+    names = right["pid"].to_numpy(dtype=object)
+    if not len(left) or not len(right):
+        return
+    x, against = _matrix(left["x"]), _matrix(right["x"])
+    place = {p: i for i, p in enumerate(names)}
+    at = np.array([place.get(p, -1) for p in left["pid"]])
+    step = max(1, min(CHUNK_ROWS, BLOCK_CELLS // len(names)))
+    for start in range(0, len(at), step):
+        some = slice(start, start + step)
+        for i, (near, distance) in enumerate(best_of(x[some], at[some], against, k)):
+            yield start + i, names[near], distance
+
+
+def _near_blocks(own: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Each searching point once for every other block within its ``reach`` (NULL: any).
+
+    Projections are off by rounding, in proportion to the points' norms, so cells are taken a little wider.
+    """
+    gap = "greatest({0}_lo - {0}, {0} - {0}_hi, 0D)"
+    square = " + ".join(f"power({gap.format(c)}, 2)" for c in "ab")
+    slack = f"{SLACK}D * (norm + reach_of_norm)"
+    cells = bounds.withColumnRenamed("cell", "to_cell")
+    # at most CUTS squared rows are broadcast
+    met = own.join(F.broadcast(cells), F.expr(f"reach IS NULL OR sqrt({square}) <= reach + 2 * {slack}"))
+    visits = met.select(
+        "pid", "x", "cell", "sub", "to_cell", F.explode(F.expr("sequence(0, subs - 1)")).alias("to_sub")
+    )
+    return visits.where("cell <> to_cell OR sub <> to_sub")
+
+
 def nearest(points: DataFrame, k: int, searchers: str = "true") -> DataFrame:
     """(pid, other, distance, place) of the k nearest other points; ties by ``other``.
 
     ``points`` is a staged table (pid, x array<double>) with distinct pids; ``searchers``
-    is a SQL test that chooses the points to search for.
+    is a SQL test on its columns that chooses the points to search for.
     """
     blocks = max(1, -(-points.count() // BLOCK_POINTS))
+    dealt, bounds = _blocks(points, blocks)
+    chosen = points.where(F.expr(searchers)).select("pid", F.lit(True).alias("searches"))
+    marked = dealt.join(chosen, "pid", "left") if searchers != "true" else dealt.withColumn("searches", F.lit(True))
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pid", kind="stable")
+        left = rows[rows["searches"].eq(True)].drop(columns="searches").reset_index(drop=True)
+        others, distances = [[] for _ in range(len(left))], [[] for _ in range(len(left))]
+        for i, names, distance in _search(left, rows, k):
+            others[i], distances[i] = list(names), list(distance)
+        reach = [d[-1] if len(d) == k else None for d in distances]
+        return left.assign(reach=pd.Series(reach, dtype="object"), others=others, distances=distances)
+
+    columns = "pid string, x array<double>, a double, b double, norm double, cell int, sub int"
+    found = "reach double, others array<string>, distances array<double>"
+    marked = marked.select("pid", "x", "a", "b", "norm", "cell", "sub", "searches")
+    own = marked.groupBy("cell", "sub").applyInPandas(inside, f"{columns}, {found}")
+    if blocks > 1:
+        own = stage(own, "own-blocks")
+    pair = F.explode(F.arrays_zip("others", "distances")).alias("pair")
+    met = own.select("pid", pair).select("pid", F.col("pair.others").alias("other"), F.col("pair.distances").alias("distance"))
+    if blocks > 1:
+        met = met.unionByName(_among_blocks(dealt, _near_blocks(own, bounds), k))
+    # at most k rows of each block
+    best = met.groupBy("pid").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("best"))
+    placed = best.select("pid", F.posexplode("best").alias("before", "b"))
+    return placed.select("pid", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"), (F.col("before") + 1).alias("place"))
+
+
+def _among_blocks(dealt: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """(pid, other, distance): the k nearest of each visited block; a block travels once to each block that visits it."""
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("pid", kind="stable")
-        names = right["pid"].to_numpy(dtype=object)
+        pids = left["pid"].to_numpy(dtype=object)
         found: dict[str, list] = {"pid": [], "other": [], "distance": []}
-        if len(left) and len(right):
-            x, against = _matrix(left["x"]), _matrix(right["x"])
-            place = {p: i for i, p in enumerate(names)}
-            pids = left["pid"].to_numpy(dtype=object)
-            at = np.array([place.get(p, -1) for p in pids])
-            step = max(1, min(CHUNK_ROWS, BLOCK_CELLS // len(names)))
-            for start in range(0, len(at), step):
-                some = slice(start, start + step)
-                for pid, (near, distance) in zip(pids[some], best_of(x[some], at[some], against, k)):
-                    found["pid"] += [pid] * len(near)
-                    found["other"] += list(names[near])
-                    found["distance"] += list(distance)
+        for i, names, distance in _search(left, right, k):
+            found["pid"] += [pids[i]] * len(names)
+            found["other"] += list(names)
+            found["distance"] += list(distance)
         return pd.DataFrame(found).astype({"distance": "float64"})
 
-    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
-        """Each row once for every block of the other side."""
-        block = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int").alias(own)
-        return rows.select("pid", "x", block, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other))
-
-    left = spread(points.where(F.expr(searchers)), "of", "against").groupBy("of", "against")
-    right = spread(points, "against", "of").groupBy("of", "against")
-    met = left.cogroup(right).applyInPandas(search, "pid string, other string, distance double")
-    # at most k rows of each block
-    best = met.groupBy("pid").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, k).alias("best"))
-    placed = best.select("pid", F.posexplode("best").alias("before", "b"))
-    return placed.select("pid", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"), (F.col("before") + 1).alias("place"))
+    keys = ["cell", "sub", "to_cell", "to_sub"]
+    right = dealt.select("pid", "x", F.col("cell").alias("to_cell"), F.col("sub").alias("to_sub"))
+    right = right.join(stage(visits.select(*keys).distinct(), "visits"), ["to_cell", "to_sub"])
+    left, right = visits.select("pid", "x", *keys), right.select("pid", "x", *keys)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "pid string, other string, distance double")

@@ -52,6 +52,38 @@ def test_neighbours_over_blocks_without_gathering_points(spark, monkeypatch):
     assert sorted(r.place for r in got) == sorted([1, 2, 3, 4] * 100)
 
 
+@pytest.mark.parametrize("shape", ["clusters", "plane", "same place", "copies of a coordinate"])
+def test_neighbours_over_cells_equal_brute_force(spark, monkeypatch, shape):
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 12)
+    rng = np.random.default_rng(11)
+    x = {
+        "clusters": lambda: np.repeat(rng.normal(0, 50, (6, 5)), 30, axis=0) + rng.normal(size=(180, 5)),
+        "plane": lambda: rng.normal(size=(180, 2)) * [9, 4] + 1e6,
+        # all cells are one along both directions: dealt by hash
+        "same place": lambda: np.concatenate([np.zeros((180, 2)), 1e-7 * rng.normal(size=(180, 2))], axis=1) + 3,
+        "copies of a coordinate": lambda: np.round(rng.normal(size=(180, 1)), 2) * [1.0, 1.0, 0.0],
+    }[shape]()
+    points = stage(spark.createDataFrame([(f"{i:04d}", r.tolist()) for i, r in enumerate(x)], "pid string, x array<double>"))
+    got = neighbours.nearest(points, 4).collect()
+    assert {(int(r.pid), int(r.other)) for r in got} == brute_force(x, 4) and len(got) == 720
+
+
+def test_blocks_that_are_too_far_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 20)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(0, 90, (10, 6)), 20, axis=0) + rng.normal(size=(200, 6))
+    points = stage(spark.createDataFrame([(f"{i:04d}", r.tolist()) for i, r in enumerate(x)], "pid string, x array<double>"))
+    seen = []
+    kept = neighbours._among_blocks
+    monkeypatch.setattr(neighbours, "_among_blocks", lambda dealt, visits, k: seen.append((dealt, visits)) or kept(dealt, visits, k))
+    got = {(int(r.pid), int(r.other)) for r in neighbours.nearest(points, 3).collect()}
+    assert got == brute_force(x, 3)
+    dealt, visits = seen[0]
+    blocks = dealt.select("cell", "sub").distinct().count()
+    pairs = visits.select("cell", "sub", "to_cell", "to_sub").distinct().count()
+    assert blocks >= 10 and pairs < blocks * (blocks - 1) / 3
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     rng = np.random.default_rng(2)
