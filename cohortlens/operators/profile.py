@@ -11,14 +11,17 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortlens.functions import map_values, percent
-from cohortlens.operators.ranks import long_counts, value_quantiles
+from cohortlens.operators.ranks import value_quantiles
 from cohortlens.sources.dataset import EARLY_COLUMNS, LABEL_COLUMNS, OUTCOME_COLUMNS
+from cohortlens.storage import stage
 
 # the functions below travel with the task, so executors need not have the package
 register_pickle_by_value(sys.modules[__name__])
 
 TARGET = "is_successful_project"
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
 # Columns left out of the correlation with the target.
 CORRELATION_EXCLUDES = (
     "repo_id",
@@ -168,9 +171,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stacked = df.agg(*moments).select(
         F.expr(f"stack({len(columns)}, {rows}) AS (feature, n, mean, std, min, max)")
     )
-    quartiles = value_quantiles(
-        long_counts(df, columns), "value", "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["feature"]
-    )
+    quartiles = value_quantiles(df, columns, QUARTILES)
     # both sides have one row per column
     joined = stacked.join(F.broadcast(quartiles), "feature", "left")
     return joined.select(
@@ -251,58 +252,84 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram per column (and ``by`` group) between its own min and max.
 
-    Bins are left-closed, the last one is closed; empty bins are left out. A
-    constant column gets the range value +- 0.5.
+    Bins are left-closed, the last one is closed; empty bins, NULLs, values that are not
+    finite and rows with a NULL group are left out. A constant column gets the range value +- 0.5.
+    One pass finds the ranges; in a second one each task counts into arrays of
+    bins, one per column and group, and only filled bins are shuffled. The groups are few.
     """
-    keys = [*by, "feature"]
-    values = [F.col(c).cast("double").alias(c) for c in columns]
-    long = df.select(*by, *values).unpivot(list(by), list(columns), "feature", "value")
-    long = long.filter("value IS NOT NULL")
+    by, columns = list(by), list(columns)
+    # NaN is greater than infinity
+    value = "CASE WHEN abs(CAST(`{0}` AS DOUBLE)) < CAST('Infinity' AS DOUBLE) THEN CAST(`{0}` AS DOUBLE) END"
     if zero_as is not None:
-        long = long.withColumn("value", F.expr(f"CASE WHEN value = 0 THEN {zero_as}D ELSE value END"))
-    ranges = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    flat = F.expr("lo = hi")
-    ranges = ranges.select(
-        *keys,
-        F.when(flat, F.expr("lo - 0.5D")).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.expr("hi + 0.5D")).otherwise(F.col("hi")).alias("hi"),
-    ).withColumn("width", F.expr(f"(hi - lo) / {bins}"))
+        value = f"CASE WHEN `{{0}}` = 0 THEN {zero_as}D ELSE {value} END"
+    rows = df.select(*by, *[F.expr(value.format(c)).alias(f"v{i}") for i, c in enumerate(columns)]).dropna(subset=by)
+    ends = [F.expr(f"{f}(v{i})").alias(f"{f}{i}") for i in range(len(columns)) for f in ("min", "max")]
+    # one row per group
+    ranges = {tuple(r[c] for c in by): r for r in (rows.groupBy(*by) if by else rows).agg(*ends).collect()}
+    keys = ", ".join(f"`{c}` {dict(df.dtypes)[c]}, " for c in by)
+
+    def bounds(group: tuple, i: int) -> tuple[float, float]:
+        lo, hi = ranges[group][f"min{i}"], ranges[group][f"max{i}"]
+        return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for group, part in batch.groupby(by, sort=False) if by else [((), batch)]:
+                for i in range(len(columns)):
+                    values = part[f"v{i}"].to_numpy(dtype=np.float64)
+                    values = values[~np.isnan(values)]
+                    if len(values):
+                        at = found.setdefault((group, i), np.zeros(bins, dtype=np.int64))
+                        at += np.bincount(bin_of(values, *bounds(group, i), bins), minlength=bins)
+        cells = [(*group, columns[i], b, n) for (group, i), at in found.items() for b, n in enumerate(at) if n]
+        yield pd.DataFrame(cells, columns=[*by, "feature", "bin", "n"])
+
+    counted = rows.mapInPandas(count, f"{keys}feature string, bin int, n bigint")
+    summed = counted.groupBy(*by, "feature", "bin").agg(F.sum("n").alias("n"))
+    edges = [(*group, c, *bounds(group, i)) for group in ranges for i, c in enumerate(columns) if ranges[group][f"min{i}"] is not None]
+    edges = df.sparkSession.createDataFrame(edges, f"{keys}feature string, lo double, hi double")
     # one row per column and group
-    placed = long.join(F.broadcast(ranges), keys)
-    guess = F.expr(f"CAST(least(floor((value - lo) / (hi - lo) * {bins}), {bins - 1}) AS INT)")
-    # division may land on the wrong side of an edge by rounding; edges decide
-    exact = F.expr(
-        f"guess + CASE WHEN value < lo + guess * width THEN -1 "
-        f"WHEN guess < {bins - 1} AND value >= lo + (guess + 1) * width THEN 1 ELSE 0 END"
-    )
-    binned = placed.withColumn("guess", guess).withColumn("bin", exact)
-    return (
-        binned.groupBy(*keys, "bin", "lo", "width")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *keys,
-            "bin",
-            F.expr("lo + bin * width").alias("bin_from"),
-            F.expr("lo + (bin + 1) * width").alias("bin_to"),
-            "n",
-        )
-    )
+    placed = summed.join(F.broadcast(edges), [*by, "feature"]).withColumn("width", F.expr(f"(hi - lo) / {bins}"))
+    ends = [F.expr("lo + bin * width").alias("bin_from"), F.expr("lo + (bin + 1) * width").alias("bin_to")]
+    return placed.select(*by, "feature", "bin", *ends, "n")
+
+
+def bin_of(values: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    """Bin of each value; division may land on the wrong side of an edge by rounding, so edges decide."""
+    width = (hi - lo) / bins
+    guess = np.minimum(np.floor((values - lo) / (hi - lo) * bins), bins - 1).astype(np.int64)
+    below = values < lo + guess * width
+    above = (guess < bins - 1) & (values >= lo + (guess + 1) * width)
+    return guess - below + (above & ~below)
 
 
 def box_stats(df: DataFrame, columns: Sequence[str] = BOX_COLUMNS, y: str = TARGET) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (extreme values inside the fences) and outliers per class."""
-    keys = ["class", "feature"]
-    counts = long_counts(df.withColumn("class", map_values(F.col(y), CLASS_NAMES)), columns, ["class"])
-    quartiles = value_quantiles(counts, "value", "n", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, keys)
-    # one row per class and column
-    fenced = counts.join(F.broadcast(quartiles), keys)
-    inside = "value BETWEEN q25 - 1.5D * (q75 - q25) AND q75 + 1.5D * (q75 - q25)"
-    return fenced.groupBy(*keys, "q25", "q50", "q75").agg(
-        F.expr(f"min(CASE WHEN {inside} THEN value END)").alias("whisker_low"),
-        F.expr(f"max(CASE WHEN {inside} THEN value END)").alias("whisker_high"),
-        F.expr(f"CAST(sum(CASE WHEN {inside} THEN 0 ELSE n END) AS BIGINT)").alias("outliers"),
-        F.sum("n").alias("n"),
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    rows = stage(df.select(map_values(F.col(y), CLASS_NAMES).alias("class"), *values), "boxes")
+    quartiles = value_quantiles(rows, columns, QUARTILES, ["class"])
+    by_class = quartiles.groupBy("class").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*QUARTILES)))).alias("q")
+    )
+    # one row per class
+    fenced = rows.join(F.broadcast(by_class), "class")
+    found = []
+    for c in columns:
+        low, high = f"q['{c}'].q25", f"q['{c}'].q75"
+        inside = f"`{c}` BETWEEN {low} - 1.5D * ({high} - {low}) AND {high} + 1.5D * ({high} - {low})"
+        found += [
+            F.expr(f"min(CASE WHEN {inside} THEN `{c}` END)").alias(f"{c}__low"),
+            F.expr(f"max(CASE WHEN {inside} THEN `{c}` END)").alias(f"{c}__high"),
+            F.expr(f"count_if(`{c}` IS NOT NULL AND NOT ({inside}))").alias(f"{c}__outliers"),
+            F.count(c).alias(f"{c}__n"),
+        ]
+    rows_of = ", ".join(f"'{c}', `{c}__low`, `{c}__high`, `{c}__outliers`, `{c}__n`" for c in columns)
+    stacked = fenced.groupBy("class").agg(*found).select(
+        "class", F.expr(f"stack({len(columns)}, {rows_of}) AS (feature, whisker_low, whisker_high, outliers, n)")
     )
+    joined = stacked.join(F.broadcast(quartiles), ["class", "feature"])
+    return joined.select("class", "feature", *QUARTILES, "whisker_low", "whisker_high", "outliers", "n")
 
 
 def category_counts(df: DataFrame, col: str, rare_below: int) -> DataFrame:

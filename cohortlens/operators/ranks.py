@@ -6,12 +6,22 @@ size) give each bucket its offset, and the window runs inside a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.storage import stage
 
+# the functions below travel with the task, so executors need not have the package
+register_pickle_by_value(sys.modules[__name__])
+
+# accuracy of the sketches that bracket a quantile: off by a thousandth of the rows at most
+SKETCH = 1000
+
 
 def bucket_count(df: DataFrame) -> int:
     """As many buckets as shuffle partitions, within what a broadcast table of offsets may hold."""
@@ -68,26 +78,66 @@ def running_totals(
 
 
 def value_quantiles(
-    counts: DataFrame, value: str, weight: str, shares: dict[str, float], parts: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], shares: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per part from a staged table of value counts."""
-    running = running_totals(counts, value, [weight], parts)
-    steps = []
-    for name, share in shares.items():
-        # 0-based position of the quantile among the sorted rows
-        position = f"(({weight}_all - 1) * {share}D)"
-        covers = f"{weight}_to - {weight} <= {{0}} AND {{0}} < {weight}_to"
-        low, high = f"floor({position})", f"ceil({position})"
-        steps += [
-            F.expr(f"max(CASE WHEN {covers.format(low)} THEN {value} END)").alias(f"{name}_lo"),
-            F.expr(f"max(CASE WHEN {covers.format(high)} THEN {value} END)").alias(f"{name}_hi"),
-            F.expr(f"max({position} - {low})").alias(f"{name}_at"),
-        ]
-    found = running.groupBy(*parts).agg(*steps)
-    return found.select(
-        *parts,
-        *[F.expr(f"{n}_lo + ({n}_hi - {n}_lo) * {n}_at").alias(n) for n in shares],
-    )
+    """(by, feature, one column per share): exact linearly interpolated quantiles of ``columns``, in two passes.
+
+    The first pass brackets every quantile by approximate ones (one aggregate, a
+    row per group). In the second each task counts the values below a bracket and
+    sends only the distinct values inside it. NULL and NaN are left out, and so are
+    rows with a NULL group; the groups are few. Give a staged table, as it is read twice.
+    """
+    by, columns, names = list(by), list(columns), list(shares)
+    value = "nullif(CAST(`{0}` AS DOUBLE), CAST('NaN' AS DOUBLE))"
+    rows = df.select(*by, *[F.expr(value.format(c)).alias(f"v{i}") for i, c in enumerate(columns)]).dropna(subset=by)
+    slack = 2 / SKETCH
+    asked = ", ".join(f"{max(0.0, s - slack)!r}D, {min(1.0, s + slack)!r}D" for s in shares.values())
+    sketches = []
+    for i in range(len(columns)):
+        sketches += [F.expr(f"{f}(v{i})").alias(f"{f}{i}") for f in ("count", "min", "max")]
+        sketches.append(F.expr(f"percentile_approx(v{i}, array({asked}), {SKETCH})").alias(f"cuts{i}"))
+    brackets: dict[tuple, list[tuple[float, float]]] = {}
+    # one row per group
+    for r in (rows.groupBy(*by) if by else rows).agg(*sketches).collect():
+        for i in range(len(columns)):
+            n, low, high, cuts = (r[f"{f}{i}"] for f in ("count", "min", "max", "cuts"))
+            if n:
+                # few rows are all inside: there a sketch may be off by a place
+                pairs = list(zip(cuts[::2], cuts[1::2])) if n > 10 * SKETCH else [(low, high)] * len(names)
+                brackets[tuple(r[c] for c in by), i] = pairs
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for group, part in batch.groupby(by, sort=False) if by else [((), batch)]:
+                for i in range(len(columns)):
+                    values = part[f"v{i}"].to_numpy(dtype=np.float64)
+                    values, n = np.unique(values[~np.isnan(values)], return_counts=True)
+                    for name, (lo, hi) in zip(names, brackets.get((group, i), ())):
+                        start, stop = np.searchsorted(values, lo, "left"), np.searchsorted(values, hi, "right")
+                        head = (*group, columns[i], name)
+                        # the value of what lies below is NULL
+                        found.append((*head, None, n[:start].sum(), n.sum()))
+                        found += [(*head, v, m, 0) for v, m in zip(values[start:stop], n[start:stop])]
+            yield pd.DataFrame(found, columns=[*by, "feature", "share", "value", "n", "n_all"])
+
+    kinds = dict(df.dtypes)
+    keys = [*by, "feature", "share"]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "feature string, share string, value double, n bigint, n_all bigint"])
+    sent = rows.mapInPandas(inside, schema).groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+    sent = stage(sent, "brackets")
+    # one row per quantile
+    below = sent.where("value IS NULL").select(*keys, F.col("n").alias("below"), F.col("n_all").alias("whole"))
+    running = running_totals(sent.where("value IS NOT NULL").select(*keys, "value", "n"), "value", ["n"], keys)
+    shares_of = F.create_map(*[F.lit(x) for item in shares.items() for x in item])
+    at = running.join(F.broadcast(below), keys).withColumn("at", F.expr("whole - 1") * shares_of[F.col("share")])
+    covers = "below + n_to - n <= {0}(at) AND {0}(at) < below + n_to"
+    ends = [F.expr(f"max(CASE WHEN {covers.format(f)} THEN value END)").alias(f) for f in ("floor", "ceil")]
+    found = at.groupBy(*keys).agg(*ends, F.expr("max(at - floor(at))").alias("part"))
+    # never reached while a sketch keeps its bound
+    lost = "CAST(raise_error('a quantile lies outside its bracket') AS DOUBLE)"
+    exact = F.expr(f"coalesce(floor + (ceil - floor) * part, {lost})").alias("exact")
+    return found.select(*keys, exact).groupBy(*by, "feature").pivot("share", names).agg(F.first("exact"))
 
 
 def hash_rank(df: DataFrame, key: str, part: str, seed: int, digits: int = 3) -> DataFrame:
@@ -115,14 +165,3 @@ def hash_rank(df: DataFrame, key: str, part: str, seed: int, digits: int = 3) ->
     return ranked.withColumn("shuffle_rank", F.row_number().over(inside) + F.col("before")).drop(
         "shuffle_hash", "bucket", "offset_part", "offset_bucket", "before"
     )
-
-
-def long_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Staged (by, feature, value, n) table of the non-null values of ``columns``."""
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(by), list(columns), "feature", "value"
-    )
-    return stage(
-        long.filter("value IS NOT NULL").groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n")),
-        "values",
-    )

@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
-from cohortlens.operators import profile as P
+from cohortlens.operators import profile as P, ranks
 from cohortlens.operators.ranks import running_totals
 from cohortlens.storage import stage
 
@@ -47,6 +47,53 @@ def test_describe_equals_pandas(df, table):
         assert np.allclose(got[ours].loc[want.index].astype(float), want[theirs])
 
 
+@pytest.mark.parametrize("rows", [1, 2, 7, 30_000])
+def test_quantiles_equal_numpy_and_only_bracketed_values_travel(spark, monkeypatch, rows):
+    rng = np.random.default_rng(rows)
+    data = pd.DataFrame(
+        {
+            "g": rng.choice(["p", "q"], rows, p=[0.9, 0.1]),
+            "a": rng.normal(size=rows),
+            # a third of the rows have one value, on the bracket of a quantile
+            "b": np.where(rng.random(rows) < 0.34, 0.0, rng.gamma(1, 9, rows)),
+            "c": np.where(rng.random(rows) < 0.5, np.nan, np.arange(rows)),
+        }
+    )
+    source = stage(spark.createDataFrame(data).withColumn("c", F.expr("nullif(c, double('NaN'))")).withColumn("none", F.lit(None).cast("double")))
+    sent = []
+    kept = ranks.stage
+    monkeypatch.setattr(ranks, "stage", lambda df, name="stage": sent.append(kept(df, name)) or sent[-1])
+    shares = {"low": 0.01, "q25": 0.25, "mid": 0.5, "top": 1.0}
+    for by in ([], ["g"]):
+        got = ranks.value_quantiles(source, ["a", "b", "c", "none"], shares, by).toPandas()
+        groups = [((), data)] if not by else list(data.groupby(by))
+        want = {(*g, c): part[c].dropna().quantile(list(shares.values())) for g, part in groups for c in "abc"}
+        want = {k: v.to_numpy() for k, v in want.items() if not np.isnan(v).any()}
+        ours = {tuple(r[: len(by) + 1]): np.array(r[len(by) + 1 :], dtype=float) for r in got.itertuples(index=False)}
+        assert ours.keys() == want.keys() and all(np.allclose(ours[k], want[k], rtol=1e-12) for k in want)
+    if rows > 10_000:
+        assert sent[0].count() < 0.02 * 3 * rows
+
+
+def test_quantiles_and_histogram_of_nothing(spark):
+    none = stage(spark.createDataFrame([], "g string, a double"))
+    assert ranks.value_quantiles(none, ["a"], {"q": 0.5}).isEmpty() and ranks.value_quantiles(none, ["a"], {"q": 0.5}, ["g"]).isEmpty()
+    assert P.histogram(none, ["a"]).isEmpty() and P.histogram(none, ["a"], by=["g"]).isEmpty()
+    assert P.describe_numeric(none, ["a"]).first().q50 is None
+
+
+def test_histogram_skips_what_has_no_bin(spark):
+    rows = [("p", 1.0), ("p", 3.0), ("p", float("nan")), ("p", float("inf")), ("q", 5.0), ("q", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, a double")
+    got = {(r.g, r.bin): (r.bin_from, r.bin_to, r.n) for r in P.histogram(df, ["a"], 4, by=["g"]).collect()}
+    assert got == {("p", 0): (1.0, 1.5, 1), ("p", 3): (2.5, 3.0, 1), ("q", 2): (5.0, 5.25, 1)}
+
+
+def test_histograms_read_the_rows_twice_without_unpivot(df):
+    plan = P.histogram(df, ["a", "b"], by=["lang"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Generate" not in plan and plan.count("parquet") == 1
+
+
 def test_histogram_equals_numpy(df, table):
     got = P.histogram(df, ["a", "b", "c"], 50, 0.1).toPandas()
     for column in ("a", "b", "c"):
