@@ -28,11 +28,14 @@ raw AS (
 ), ev AS (
   SELECT user_id AS id,
          'user-' || user_id || CASE WHEN k < 50 THEN '' ELSE '-renamed' END AS name,
-         CASE event_type WHEN 'signup' THEN 'CreateEvent' WHEN 'click' THEN 'PushEvent'
-              WHEN 'view' THEN 'WatchEvent' WHEN 'purchase' THEN 'PullRequestEvent'
-              WHEN 'error' THEN 'IssuesEvent' END AS typ,
+         CASE event_type WHEN 'signup' THEN 'CreateEvent'
+              WHEN 'click' THEN CASE WHEN k % 7 = 3 THEN 'ReleaseEvent' ELSE 'PushEvent' END
+              WHEN 'view' THEN CASE WHEN k % 6 = 1 THEN 'ForkEvent' ELSE 'WatchEvent' END
+              WHEN 'purchase' THEN CASE k % 5 WHEN 0 THEN 'PullRequestReviewEvent'
+                   WHEN 1 THEN 'PullRequestReviewCommentEvent' ELSE 'PullRequestEvent' END
+              WHEN 'error' THEN CASE WHEN k % 3 = 0 THEN 'IssueCommentEvent' ELSE 'IssuesEvent' END END AS typ,
          k AS actor, 'actor-' || k AS login, ts AS t,
-         CASE WHEN k % 2 = 0 THEN 'opened' ELSE 'closed' END AS act, k AS sz,
+         CASE WHEN k % 2 = 0 THEN 'opened' ELSE 'closed' END AS act, CASE WHEN k % 9 > 0 THEN k END AS sz,
          CASE WHEN k % 7 > 0 THEN 'lang-' || (k % 5) END AS lang,
          CASE WHEN k % 3 > 0 THEN '[say] "' || (k % 6) || '"' END AS descr,
          CASE WHEN k % 4 > 0 THEN 'lic-' || (k % 4) END AS lic,
@@ -40,11 +43,16 @@ raw AS (
   FROM raw
 )"""
 
+# the month of the events drawn out to half a year
+HALF_YEAR = USERS.replace(
+    "SELECT user_id, ts,", "SELECT user_id, make_timestamp(6 * epoch_us(ts) - 5 * epoch_us(TIMESTAMP '2024-01-01')) AS ts,"
+)
+
 PARTS = """
 ev AS (
   SELECT l_partkey AS id, 'part-' || l_partkey AS name,
          CASE l_linenumber WHEN 1 THEN 'PushEvent' WHEN 2 THEN 'WatchEvent' WHEN 3 THEN 'IssuesEvent'
-              WHEN 4 THEN 'PullRequestEvent' WHEN 5 THEN 'IssueCommentEvent' WHEN 6 THEN 'ForkEvent'
+              WHEN 4 THEN CASE WHEN l_quantity % 5 = 0 THEN 'PullRequestReviewEvent' ELSE 'PullRequestEvent' END WHEN 5 THEN 'IssueCommentEvent' WHEN 6 THEN 'ForkEvent'
               WHEN 7 THEN 'ReleaseEvent' END AS typ,
          o_custkey AS actor, l_shipdate AS t,
          CASE l_returnflag WHEN 'A' THEN 'opened' WHEN 'R' THEN 'closed' WHEN 'N' THEN 'other' END AS act,
@@ -84,7 +92,7 @@ def actors(test: str, name: str) -> str:
     return f"count(DISTINCT CASE WHEN {test} THEN actor END) AS {name}"
 
 
-def dataset(events: str, cohort: str, w: dict) -> str:
+def dataset(events: str, cohort: str, w: dict, when: str = "TRUE") -> str:
     """CTEs up to ``ds``, the 40-column dataset."""
     early = f"d <= {w['early']}"
     late = f"d >= {w['late']}"
@@ -129,7 +137,7 @@ def dataset(events: str, cohort: str, w: dict) -> str:
     zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in EARLY_COLUMNS + OUTCOME_COLUMNS)
     return f"""{events}, {cohort}, att AS (
   SELECT e.id, e.typ, e.act, e.actor, e.sz, date_sub('day', c.t0, e.t) AS d
-  FROM ev e JOIN coh c ON e.id = c.id WHERE date_sub('day', c.t0, e.t) BETWEEN 0 AND {w['horizon']}
+  FROM ev e JOIN coh c ON e.id = c.id WHERE date_sub('day', c.t0, e.t) BETWEEN 0 AND {w['horizon']} AND {when}
 ), em AS (
   SELECT id, {early_metrics} FROM att GROUP BY id
 ), om AS (
@@ -179,6 +187,10 @@ GROUPED = DS + f""", gl AS (
 )"""
 CLASS = f"CASE {TARGET} WHEN 0 THEN 'Not Successful' WHEN 1 THEN 'Successful' END"
 
+HALF_YEAR_EVENTS = "CAST(e.t AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-09-30'"
+QUARTER_COHORT = USER_COHORT_FIRST.replace(
+    "typ = 'CreateEvent'", "typ = 'CreateEvent' AND CAST(t AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-03-31'"
+)
 USER_PAIR_COHORT = """
 coh AS (SELECT id, name, min(t) AS t0 FROM ev WHERE typ = 'CreateEvent' GROUP BY id, name)"""
 
@@ -325,10 +337,12 @@ def scaled() -> str:
     names = EARLY_COLUMNS + tuple(c for c in ENGINEERED if c not in FLAGS)
     values = ", ".join(f"{exact(c)} AS {c}" for c in names)
     columns = ", ".join(
-        f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
+        f"round(({c} - avg({c}) FILTER (WHERE is_test = 0) OVER ()) "
+        f"/ coalesce(nullif(stddev_pop({c}) FILTER (WHERE is_test = 0) OVER (), 0), 1), 6) AS {c}"
         for c in names
     )
-    return f"{DS}, fx AS (SELECT repo_id, {values} FROM ds) SELECT repo_id, {columns} FROM fx"
+    return f"""{DS}, sp AS ({SPLIT}), fx AS (SELECT repo_id, is_test, {values} FROM ds JOIN sp USING (repo_id))
+        SELECT repo_id, {columns} FROM fx"""
 
 
 SHUFFLED = DS + f""", rk AS (
@@ -446,6 +460,16 @@ ORACLE: dict[str, str] = {
     "archive_cumulative_totals": cumulative(180),
     "archive_combined_dataset": dataset_columns("WITH " + dataset(USERS, USER_COHORT_FIRST, ARCHIVE_WINDOWS)),
     "archive_combined_faithful": dataset_columns("WITH " + dataset(USERS, USER_COHORT_ALL, ARCHIVE_WINDOWS)),
+    "archive_half_year_dataset": dataset_columns("WITH " + dataset(HALF_YEAR, QUARTER_COHORT, ARCHIVE_WINDOWS, HALF_YEAR_EVENTS)),
+    "archive_sustained_metrics": f"""WITH {HALF_YEAR}, coh AS (
+          SELECT id, name, min(t) AS t0 FROM ev WHERE typ = 'CreateEvent'
+          AND CAST(t AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-03-31' GROUP BY id, name
+        ), att AS (
+          SELECT e.*, c.t0 FROM ev e JOIN coh c ON e.id = c.id
+          WHERE date_sub('day', c.t0, e.t) BETWEEN 90 AND 180
+          AND CAST(e.t AS DATE) BETWEEN DATE '2024-04-01' AND DATE '2024-09-30'
+        ) SELECT id AS repo_id, name AS repo_name, t0 AS repo_created_at, {SUSTAINED_REPORT}
+        FROM att GROUP BY id, name, t0""",
     "first_rows": dataset_columns(DS) + " ORDER BY total_stars_6m DESC NULLS LAST, repo_id LIMIT 100",
     "dataset_schema": schema_rows(),
     "value_counts": f"""{DS} SELECT {TARGET} AS value, count(*) AS n,

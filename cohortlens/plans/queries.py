@@ -31,7 +31,15 @@ from cohortlens.sources.dataset import (
     write_dataset,
 )
 from cohortlens.sources.events import canonical_events, read_events, write_events
-from cohortlens.sources.tables import PART_CONFIG, USER_CONFIG, part_cohort, part_events, user_archive, user_events
+from cohortlens.sources.tables import (
+    PART_CONFIG,
+    USER_CONFIG,
+    half_year_events,
+    part_cohort,
+    part_events,
+    user_archive,
+    user_events,
+)
 from cohortlens.plans.training_run import Run, load_run, run_training, shapley_table, train_and_evaluate
 from cohortlens.storage import scratch_dir, stage
 
@@ -264,6 +272,17 @@ def archive_combined_faithful(spark, sf_dir):
     return archive.combined_dataset(user_events(spark, sf_dir), faithful=True)
 
 
+@query
+def archive_sustained_metrics(spark, sf_dir):
+    return archive.sustained_activity(half_year_events(spark, sf_dir))
+
+
+@query
+def archive_half_year_dataset(spark, sf_dir):
+    """The published dataset on events that reach over its dates and windows."""
+    return archive.combined_dataset(half_year_events(spark, sf_dir))
+
+
 # profile
 
 
@@ -393,9 +412,12 @@ def engineered(spark, sf_dir):
 
 @query
 def scaled(spark, sf_dir):
+    """All rows, scaled by what the training part gives."""
     dataset = stage(E.engineer_features(part_dataset(spark, sf_dir)), "features")
     columns = E.feature_lists([]).scaled
-    return E.fit_scaler(dataset, columns).transform(dataset).select("repo_id", *columns)
+    part = S.stratified_split(dataset.select("repo_id", TARGET), "repo_id", TARGET)
+    train = dataset.join(part.where("is_test = 0").select("repo_id"), "repo_id")
+    return E.fit_scaler(train, columns).transform(dataset).select("repo_id", *columns)
 
 
 # splits and samples

@@ -51,6 +51,14 @@ USER_TYPES = {
     "purchase": "PullRequestEvent",
     "error": "IssuesEvent",
 }
+# Kinds that a user's event turns into for some values of its field ``k``: (kind, divisor, remainder) -> kind.
+USER_TURNED = {
+    ("click", 7, 3): "ReleaseEvent",
+    ("view", 6, 1): "ForkEvent",
+    ("purchase", 5, 0): "PullRequestReviewEvent",
+    ("purchase", 5, 1): "PullRequestReviewCommentEvent",
+    ("error", 3, 0): "IssueCommentEvent",
+}
 PART_TYPES = {
     1: "PushEvent",
     2: "WatchEvent",
@@ -60,6 +68,7 @@ PART_TYPES = {
     6: "ForkEvent",
     7: "ReleaseEvent",
 }
+REVIEW = "PullRequestReviewEvent"
 PART_ACTIONS = {"A": "opened", "R": "closed", "N": "other"}
 
 
@@ -91,24 +100,25 @@ def _case(column: str, mapping: dict) -> str:
 
 
 def user_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as raw archive events; the payload carries the fields as JSON."""
+    """``events`` as raw archive events; the payload carries the fields as JSON, the size of some is missing."""
     rows = table(spark, sf_dir, "events").selectExpr(
         "ts", "user_id", "event_type", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k"
     )
     payload = """named_struct(
         'ref_type', CASE WHEN event_type = 'signup' THEN 'repository' END,
-        'size', k,
+        'size', CASE WHEN k % 9 > 0 THEN k END,
         'action', CASE WHEN k % 2 = 0 THEN 'opened' ELSE 'closed' END,
         'repository', named_struct(
             'language', CASE WHEN k % 7 > 0 THEN concat('lang-', k % 5) END,
             'description', CASE WHEN k % 3 > 0 THEN concat('[say] "', k % 6, '"') END,
             'license', CASE WHEN k % 4 > 0 THEN named_struct('key', concat('lic-', k % 4)) END,
             'fork', CASE WHEN k % 10 = 0 THEN TRUE WHEN k % 10 != 1 THEN FALSE END))"""
+    turned = " ".join(f"WHEN event_type = {e!r} AND k % {d} = {r} THEN {kind!r}" for (e, d, r), kind in USER_TURNED.items())
     name = "concat('user-', user_id, CASE WHEN k < 50 THEN '' ELSE '-renamed' END)"
     return rows.selectExpr(
         f"named_struct('id', user_id, 'name', {name}) AS repo",
         "named_struct('id', k, 'login', concat('actor-', k)) AS actor",
-        f"{_case('event_type', USER_TYPES)} AS type",
+        f"CASE {turned} ELSE {_case('event_type', USER_TYPES)} END AS type",
         "CAST(ts AS TIMESTAMP) AS created_at",
         f"to_json({payload}) AS payload",
     )
@@ -118,6 +128,13 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_events(user_archive(spark, sf_dir))
 
 
+def half_year_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user events with their month drawn out to half a year, which the published dates and windows cut."""
+    start = "unix_micros(TIMESTAMP '2024-01-01 00:00:00')"
+    drawn = f"timestamp_micros({start} + 6 * (unix_micros(event_time) - {start}))"
+    return user_events(spark, sf_dir).withColumn("event_time", F.expr(drawn))
+
+
 def part_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` joined to ``orders`` as canonical events."""
     lines = table(spark, sf_dir, "lineitem")
@@ -125,7 +142,7 @@ def part_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(
         "l_partkey AS entity_id",
         "concat('part-', l_partkey) AS entity_name",
-        f"{_case('l_linenumber', PART_TYPES)} AS event_type",
+        f"CASE WHEN l_linenumber = 4 AND l_quantity % 5 = 0 THEN '{REVIEW}' ELSE {_case('l_linenumber', PART_TYPES)} END AS event_type",
         "o_custkey AS actor_id",
         "concat('customer-', o_custkey) AS actor_login",
         "CAST(l_shipdate AS TIMESTAMP) AS event_time",
