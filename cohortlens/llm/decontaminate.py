@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged
+from cohortlens.llm.common import fresh, staged
 from cohortlens.llm.tokens import ALPHANUMERIC, LOWER, gram_hashes, joined, slices, text_buffer, word_hashes, words
 
 # the functions below travel with the task, so executors need not have the package
@@ -195,8 +195,9 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, s
         yield held
 
 
-def _mapper(shared, id_name: str, text_name: str, out: pa.Schema, mode: str):
-    """mode: "report" gives counts and items, "keep" rows without a hit, "spans" all rows, cut."""
+def _mapper(shared, id_name: str, text_name: str, out: pa.Schema, mode: str, marks: str = ""):
+    """mode: "report" gives counts and items, "keep" rows without a hit, "spans" all rows, cut;
+    "mark" adds the hit words to those of column ``marks``, "marked" cuts the words it names."""
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = pickle.loads(shared.value)
@@ -210,21 +211,33 @@ def _mapper(shared, id_name: str, text_name: str, out: pa.Schema, mode: str):
                 piece = batch.slice(a, b - a)
                 if mode == "keep":
                     yield piece.filter(pa.array(n_hit == 0))
-                elif mode == "spans":
+                elif mode == "mark":
+                    known = piece.column(marks).to_pylist()
+                    for d in np.flatnonzero(n_hit).tolist():
+                        words = np.flatnonzero(hits.hit[hits.at[d] : hits.at[d + 1]]).tolist()
+                        known[d] = sorted({*known[d], *words})
+                    yield _with(piece, marks, known)
+                elif mode in ("spans", "marked"):
                     texts = piece.column(text_name).to_pylist()
+                    if mode == "marked":
+                        for d, words in enumerate(piece.column(marks).to_pylist()):
+                            hits.hit[hits.at[d] + np.array(words, dtype=np.int64)] = True
+                            n_hit[d] = len(words)
                     for d in np.flatnonzero(n_hit).tolist():
                         raw = data[off[a + d] : off[a + d + 1]].tobytes()
                         texts[d] = cut(raw, hits, d, int(off[a + d]) - base)
-                    columns = [
-                        pa.array(texts, type=f.type) if f.name == text_name else piece.column(f.name) for f in piece.schema
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+                    yield _with(piece, text_name, texts)
                 else:
                     yield _report(piece, hits, n_hit, bench, id_name, out, mode)
 
     return run
 
 
+def _with(piece: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    columns = [pa.array(values, type=f.type) if f.name == name else piece.column(f.name) for f in piece.schema]
+    return pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+
+
 def _report(piece, hits: Hits, n_hit, bench: Benchmark, id_name: str, out: pa.Schema, mode: str) -> pa.RecordBatch:
     names = [sorted(bench.ids[i] for i in hits.items.get(d, ())) for d in range(piece.num_rows)]
     columns = {
@@ -305,19 +318,23 @@ def contamination(
     )
 
 
-def _filtered(documents: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, mode: str) -> DataFrame:
-    out = documents
-    for items in blocks(benchmark, block_bytes):
-        shared = out.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(items, n)))
-        out = out.mapInArrow(_mapper(shared, "doc_id", "text", None, mode), out.schema)
-    return out
+def _scanned(documents: DataFrame, items, n: int, mode: str, marks: str = "") -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build(items, n)))
+    return documents.mapInArrow(_mapper(shared, "doc_id", "text", None, mode, marks), documents.schema)
 
 
 def remove_documents(
     documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    return _filtered(documents, benchmark, n, block_bytes, "keep")
+    """The documents without any hit, with all their columns.
+
+    With a benchmark of several blocks, what a block leaves is written before the next one scans it.
+    """
+    parts = blocks(benchmark, block_bytes)
+    out = _scanned(documents, next(parts, []), n, "keep")
+    for items in parts:
+        out = _scanned(staged(out, "kept"), items, n, "keep")
+    return out
 
 
 def remove_spans(
@@ -325,10 +342,21 @@ def remove_spans(
 ) -> DataFrame:
     """All documents with their columns; every maximal run of hit words is cut out of ``text``.
 
-    With a benchmark of several blocks each block sees what the ones before it
-    have left.
+    With a benchmark of several blocks each of them scans the whole texts and
+    notes its hits beside them; they are cut out together at the end, so the
+    result does not depend on how the benchmark is divided.
     """
-    return _filtered(documents, benchmark, n, block_bytes, "spans")
+    parts = blocks(benchmark, block_bytes)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _scanned(documents, first, n, "spans")
+    (marks,) = fresh(documents, "hit_words")
+    marked = documents.withColumn(marks, F.array().cast("array<bigint>"))
+    marked = staged(_scanned(marked, first, n, "mark", marks), "marks")
+    marked = staged(_scanned(marked, second, n, "mark", marks), "marks")
+    for items in parts:
+        marked = staged(_scanned(marked, items, n, "mark", marks), "marks")
+    return _scanned(marked, [], n, "marked", marks).drop(marks)
 
 
 __all__ = ["build", "contamination", "remove_documents", "remove_spans", "scan"]

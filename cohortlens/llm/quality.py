@@ -244,8 +244,9 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", F.col("high").alias("y"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars")
     rows = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("n_chars").cast("double"), F.col("y").cast("double"))
-    # repeated ids must not lift the sample above its bound, nor tasks decide the order of rows
-    rows = rows.dropDuplicates(["doc_id"])
+    # repeated ids must not lift the sample above its bound, nor tasks decide which text stands for an id
+    one = F.min(F.struct(F.xxhash64("text", "n_chars").alias("h"), "text", "n_chars", "y")).alias("r")
+    rows = rows.groupBy("doc_id").agg(one).select("doc_id", "r.text", "r.n_chars", "r.y")
 
     def features(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:

@@ -81,6 +81,20 @@ def test_removal_and_spans(spark, make, rng):
     assert not any(v[4] for v in brute([(k, r["text"]) for k, r in cut.items() if k not in (105,)], items[:8]).values())
 
 
+def test_removal_does_not_depend_on_blocks(spark, make, rng):
+    docs, items = cases(rng)
+    # two items of different blocks overlap in the text: what one cuts must not hide the other
+    long = text_of(rng, 40).split()
+    items = [(500, " ".join(long[:24])), *items, (501, " ".join(long[16:]))]
+    docs += [(200, "before " + " ".join(long) + " after"), (200, "before " + " ".join(long) + " after"), (None, items[0][1] + " z")]
+    table = make(docs).selectExpr("*", "7 AS hit_words", "'x' AS marks")
+    for remove in (decontaminate.remove_documents, decontaminate.remove_spans):
+        whole, parts = (remove(table, bench(spark, items), block_bytes=size) for size in (1 << 20, 150))
+        assert whole.columns == parts.columns == table.columns
+        assert whole.count() == parts.count() and whole.exceptAll(parts).isEmpty()
+    assert {r.text for r in parts.where("doc_id = 200").collect()} == {"before  after"}
+
+
 def test_empty_tables_and_repeated_rows(spark, make, rng):
     docs, items = cases(rng)
     none = decontaminate.contamination(make([]), bench(spark, items))

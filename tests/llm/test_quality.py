@@ -79,3 +79,10 @@ def test_sample_is_bounded(spark, make, rng):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
     got = quality.score_documents(docs, labels, sample_rows=40).toPandas()
     assert (got.predicted == got.doc_id % 2).mean() > 0.9
+
+
+def test_text_of_a_repeated_id_does_not_depend_on_the_order(spark, make, rng):
+    rows = [(i % 60, text_of(rng, 30) if i % 2 else "*** !!! " * (i + 1)) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    a, b = (quality.score_documents(make(r).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7)))
+    assert sorted(a.collect()) == sorted(b.collect())
