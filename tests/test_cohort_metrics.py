@@ -279,3 +279,16 @@ def test_command_line_builds_the_dataset(spark, tmp_path):
     main(["dataset", "--events", str(tmp_path / "archive"), "--events-format", "parquet", "-o", str(tmp_path / "out")])
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row.repo_id, row.stars_30d, row.total_stars_6m, row.total_events_30d) == (1, 2, 3, 3)
+
+
+def test_tasks_of_a_shuffled_join_hold_a_bounded_number_of_events(spark, monkeypatch):
+    events = busy_events(spark)
+    want = sorted(combined_dataset(events, CFG, strategy="broadcast").collect())
+    n = events.count()
+    monkeypatch.setattr("cohortlens.storage.TASK_ROWS", n // 40)
+    times = C.cohort(events, CFG).select("entity_id", "created_at")
+    attached, rows = C.attach_counted(events, times, 0, 180, CFG, "shuffle")
+    assert rows == n and attached.rdd.getNumPartitions() >= 40
+    per_entity = M.entity_metrics(attached, ["entity_id"], M.outcomes(CFG), rows=rows)
+    assert per_entity.rdd.getNumPartitions() >= 20
+    assert sorted(combined_dataset(events, CFG, strategy="shuffle").collect()) == want
