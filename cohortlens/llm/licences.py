@@ -307,8 +307,9 @@ def scan(documents: DataFrame, more: DataFrame | None = None) -> DataFrame:
     text_known = known.where("unit = 'text'").select("digest", "licence")
     line_known = known.where("unit = 'line'").select(F.col("digest").alias("line_digest"), F.col("licence").alias("notice"))
     whole = whole.join(text_known, "digest", "left")
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("c", "\n"))).alias("line")).where("line <> ''")
-    lines = lines.select("doc_id", digest(F.col("line")).alias("line_digest")).join(line_known, "line_digest")
+    # digests are made inside the explode: the join's tests on its key would make them again for every line
+    each = F.filter(F.array_distinct(F.split("c", "\n")), lambda line: line != "")
+    lines = docs.select("doc_id", F.explode(F.transform(each, digest)).alias("line_digest")).join(line_known, "line_digest")
     notices = lines.groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set("notice")).alias("found"))
     both = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     return both.select(

@@ -130,3 +130,11 @@ def test_sentence_lines_stay_in_both_engines(spark):
     assert {r.t for r in cut if r.c.strip()} & {x.lower() for x in lines} == {x.lower() for x in SENTENCES}
     for r in cut:
         assert duckdb.execute("SELECT regexp_replace(?, ?, chr(10), 'g')", [r.t, licences.COPYRIGHT_LINE]).fetchone()[0] == r.c
+
+
+def test_digest_of_a_line_is_made_once(make):
+    """Not again in the tests on the key that the optimizer infers for the join."""
+    docs = make([(1, "MIT License\nsome words"), (2, None), (3, "\n\n")])
+    plan = licences.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [step for step in plan.split("\n") if "Filter" in step and "sha2" in step and "line" in step]
+    assert [r["n_notices"] for _, r in sorted(by_id(licences.scan(docs)).items())][1:] == [0, 0]
