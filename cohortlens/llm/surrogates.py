@@ -46,7 +46,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fresh
+from cohortlens.llm.common import fresh, staged
 from cohortlens.llm.tokens import text_buffer
 
 # the functions below travel with the task, so executors need not have the package
@@ -412,7 +412,8 @@ def collisions(table: DataFrame) -> DataFrame:
 def replace(documents: DataFrame, key: str = DEFAULT_KEY, counts: tuple[str, str] | None = None) -> DataFrame:
     """``documents`` with surrogates in ``text``; ``counts`` names two more columns, the number of entities and
     their kinds ("card:1,email:2")."""
-    bad = collisions(surrogate_table(documents, key)).limit(5).collect()
+    # both tests read the table: without staging each would scan the texts
+    bad = collisions(staged(surrogate_table(documents, key), "surrogates")).limit(5).collect()
     if bad:
         raise ValueError(f"surrogates are not distinct: {bad}")
     names = documents.columns

@@ -207,3 +207,12 @@ def test_later_mentions_of_a_name(make):
     assert out[1]["text"] == f"{a} {s} came. Later {s} left; {a}'s coat and {s}’s hat stayed. Schmidtke and the anna did not."
     assert out[2]["text"] == f"Before: {w}. Dr. {w} spoke, Mr {w}'s plan."
     assert out[3]["text"] == "Schmidt alone"
+
+
+def test_collision_check_scans_the_texts_once(make, monkeypatch):
+    seen = []
+    checked = surrogates.collisions
+    monkeypatch.setattr(surrogates, "collisions", lambda table: seen.append(table) or checked(table))
+    out = by_id(surrogates.replace(make([(1, "Mail a.b@example.org"), (2, None)])))
+    # both tests read a written table, not the texts
+    assert seen[0].inputFiles() and "a.b@example.org" not in out[1]["text"]
