@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortlens.config import TrainConfig
@@ -237,3 +238,13 @@ def test_folds_are_fitted_only_when_asked_for(dataset):
     folds = D.fit_folds(run.train, CFG.but(models=("Decision Tree",)))
     run.trained.folds = folds
     assert run.trained.results.first().cv_roc_auc_mean == folds["Decision Tree"][0]
+
+
+def test_a_table_of_shapley_values_that_is_read_twice_is_made_once(spark):
+    rows = [(str(i), i % 3 // 2, Vectors.dense([i % 3, i % 5])) for i in range(30)]
+    sample = spark.createDataFrame(rows, ["key", "y", "features"])
+    model = DecisionTreeClassifier(labelCol="y", maxDepth=2).fit(sample)
+    table, base = X.tree_shapley(sample, model, ["a", "b"])
+    assert "InPandas" not in X.shapley_rows(table, 2)._jdf.queryExecution().toString()
+    totals = {r.key: r.total for r in table.groupBy("key").agg((F.sum("phi") + base).alias("total")).collect()}
+    assert totals == pytest.approx({key: float(y) for key, y, _ in rows})
