@@ -248,3 +248,8 @@ def test_a_table_of_shapley_values_that_is_read_twice_is_made_once(spark):
     assert "InPandas" not in X.shapley_rows(table, 2)._jdf.queryExecution().toString()
     totals = {r.key: r.total for r in table.groupBy("key").agg((F.sum("phi") + base).alias("total")).collect()}
     assert totals == pytest.approx({key: float(y) for key, y, _ in rows})
+
+
+def test_deep_trees_keep_the_node_of_a_row():
+    models = D.make_models(TrainConfig(), 100)
+    assert models["Random Forest"].getCacheNodeIds() and models["Decision Tree"].getCacheNodeIds()
