@@ -84,6 +84,37 @@ def test_blocks_that_are_too_far_are_not_visited(spark, monkeypatch):
     assert blocks >= 10 and pairs < blocks * (blocks - 1) / 3
 
 
+@pytest.mark.parametrize("points", [1_000, 40])
+def test_points_without_a_searching_one(spark, monkeypatch, points):
+    """A block, or all of them, may hold only points that others find."""
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", points)
+    x = np.random.default_rng(3).normal(size=(150, 2))
+    rows = [(f"{i:04d}", r.tolist(), bool(r[0] > 1)) for i, r in enumerate(x)]
+    near = stage(spark.createDataFrame(rows, "pid string, x array<double>, wanted boolean"))
+    assert neighbours.nearest(near, 4, "false").collect() == []
+    got = neighbours.nearest(near, 4, "wanted").collect()
+    assert {(int(r.pid), int(r.other)) for r in got} == {(a, b) for a, b in brute_force(x, 4) if rows[a][2]}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e17, 1e-23])
+def test_single_precision_rules_no_neighbour_out(scale):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.gamma(1, 2, (2_500, 7))) * scale
+    x[0] = 1e5 * scale  # far off: its rounding is that of the others' distances
+    x[1:60] += 3e4 * scale
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(want, np.inf)
+    order = np.argsort(want, axis=1, kind="stable")[:, :5]
+    anywhere = np.full(len(x), np.nan)
+    found = list(neighbours.best_of(x, np.arange(len(x)), x, 5, anywhere))
+    assert [i for i, _, _ in found] == list(range(len(x)))
+    assert all((near == order[i]).all() for i, near, _ in found)
+    # within reach of the second neighbour, ties of it included
+    reach = np.take_along_axis(want, order, 1)[:, 1]
+    for i, near, distance in neighbours.best_of(x, np.arange(len(x)), x, 5, reach):
+        assert distance[1] == reach[i] and set(order[i][want[i][order[i]] <= reach[i]]) <= set(near)
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     rng = np.random.default_rng(2)
