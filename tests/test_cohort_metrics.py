@@ -9,6 +9,7 @@ from cohortlens.operators import cohort as C
 from cohortlens.operators import metrics as M
 from cohortlens.plans import archive
 from cohortlens.plans.dataset import combined_dataset
+from cohortlens.sources import tables
 from cohortlens.sources.events import RAW_EVENT_SCHEMA
 from cohortlens.sources.dataset import EARLY_COLUMNS, OUTCOME_COLUMNS
 
@@ -292,3 +293,41 @@ def test_tasks_of_a_shuffled_join_hold_a_bounded_number_of_events(spark, monkeyp
     per_entity = M.entity_metrics(attached, ["entity_id"], M.outcomes(CFG), rows=rows)
     assert per_entity.rdd.getNumPartitions() >= 20
     assert sorted(combined_dataset(events, CFG, strategy="shuffle").collect()) == want
+
+
+def test_first_events_of_heavy_entities_are_combined_before_they_travel(spark):
+    events = busy_events(spark).select(F.expr("nullif(entity_id, 2)").alias("entity_id"), "event_time", "actor_id")
+    cfg = CFG.but(created="first_event")
+    want = sorted(C.cohort(events, cfg, ["actor_id"]).collect(), key=str)
+    for heavy in ([], [1], [None], [1, None, 3]):
+        assert sorted(C.cohort(events, cfg, ["actor_id"], 10**9, heavy).collect(), key=str) == want, heavy
+
+
+def test_tasks_of_the_part_cohort_hold_a_bounded_number_of_lines(spark, monkeypatch, tmp_path):
+    n = 2000  # half of the lines are of one part, some of no part, two of each order
+    made = {
+        "lineitem": spark.range(n).selectExpr(
+            "id div 2 AS l_orderkey", "CASE WHEN id % 2 = 0 THEN 1L WHEN id % 49 > 0 THEN id % 97 END AS l_partkey",
+            "id AS l_suppkey", "CAST(id % 2 + 1 AS INT) AS l_linenumber", "1D AS l_quantity", "1D AS l_extendedprice",
+            "0D AS l_discount", "0D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus",
+            "TIMESTAMP_NTZ '1995-01-01' + make_dt_interval(CAST(id % 31 AS INT)) AS l_shipdate",
+        ),
+        "orders": spark.range(n // 2).selectExpr(
+            "id AS o_orderkey", "id % 13 AS o_custkey", "'O' AS o_orderstatus", "1D AS o_totalprice",
+            "TIMESTAMP_NTZ '1995-01-01' AS o_orderdate", "'1' AS o_orderpriority",
+        ),
+        "part": spark.range(97).selectExpr(
+            "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "1D AS p_retailprice"
+        ),
+    }
+    for name, rows in made.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    want = sorted(tables.part_cohort(spark, str(tmp_path)).collect())
+    assert len(want) == 97
+    monkeypatch.setattr("cohortlens.storage.TASK_ROWS", n // 50)
+    assert tables.part_cohort(spark, str(tmp_path)).rdd.getNumPartitions() >= 50
+    assert sorted(tables.part_cohort(spark, str(tmp_path)).collect()) == want
+    monkeypatch.setattr(tables, "PART_CONFIG", tables.PART_CONFIG.but(heavy_min_rows=100, heavy_share=0.1))
+    spread = tables.part_cohort(spark, str(tmp_path))
+    assert "Union" in spread._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(spread.collect()) == want
