@@ -4,7 +4,7 @@ from math import factorial
 import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -253,3 +253,19 @@ def test_a_table_of_shapley_values_that_is_read_twice_is_made_once(spark):
 def test_deep_trees_keep_the_node_of_a_row():
     models = D.make_models(TrainConfig(), 100)
     assert models["Random Forest"].getCacheNodeIds() and models["Decision Tree"].getCacheNodeIds()
+
+
+def test_models_and_folds_are_fitted_on_all_rows(spark, monkeypatch):
+    """More rows than fits once took; the number of rows at a root is that of the training rows."""
+    n = 210_000
+    rows = spark.range(n).selectExpr("CAST(id AS STRING) AS key", "CAST(id % 2 AS INT) AS y", "array(id % 7 + 3 * (id % 2), id % 5) AS x")
+    train = stage(rows.select("key", "y", array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features")), "train")
+    cfg = TrainConfig(models=("Decision Tree",), folds=2)
+    trained = D.fit_models(train, train.limit(50), cfg)
+    root = X.tree_nodes(spark, trained.models["Decision Tree"]).filter("id = 0").first()
+    assert root.cover == n
+    counts = []
+    compact = D.compact
+    monkeypatch.setattr(D, "compact", lambda part, count: counts.append(count) or compact(part, count))
+    D.fit_folds(train, cfg)
+    assert sorted(counts) == [n // 2] * 4
