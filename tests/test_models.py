@@ -269,3 +269,59 @@ def test_models_and_folds_are_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "compact", lambda part, count: counts.append(count) or compact(part, count))
     D.fit_folds(train, cfg)
     assert sorted(counts) == [n // 2] * 4
+
+
+@pytest.mark.parametrize("rows, least, subtrees", [(900, 1, (16, 4)), (900, 1, (4,)), (900, 10**9, ()), (1, 1, (16, 4)), (600, 512, (16, 4))])
+def test_rows_that_walk_a_tree_together_get_the_values_of_its_leaves(monkeypatch, rows, least, subtrees):
+    """Random trees whose paths split a feature again; groups of alike rows change nothing."""
+    monkeypatch.setattr(X, "LEAST_ROWS", least)
+    monkeypatch.setattr(X, "SUBTREES", subtrees)
+    rng = np.random.default_rng(rows)
+    for depth, n_features in ((0, 3), (1, 3), (8, 3), (11, 12)):
+        # value, cover, children, feature, threshold
+        nodes, pending = [[0.5, 1000.0, -1, -1, -1, -1.0]], [(0, 0)]
+        while pending:
+            at, level = pending.pop()
+            if level < depth and (level < 2 or rng.random() < 0.8):
+                share = rng.uniform(0.1, 0.9)
+                nodes[at][2:] = len(nodes), len(nodes) + 1, int(rng.integers(n_features)), rng.normal()
+                pending += [(len(nodes), level + 1), (len(nodes) + 1, level + 1)]
+                nodes += [[rng.normal(), nodes[at][1] * part, -1, -1, -1, -1.0] for part in (share, 1 - share)]
+        tree = {i: tuple(n) for i, n in enumerate(nodes)}
+        arrays = tuple(np.array(c) for c in zip(*nodes))
+        x = rng.normal(size=(rows, n_features)).round(1)
+        phi = np.zeros((n_features, rows))
+        X.TreeWalk(arrays, n_features).add(phi, np.ascontiguousarray(x.T))
+        want = X.shapley_matrix(x, X.stacked_leaves(X.tree_leaves(tree)))
+        assert np.allclose(phi.T, want, rtol=0, atol=1e-10)
+
+
+def test_rows_of_a_repeated_key_keep_their_values_in_any_number_of_blocks(spark, monkeypatch):
+    rows = [(str(i % 20), i % 3 // 2, Vectors.dense([i % 3, i % 5, i % 7])) for i in range(40)]
+    sample = spark.createDataFrame(rows, ["key", "y", "features"])
+    model = RandomForestClassifier(labelCol="y", numTrees=3, maxDepth=3, seed=1).fit(sample)
+    found = []
+    for leaves in (X.BLOCK_LEAVES, 1):
+        monkeypatch.setattr(X, "BLOCK_LEAVES", leaves)
+        table, base = X.tree_shapley(sample, model, ["a", "b", "c"])
+        found.append((base, sorted((r.key, r.feature, r.value, round(r.phi, 9)) for r in table.collect())))
+    assert len(found[0][1]) == 120 and found[0] == found[1]
+
+
+def test_trees_are_dealt_evenly_and_their_parts_add_up(spark, monkeypatch):
+    """Parts of the trees and slices of the rows, in chunks of a few rows, give what one task gives."""
+    assert X.dealt_trees({0: 5, 1: 9, 2: 4, 3: 1}, 2) == [[1, 3], [0, 2]]
+    rows = [(str(i), i % 3 // 2, Vectors.dense([i % 3, i % 5, i % 7])) for i in range(50)]
+    sample = spark.createDataFrame(rows, ["key", "y", "features"])
+    model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=4, seed=1).fit(sample)
+    found = []
+    for chunk in (X.CHUNK_ROWS, 3):
+        monkeypatch.setattr(X, "CHUNK_ROWS", chunk)
+        table, base = X.tree_shapley(sample, model, ["a", "b", "c"])
+        found.append({(r.key, r.feature, r.value): r.phi for r in table.collect()})
+    assert len(found[0]) == 150 and found[0] == pytest.approx(found[1], abs=1e-12)
+    sums = {}
+    for (key, _, _), phi in found[0].items():
+        sums[key] = sums.get(key, base) + phi
+    for row in model.transform(sample).select("key", vector_to_array("probability")[1].alias("p")).collect():
+        assert sums[row.key] == pytest.approx(row.p, abs=1e-9)
